@@ -30,7 +30,6 @@ def with_city_location(
     source system ("camp" also fits "Campbell"); ``whole_word_localities`` tightens that.
     Cities are listed by position in the text.
     """
-    kept = df.columns
     locality = f"(?:{_any_of(PUNE_LOCALITIES)})"
     if whole_word_localities:
         locality = rf"(?U)\b{locality}\b"
@@ -48,65 +47,74 @@ def with_city_location(
         return F.concat(F.when(here, F.array(F.lit("Pune"))).otherwise(F.array().cast(
             "array<string>")), named)
 
-    raw = F.col("_raw")
-    parts = F.filter(F.transform(F.split(raw, "[,/|;]+"), strip), lambda p: p != "")
-    staged = (
-        df.withColumn("_raw", F.nullif(strip(F.col(text)), F.lit("")))
-        .withColumn("_low", F.lower("_raw"))
-        .withColumn("_parts", parts)
-        .withColumn("_cities", F.array_distinct(F.flatten(F.transform("_parts", part_cities))))
-        .withColumn(
-            "_state",
-            F.contains(F.col("_low"), F.lit("maharashtra"))
-            | F.exists("_parts", lambda p: F.lower(p) == "mh"),
-        )
-    )
-    cities, n = F.col("_cities"), F.size("_cities")
-    pune = F.array_contains(cities, "Pune")
-    run_together = (
-        F.contains(raw, F.lit(",")) & ~raw.rlike("[/|;]")
-        & F.exists(
-            F.split(raw, ","),
-            lambda seg: bind(
-                F.split(strip(seg), r"(?U)\s+"),
-                lambda t: (F.size(t) > 1) & F.forall(t, lambda w: w.rlike(r"^\p{Lu}")),
+    def staged(raw: Column) -> Column:
+        parts = F.filter(F.transform(F.split(raw, "[,/|;]+"), strip), lambda p: p != "")
+        return bind(
+            parts,
+            lambda p: F.struct(
+                raw.alias("raw"), F.lower(raw).alias("low"), p.alias("parts"),
+                F.array_distinct(F.flatten(F.transform(p, part_cities))).alias("cities"),
+                F.try_element_at(
+                    F.filter(p, lambda x: F.lower(x).rlike(locality)), F.lit(-1)
+                ).alias("locality"),
             ),
         )
+
+    def levelled(s: Column) -> Column:
+        n = F.size(s["cities"])
+        run_together = (
+            F.contains(s["raw"], F.lit(",")) & ~s["raw"].rlike("[/|;]")
+            & F.exists(
+                F.split(s["raw"], ","),
+                lambda seg: bind(
+                    F.split(strip(seg), r"(?U)\s+"),
+                    lambda t: (F.size(t) > 1) & F.forall(t, lambda w: w.rlike(r"^\p{Lu}")),
+                ),
+            )
+        )
+        level = (
+            F.when(n == 1, "EXACT_SINGLE")
+            .when(n > 1, F.when(run_together, "CITY_MENTION").otherwise("MULTI_EXPLICIT"))
+            .when(F.contains(s["low"], F.lit("pune")), "CITY_MENTION")
+            .otherwise("UNKNOWN")
+        )
+        return bind(level, lambda v: finished(s, v))
+
+    def finished(s: Column, level: Column) -> Column:
+        cities, n = s["cities"], F.size(s["cities"])
+        pune = F.coalesce(F.array_contains(cities, "Pune"), F.lit(False))
+        state = F.contains(s["low"], F.lit("maharashtra")) | F.exists(
+            s["parts"], lambda p: F.lower(p) == "mh"
+        )
+        has_pune = F.coalesce(
+            pune | ((level == "CITY_MENTION") & F.contains(s["low"], F.lit("pune"))),
+            F.lit(False),
+        )
+        exclusivity = F.when(~has_pune, "UNKNOWN")
+        for value, name in (("EXACT_SINGLE", "EXCLUSIVE"), ("MULTI_EXPLICIT", "SHARED"),
+                            ("CITY_MENTION", "MENTIONED")):
+            exclusivity = exclusivity.when(level == value, name)
+        return F.struct(
+            F.coalesce(s["raw"], F.col(text)).alias("raw_location"),
+            F.when(s["raw"].isNotNull(), "India").alias("country"),
+            F.when(pune | state, STATE).alias("state"),
+            F.when(pune, "Pune").alias("district"),
+            F.when(n > 0, s["locality"]).alias("locality"),
+            F.when(n == 1, "SINGLE_LOCATION").when(n > 1, "MULTI_LOCATION")
+            .otherwise("UNKNOWN").alias("location_scope"),
+            F.when((n == 1) & pune, "HIGH").when(n >= 1, "MEDIUM").when(state, "LOW")
+            .otherwise("NONE").alias("location_confidence"),
+            F.coalesce(cities, F.array().cast("array<string>")).alias("matched_locations"),
+            F.lit(CITY_METHOD).alias("normalization_method"),
+            level.alias("location_evidence_level"),
+            has_pune.alias("has_pune_evidence"),
+            exclusivity.otherwise("UNKNOWN").alias("pune_exclusivity"),
+        )
+
+    located = bind(
+        F.nullif(strip(F.col(text)), F.lit("")), lambda raw: bind(staged(raw), levelled)
     )
-    mentions_pune = F.contains(F.col("_low"), F.lit("pune"))
-    level = (
-        F.when(n == 1, "EXACT_SINGLE")
-        .when(n > 1, F.when(run_together, "CITY_MENTION").otherwise("MULTI_EXPLICIT"))
-        .when(mentions_pune, "CITY_MENTION")
-        .otherwise("UNKNOWN")
-    )
-    has_pune = F.coalesce(
-        pune | ((F.col("_level") == "CITY_MENTION") & mentions_pune), F.lit(False)
-    )
-    given = raw.isNotNull()
-    exclusivity = (
-        F.when(~has_pune, "UNKNOWN").when(F.col("_level") == "EXACT_SINGLE", "EXCLUSIVE")
-        .when(F.col("_level") == "MULTI_EXPLICIT", "SHARED")
-        .when(F.col("_level") == "CITY_MENTION", "MENTIONED").otherwise("UNKNOWN")
-    )
-    localities = F.filter("_parts", lambda p: F.lower(p).rlike(locality))
-    result = F.struct(
-        F.coalesce(raw, F.col(text)).alias("raw_location"),
-        F.when(given, "India").alias("country"),
-        F.when(pune | F.col("_state"), STATE).alias("state"),
-        F.when(pune, "Pune").alias("district"),
-        F.when(n > 0, F.try_element_at(localities, F.lit(-1))).alias("locality"),
-        F.when(n == 1, "SINGLE_LOCATION").when(n > 1, "MULTI_LOCATION").otherwise("UNKNOWN")
-        .alias("location_scope"),
-        F.when((n == 1) & pune, "HIGH").when(n >= 1, "MEDIUM").when(F.col("_state"), "LOW")
-        .otherwise("NONE").alias("location_confidence"),
-        F.coalesce(cities, F.array().cast("array<string>")).alias("matched_locations"),
-        F.lit(CITY_METHOD).alias("normalization_method"),
-        F.col("_level").alias("location_evidence_level"),
-        has_pune.alias("has_pune_evidence"),
-        exclusivity.alias("pune_exclusivity"),
-    )
-    return staged.withColumn("_level", level).select(*kept, result.alias(into))
+    return df.select("*", located.alias(into))
 
 
 def with_district_location(df: DataFrame, text: str, into: str = "location") -> DataFrame:
@@ -117,18 +125,18 @@ def with_district_location(df: DataFrame, text: str, into: str = "location") ->
     cheap, and only then as a whole word.
     """
     kept = df.columns
-    low = F.col("_low")
 
     def named(word: str) -> str:
         escaped = re.sub(r"([-.])", r"\\\1", word)
         pattern = sql_text(rf"(?U)\b{escaped}\b")
-        return f"contains(_low, {sql_text(word)}) AND _low RLIKE {pattern}"
+        return f"contains(low, {sql_text(word)}) AND low RLIKE {pattern}"
 
-    districts = F.expr(
+    # the text is a lambda variable: a filter on the result must not repeat its normalisation
+    districts = (
         "array_compact(array("
         + ", ".join(f"IF({named(n.lower())}, {sql_text(n)}, NULL)" for n, *_ in DISTRICTS) + "))"
     )
-    aliases = F.expr(
+    aliases = (
         "array_compact(array("
         + ", ".join(
             f"IF({named(a)}, named_struct('alias', {sql_text(a)}, 'district', {sql_text(d)}), NULL)"
@@ -137,15 +145,19 @@ def with_district_location(df: DataFrame, text: str, into: str = "location") ->
     )
     staged = (
         df.withColumn("_low", collapse(F.col(text)))
-        .withColumn("_aliases", aliases)
-        .withColumn("_named", districts)
+        .withColumn(
+            "_hits",
+            F.expr(f"element_at(transform(array(_low), low -> named_struct('named', {districts}, "
+                   f"'aliases', {aliases}, 'state', low RLIKE '(?U)\\\\bmaharashtra\\\\b')), 1)"),
+        )
+        .withColumn("_aliases", F.col("_hits.aliases"))
         .withColumn(
             "_matched",
             F.array_distinct(
-                F.concat("_named", F.transform("_aliases", lambda a: a["district"]))
+                F.concat("_hits.named", F.transform("_aliases", lambda a: a["district"]))
             ),
         )
-        .withColumn("_state", low.rlike(r"(?U)\bmaharashtra\b"))
+        .withColumn("_state", F.col("_hits.state"))
         .withColumn(
             "_level",
             F.when(F.size("_matched") > 1, "MULTI_EXPLICIT")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import collapse, sql_text, word_tokens
 from ..sources.seeds import OCCUPATIONS, TOKEN_RULES, Occupation, TokenRule
 
+_NORM = "_title_norm"
 _OUTCOME = ("occupation_id", "matched_text", "status", "method")
 MIN_CONTAINED = 4  # shorter titles or names never match by containment
 
@@ -29,28 +30,30 @@ def with_occupation(
     """Add ``struct(occupation_id, matched_text, status, method)``.
 
     Equality with a name or alias, then containment either way, then token rules; inside each
-    stage seed order decides.  One CASE over literals: generated code, no join, no shuffle.
+    stage seed order decides.  One CASE over literals: no join, no shuffle.  The normalised title
+    is a lambda variable, so a filter on the result that is pushed below does not repeat it in
+    every branch.
     """
     branches: list[tuple[str, tuple[str, str, str, str]]] = []
     phrases = [(o, t, k, " ".join(t.lower().split())) for o, t, k in _phrases(occupations)]
     for o, text, kind, low in phrases:
         branches.append((
-            f"_title_norm = {sql_text(low)}",
+            f"n = {sql_text(low)}",
             (o.occupation_id, text, o.verification_status, f"EXACT_{kind}"),
         ))
     for o, text, kind, low in phrases:
         if len(low) >= MIN_CONTAINED:
             branches.append((
-                f"contains(_title_norm, {sql_text(low)}) OR (length(_title_norm) >= "
-                f"{MIN_CONTAINED} AND contains({sql_text(low)}, _title_norm))",
+                f"contains(n, {sql_text(low)}) OR (length(n) >= {MIN_CONTAINED} "
+                f"AND contains({sql_text(low)}, n))",
                 (o.occupation_id, text, o.verification_status, f"SUBSTRING_{kind}"),
             ))
     names = {o.occupation_id: o.occupation_name for o in occupations}
     for rule in rules:
-        tests = [f"array_contains(_title_tokens, {sql_text(t)})" for t in rule.every]
+        tests = [f"array_contains(w, {sql_text(t)})" for t in rule.every]
         if rule.one_of:
             any_of = ", ".join(sql_text(t) for t in rule.one_of)
-            tests.append(f"arrays_overlap(_title_tokens, array({any_of}))")
+            tests.append(f"arrays_overlap(w, array({any_of}))")
         branches.append((
             " AND ".join(tests),
             (rule.occupation_id, names[rule.occupation_id], "NEEDS_REVIEW", "MULTI_TOKEN_RULE"),
@@ -62,17 +65,20 @@ def with_occupation(
         + ", ".join(f"'{f}', {sql_text(v)}" for f, v in zip(_OUTCOME, out)) + ")"
         for _, out in branches
     )
+    chosen = F.expr(
+        f"element_at(transform(array(`{_NORM}`), n -> element_at(transform(array(split(n, ' ')), "
+        f"w -> CASE WHEN n = '' THEN NULL {whens} END), 1)), 1)"
+    )
     unmapped = F.struct(
         F.lit(None).cast("string").alias("occupation_id"),
-        F.when(F.col("_title_norm") != "", F.col(title)).alias("matched_text"),
+        F.when(F.col(_NORM) != "", F.col(title)).alias("matched_text"),
         F.lit("UNMAPPED").alias("status"),
         F.lit("NONE").alias("method"),
     )
     kept = df.columns
     return (
-        df.withColumn("_title_norm", collapse(F.col(title)))
-        .withColumn("_title_tokens", F.split("_title_norm", " "))
-        .withColumn("_choice", F.expr(f"CASE WHEN _title_norm = '' THEN NULL {whens} END"))
+        df.withColumn(_NORM, collapse(F.col(title)))
+        .withColumn("_choice", chosen)
         .select(
             *kept,
             F.when(
