@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.identity import demand_run_id
 from ..functions.scoring import completeness
 from ..functions.text import is_blank, strip
+from ..session import cut_lineage
 from ..sources.seeds import OCCUPATIONS, TOKEN_RULES, occupations_df
 from .occupation import with_occupation
 from .scope import district_key, observation_scope
@@ -104,9 +105,11 @@ def district_demand(
 
     Totals and unknown-district counts are window wide; the other evidence counts belong to
     the district.  Spellings that differ in case or outer space are one district, shown under
-    their first spelling.  ``demand_score`` stays null under this rule version.
+    their first spelling.  ``demand_score`` stays null under this rule version.  The small cell
+    table is checkpointed, so this runs one job when called.
     """
     spark = cells.sparkSession
+    cells = cut_lineage(cells)  # three aggregates read it; resolve the titles once
     kinds = (("JOB", "job"), ("APPRENTICESHIP", "appr"))
     totals = cells.agg(
         *[_tally(k, _evidence(name)).alias(f"{name}_{short}")

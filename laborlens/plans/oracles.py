@@ -877,7 +877,7 @@ ORACLES["source_gate"] = text(POLICIES, """SELECT *, action = 'PROCEED' AS eligi
     ''' has neither crawl_allowed=True nor api_available=True.'
     ELSE 'Source meets all governance criteria.' END AS reason FROM gated""")
 ORACLES["governed_ingest"] = text(POLICIES + POSTINGS + [
-    values("feeds", "source_id", [("Supplier#000000000",), ("Supplier#000000001",),
+    values("feeds", "source_id", [("Supplier#000000005",), ("Supplier#000000001",),
                                   ("Unregistered",)]),
     """judged AS (SELECT f.source_id, coalesce(action, 'UNGOVERNED') AS action,
   coalesce(action = 'PROCEED', FALSE) AS eligible,

@@ -13,6 +13,7 @@ from ..operators import (
     persist, profiling, scores, search, skills, validate, velocity,
 )
 from ..operators.scope import disposition, observation_scope, sector_values
+from ..session import cut_lineage
 from ..sources import seeds, sinks
 from ..sources.gazetteer import districts_df
 from .views import table, view
@@ -68,6 +69,14 @@ def _accepted(spark, sf):
     return _normalized(spark, sf).where("accepted")
 
 
+def _ingested(spark, sf, *columns):
+    """Accepted rows as an ingest run leaves them: written once, then read by several steps."""
+    return cut_lineage(_accepted(spark, sf).select("row_key", "record_identity_hash", *columns))
+
+
+RAW = tuple(c for c in validate.RAW_COLUMNS)
+
+
 def _cells(spark, sf, **scope):
     return demand.demand_cells(
         view(spark, sf, "postings"), view(spark, sf, "apprenticeships"),
@@ -413,12 +422,12 @@ def last_nonempty(spark, sf):
 
 @query
 def collision_groups(spark, sf):
-    return collisions.collision_report(_accepted(spark, sf))
+    return collisions.collision_report(_ingested(spark, sf, *RAW))
 
 
 @query
 def collision_policy(spark, sf):
-    rows = _accepted(spark, sf)
+    rows = _ingested(spark, sf, *RAW)
     totals = rows.agg(
         F.count(F.lit(1)).alias("total_input_rows"),
         F.countDistinct("record_identity_hash").alias("unique_identities"),
@@ -429,22 +438,27 @@ def collision_policy(spark, sf):
 @query
 def collision_examples(spark, sf):
     return collisions.collision_examples(
-        collisions.collision_groups(_accepted(spark, sf))
+        collisions.collision_groups(_ingested(spark, sf, *RAW))
     ).select("identity", "classification", "example")
 
 
-def _stored(spark, sf):
+def _stored(rows):
     """Identities an earlier run stored: the rows of the most urgent orders."""
-    return (
-        _accepted(spark, sf).where("priority = '1-URGENT'")
-        .select("record_identity_hash").distinct()
-    )
+    return rows.where("priority = '1-URGENT'").select("record_identity_hash").distinct()
+
+
+OBSERVED = (
+    "priority", "skills", "source_id", "source_record_id", "job_title", "employer_name",
+    "location_text", "district", "state", "sector", "description", "posted_date", "seats",
+    "retrieved_at", "status", "location",
+)
 
 
 @query
 def insert_or_skip(spark, sf):
+    rows = _ingested(spark, sf, *OBSERVED)
     return persist.postings_to_insert(
-        _accepted(spark, sf), _stored(spark, sf), "SUPPLEMENTARY_HISTORICAL", "HISTORICAL",
+        rows, _stored(rows), "SUPPLEMENTARY_HISTORICAL", "HISTORICAL",
         "EXPIRED", ordinal="row_key",
     ).select(
         "posting_id", "job_title", "posted_date", "status", "source_skills", "seats",
@@ -454,11 +468,14 @@ def insert_or_skip(spark, sf):
 
 @query
 def ingest_accounting(spark, sf):
-    return persist.ingest_accounting(_normalized(spark, sf), _stored(spark, sf))
+    rows = cut_lineage(
+        _normalized(spark, sf).select("accepted", "record_identity_hash", "priority")
+    )
+    return persist.ingest_accounting(rows, _stored(rows.where("accepted")))
 
 
 def _edges(spark, sf):
-    rows = _accepted(spark, sf)
+    rows = _ingested(spark, sf, *RAW)
     groups = collisions.collision_groups(rows)
     facts = rows.select("record_identity_hash").distinct().withColumn(
         "posting_id", F.substring("record_identity_hash", 1, 32)
@@ -560,23 +577,18 @@ class PostingFeed:
 
 @query
 def governed_ingest(spark, sf):
+    """One feed three times: from an eligible, a halted and an unregistered source."""
     policies = governance.policies_from_registry(view(spark, sf, "sources"))
     out = None
-    for source in ("Supplier#000000000", "Supplier#000000001", "Unregistered"):
+    for source in ("Supplier#000000005", "Supplier#000000001", "Unregistered"):
         feed = PostingFeed(sf, source)
-        # the payload without its key: identical postings repeat, as reposted content does
-        raw = feed.read(spark)
-        hashed = raw.select("job_title", "location_text", "description", "posting_id")
-        records = _governed_without_key(hashed, feed, policies)
+        # the id is the order of arrival, not payload: reposted content repeats
+        records = ingest.governed_records(feed.read(spark), feed, policies, "posting_id")
         counts = ingest.governed_counts(records)
         out = counts if out is None else out.unionByName(counts)
     return out
 
 
-def _governed_without_key(raw, feed, policies):
-    return ingest.governed_records(raw, feed, policies, ordinal="posting_id")
-
-
 @query
 def source_gate(spark, sf):
     policies = governance.policies_from_registry(view(spark, sf, "sources"))
