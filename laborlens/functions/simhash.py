@@ -10,7 +10,7 @@ from .text import bind, word_tokens
 
 SHINGLE = 3
 _LANE = 0x0001000100010001  # one counter bit in each of four 16-bit lanes
-_LANE_ROWS = 65_535  # shingles per chunk, so that no lane can overflow
+_LANE_ROWS = 32_767  # shingles per chunk, so that not even the signed top lane overflows
 
 
 def _hash64(text: Column) -> Column:

@@ -19,10 +19,12 @@ SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``.
 
-    A one-element ``transform`` is Spark's only row-local variable binding: a plain alias
-    may be inlined back into every use, which would rerun a regex per array element.
+    A plain alias may be inlined back into every use, which would rerun a regex per array
+    element.  The finish step of ``aggregate`` over an empty array sees its start value as a
+    variable: Spark's row-local binding that neither repeats nor copies it.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    empty = F.array().cast("array<int>")
+    return F.aggregate(empty, value, lambda acc, _: acc, body)
 
 
 def sql_text(value: str | None) -> str:

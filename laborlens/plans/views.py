@@ -71,7 +71,7 @@ def _district(key: str, fallback: str) -> str:
 _SECTOR = _case("c_mktsegment", {
     "HOUSEHOLD": "Personal Care & Services", "FURNITURE": "IT-Software / Software Services",
     "MACHINERY": "BPO / Call Centre / ITES", "BUILDING": "", "AUTOMOBILE": "Automotive"})
-_DAY = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+_DAY = "day_text"
 _POSTDATE = (
     f"(CASE l_linenumber WHEN 1 THEN {_DAY} || ' 19:30:00 +0000' WHEN 2 THEN {_DAY} || "
     f"' 00:10:00 +0530' WHEN 3 THEN {_DAY} WHEN 4 THEN '' WHEN 5 THEN 'not a date' WHEN 6 THEN "
@@ -82,19 +82,26 @@ _ROW_KEY = (
     "CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || "
     "CAST(CAST(l_shipdate AS DATE) AS STRING))"
 )
-_FROM = """
-FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
-JOIN customer ON o_custkey = c_custkey"""
+# dimension texts are built on the dimension's side of the join, once per part or customer
+_FROM = f"""
+FROM lineitem JOIN (SELECT p_partkey, p_size, p_type, {TITLE} AS title,
+    {DESCRIPTION} AS description, {SOURCE_SKILLS} AS source_skills FROM part) p
+  ON l_partkey = p_partkey
+JOIN (SELECT o_orderkey, o_custkey, o_orderpriority, CAST(o_orderdate AS DATE) AS order_day,
+    CAST(CAST(o_orderdate AS DATE) AS STRING) AS day_text FROM orders) o
+  ON l_orderkey = o_orderkey
+JOIN (SELECT c_custkey, c_nationkey, c_name, {LOCATION} AS location_text, {_SECTOR} AS sector
+    FROM customer) c ON o_custkey = c_custkey"""
 
 VIEWS = {
     # untrusted rows as a scraper would deliver them
     "raw_rows": f"""
 SELECT {_ROW_KEY} AS row_key,
-  (CASE WHEN p_size = 1 THEN '  ' ELSE {TITLE} END) AS jobtitle,
+  (CASE WHEN p_size = 1 THEN '  ' ELSE title END) AS jobtitle,
   (CASE WHEN c_nationkey = 3 THEN '  ' ELSE c_name END) AS company,
-  {LOCATION} AS joblocation_address,
-  {_SECTOR} AS industry,
-  {DESCRIPTION} AS jobdescription,
+  location_text AS joblocation_address,
+  sector AS industry,
+  description AS jobdescription,
   {_POSTDATE} AS postdate,
   (CASE WHEN p_size < 10 THEN '' ELSE CAST(l_orderkey AS STRING) || '-' ||
     CAST(l_linenumber AS STRING) END) AS jobid,
@@ -102,17 +109,17 @@ SELECT {_ROW_KEY} AS row_key,
   (CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS STRING) WHEN l_returnflag = 'N' THEN ''
     WHEN l_quantity < 2 THEN 'several' WHEN l_quantity < 3 THEN '-2' ELSE '4' END)
     AS numberofpositions,
-  {SOURCE_SKILLS} AS skills,
+  source_skills AS skills,
   o_orderpriority AS priority
 {_FROM}""",
     # typed facts as the analyses read them
     "postings": f"""
 SELECT {_ROW_KEY} AS posting_id, o_orderpriority AS source_id,
   CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS source_record_id,
-  {TITLE} AS job_title, c_name AS employer_name, {LOCATION} AS location_text,
-  {_district("c_nationkey", "n_name")} AS district, {_SECTOR} AS sector,
-  {DESCRIPTION} AS description, CAST(o_orderdate AS DATE) AS posted_date,
-  l_shipdate AS retrieved_at, {SOURCE_SKILLS} AS source_skills,
+  title AS job_title, c_name AS employer_name, location_text,
+  {_district("c_nationkey", "n_name")} AS district, sector,
+  description, order_day AS posted_date,
+  l_shipdate AS retrieved_at, source_skills,
   (CASE l_linestatus WHEN 'O' THEN 'ACTIVE' ELSE 'EXPIRED' END) AS status
 {_FROM} JOIN nation ON c_nationkey = n_nationkey""",
     "apprenticeships": f"""
@@ -172,7 +179,7 @@ FROM (SELECT {_ADJECTIVE} || ' ' || {_NOUN} AS occupation_title,
     right(p_brand, 1) AS code, right(p_brand, 1) < '5' AS is_authoritative
   FROM part GROUP BY 1, 2, 3, 4) d""",
     "titles": f"""
-SELECT {TITLE} AS title, {_SECTOR} AS skills,
+SELECT title, sector AS skills,
   {_case("p_type", {"STANDARD": "OCC-COMP-01", "PROMO": "OCC-AUTO-01", "SMALL": "OCC-NONE"})}
     AS canonical_occupation_id
 {_FROM} GROUP BY 1, 2, 3""",
