@@ -116,3 +116,10 @@ def gate(records: DataFrame, policies: DataFrame) -> DataFrame:
 
 def gate_counts(gated: DataFrame) -> DataFrame:
     return gated.groupBy("source_id", "action").agg(F.count(F.lit(1)).alias("records"))
+
+
+def sources_to_register(incoming: DataFrame, registry: DataFrame) -> DataFrame:
+    """Sources whose id is not registered yet; registering again adds nothing."""
+    return incoming.dropDuplicates(["source_id"]).join(
+        registry.select("source_id"), "source_id", "left_anti"
+    )

@@ -7,7 +7,6 @@ Python worker; the only exchanges in this module carry per-skill partial counts.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -31,11 +30,15 @@ def _norm(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def _trie_pattern(phrases: list[str]) -> str:
-    """One alternation that prefers the longest phrase at each word start.
+def _trie_pattern(
+    phrases: list[str], before: str = r"(?<!\w)", after: str = r"(?!\w)",
+    longest_first: bool = True,
+) -> str:
+    """One alternation of all phrases between two boundary assertions.
 
-    Equivalent to ``(?<!\\w)(?:longest|...|shortest)(?!\\w)`` but shared prefixes are tested
-    once, so the cost per position does not grow with the dictionary.
+    Shared prefixes are tested once, so the cost per position does not grow with the
+    dictionary.  Of several phrases that fit at a position one is a prefix of the other;
+    ``longest_first`` says which of them wins.
     """
     root: dict = {}
     for phrase in phrases:
@@ -47,10 +50,10 @@ def _trie_pattern(phrases: list[str]) -> str:
     def emit(node: dict) -> str:
         options = [_quote(ch) + emit(child) for ch, child in sorted(node.items()) if ch]
         if "" in node:
-            options.append(r"(?!\w)")  # last: a longer phrase is tried first
+            options.insert(len(options) if longest_first else 0, after)
         return options[0] if len(options) == 1 else "(?:" + "|".join(options) + ")"
 
-    return r"(?iU)(?<!\w)" + emit(root)
+    return "(?iU)" + before + emit(root)
 
 
 def _quote(ch: str) -> str:
@@ -440,9 +443,11 @@ def tech_token_pattern(longest_first: bool = False) -> str:
     ``c#`` and a bare ``.net`` cannot end or start at a boundary and short alternatives hide
     longer ones.  ``longest_first`` repairs both.
     """
+    tokens = list(dict.fromkeys(TECH_TOKENS))
     if longest_first:
-        return _trie_pattern(list(dict.fromkeys(TECH_TOKENS)))
-    return r"(?iU)\b(?:" + "|".join(re.sub(r"([.+#])", r"\\\1", t) for t in TECH_TOKENS) + r")\b"
+        return _trie_pattern(tokens)
+    # in the token list a short form that can end before a space or dot precedes its extensions
+    return _trie_pattern(tokens, r"\b", r"\b", longest_first=False)
 
 
 def _form_counts(rows: DataFrame, source_kind: str) -> DataFrame:

@@ -152,3 +152,17 @@ def test_candidates_keep_raw_spellings(spark):
     assert out["android"]["observed_forms"] == "ANDROID, Android, android"
     assert (out["android"]["job_count"], out["android"]["mention_count"]) == (2, 4)
     assert (out["sales"]["job_count"], out["sales"]["mention_count"]) == (2, 0)
+
+
+def test_tech_pattern_equals_the_plain_alternation():
+    import re
+
+    from laborlens.sources.seeds import TECH_TOKENS
+
+    rng = random.Random(5)
+    trie = re.compile(skills.tech_token_pattern().replace("(?iU)", "(?i)"))
+    flat = re.compile(r"(?i)\b(?:" + "|".join(re.escape(t) for t in TECH_TOKENS) + r")\b")
+    pieces = list(TECH_TOKENS) + ["x", ".", " ", "-", "server", "native", "asp", "js", "script"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", "."]) for _ in range(6))
+        assert trie.findall(text) == flat.findall(text), text
