@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, sharding
+from . import bpe, chat, line_dedup, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,31 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            ids.alias("ids_sha256"))), path, "key",
     ).select("key.doc_id", "key.n_tokens", "key.ids_sha256",
              F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = line_dedup.apply(docs, line_dedup.build(docs))
+    return rows.select("doc_id", "n_lines", "n_dropped",
+                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_KEY = f"translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op2_line_dedup"] = f"""
+    WITH split AS (
+        SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+    ), lines AS (
+        SELECT doc_id, generate_subscripts(lines, 1) AS place, unnest(lines) AS line FROM split
+    ), keyed AS (SELECT doc_id, place, line, {_KEY} AS key FROM lines),
+    repeated AS (
+        SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 40
+        GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+    ), marked AS (
+        SELECT k.doc_id, place, line, top IS NOT NULL AND top <> k.doc_id AS dropped
+        FROM keyed k LEFT JOIN repeated USING (key)
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id"""
