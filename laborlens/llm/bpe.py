@@ -27,7 +27,7 @@ from .batches import chunks, gather, text_buffer
 from .codepoints import LETTER, NUMBER, OTHER, SPACE, decode as codepoints, kinds, widths
 
 MOST_VOCABULARY_BYTES = 64 << 20
-MOST_CACHED = 500_000
+MOST_CACHED = 250_000
 BLOCK = 256
 
 # States: what the code points since the last boundary are.

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, bpe, chat, line_dedup, sharding
+from . import bitsliced, bpe, chat, langid, line_dedup, packing, sharding
+from .common import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,3 +138,24 @@ ORACLES["op7_bit_sliced_top_k"] = """
                vec_id, score FROM scored
     )
     SELECT * FROM ranked WHERE rank <= 10"""
+
+
+def held_out(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~held_out()))
+    return langid.predict(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), path)
+    cut = cut_lineage(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32",
+                                    "sequence_id", "offset")
