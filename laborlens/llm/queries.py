@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, bpe, chat, langid, line_dedup, packing, sharding
+from . import bitsliced, bpe, chat, langid, line_dedup, packing, pq, sharding
 from .common import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +159,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut_lineage(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32",
                                     "sequence_id", "offset")
+
+
+@query
+def op9_product_quantised_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(_table(spark, sf_dir, "embeddings"))
