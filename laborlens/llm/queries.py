@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, bpe, chat, langid, line_dedup, packing, pq, sharding
+from . import bitsliced, bpe, chat, langid, line_dedup, minhash_forest, packing, pq, sharding
 from .common import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_product_quantised_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_forest.near_duplicates(docs, words=3, percent=85)
