@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, bpe, chat, langid, line_dedup, minhash_forest, packing, pq, sharding
+from . import bitsliced, bpe, chat, langid, line_dedup, minhash_forest, packing, pq, sharding, suffix_dedup
 from .common import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +170,10 @@ def op9_product_quantised_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash_forest.near_duplicates(docs, words=3, percent=85)
+
+
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 100)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans",
+                       F.sha2("kept", 256).alias("kept_sha256"))
