@@ -23,17 +23,29 @@ def local_session(app: str = "laborlens", cpus: str = "8", memory: str = "8g") -
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data: what spark.checkpoint.dir names.
 
-    Only when ``spark.checkpoint.dir`` is unset (tests on one machine) does this pick a
-    temporary folder.  Never a local checkpoint, which would die with its executor.
+    Unset, a session on one machine (as in tests) gets a temporary folder; on a cluster that is an
+    error, since executors do not share local folders.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(
-            configured or os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "checkpoints")
-        )
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None:
+        known = context._jsc.sc().getCheckpointDir()
+        if not known.isEmpty():
+            return known.get()
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "checkpoints")
+        context.setCheckpointDir(configured)
+    return configured
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; never a local one, which dies with its executor."""
+    spark = df.sparkSession
+    folder = checkpoint_folder(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
