@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import checkpoint_folder, cut_lineage
 
-__all__ = ["components", "cut_lineage", "gapless_rank"]
+__all__ = ["components", "cut_lineage", "gapless_rank", "shared_folder"]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; see `cut_lineage`."""
+    return checkpoint_folder(spark)
 
 
 def gapless_rank(df: DataFrame, groups: list[str], order: list[str], name: str,

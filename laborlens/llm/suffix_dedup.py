@@ -430,7 +430,7 @@ def _characters(data: np.ndarray, start: int, stop: int, a: np.ndarray, b: np.nd
 
 
 def _removed(docs: DataFrame, spans: DataFrame, whole_characters: bool) -> DataFrame:
-    kind = dict(docs.dtypes)["doc"]
+    kind, carried = (dict(docs.dtypes)[c] for c in ("doc", "carried"))
     lists = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,26 +458,29 @@ def _removed(docs: DataFrame, spans: DataFrame, whole_characters: bool) -> DataF
                 size = np.diff(edges)
                 bounds = np.append(0, np.cumsum(size - removed)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc"),
+                    part.column("doc"), part.column("carried"),
                     pa.Array.from_buffers(pa.binary(), part.num_rows, [
                         None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[keep]))]),
                     pa.array(size), pa.array(removed),
                     pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int64)),
-                ], names=["doc", "kept", "n_bytes", "n_removed", "n_spans"])
+                ], names=["doc", "carried", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return docs.join(lists, "doc", "left").select("doc", "text", "spans").mapInArrow(
-        run, f"doc {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    return docs.join(lists, "doc", "left").select("doc", "carried", "text", "spans").mapInArrow(
+        run, f"doc {kind}, carried {carried}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text",
-                   whole_characters: bool = False) -> DataFrame:
-    """Per row of `docs`: key, kept (the bytes left), n_bytes, n_removed and n_spans.
+                   whole_characters: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of `docs`: key, the columns in `keep`, kept (the bytes left), n_bytes, n_removed
+    and n_spans.
 
     `whole_characters` leaves the bytes of a character that a span covers only in part.
     """
     if length < 2 * GRAM:
         raise ValueError(f"strings of at least {2 * GRAM} bytes are needed")
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    carried = F.struct(*keep) if keep else F.lit(0)
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), carried.alias("carried"))
+    columns = ["doc", "text", "carried"]
     print_ = F.xxhash64(F.coalesce("text", F.lit("")))
     many = cut_lineage(rows.where(F.col("doc").isNotNull()).groupBy("doc").agg(
         F.min(print_).alias("least"), F.max(print_).alias("most")).where("least != most"))
@@ -486,15 +489,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     if not many.isEmpty():
         marked = rows.join(many, "doc", "left").withColumn(
             "own", F.col("least").isNull() | (print_ == F.col("least")))
-        whole = whole.unionByName(marked.where("not own").select("doc", "text"))
-        rows = marked.where("own").select("doc", "text")
-    first = cut_lineage(_decided(_anchored(rows, length), length))
+        whole = whole.unionByName(marked.where("not own").select(*columns))
+        rows = marked.where("own").select(*columns)
+    first = cut_lineage(_decided(_anchored(rows.select("doc", "text"), length), length))
     dealt = rows.repartition("doc")
     contexts = _contexts(dealt, first.where("gram is not null"), length)
     spans = first.where("gram is null").select("doc", "start", "stop").union(_judged(contexts, length))
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    untouched = whole.select("doc", F.coalesce("text", F.lit("")).cast("binary").alias("kept"),
+    untouched = whole.select("doc", "carried", F.coalesce("text", F.lit("")).cast("binary").alias("kept"),
                              size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
                              F.lit(0).cast("long").alias("n_spans"))
-    return (_removed(dealt, spans, whole_characters).unionByName(untouched)
-            .withColumnRenamed("doc", key))
+    found = _removed(dealt, spans, whole_characters).unionByName(untouched)
+    return found.select(F.col("doc").alias(key), *[F.col("carried")[c].alias(c) for c in keep],
+                        "kept", "n_bytes", "n_removed", "n_spans")
