@@ -91,7 +91,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
         for row, lang in zip(counts[:, :buckets], languages):
             seen = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(seen)), pa.array(seen.astype(np.int32)), pa.array(row[seen])],
+                [pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(row[seen])],
                 names=["label", "bucket", "n"])
 
     table = (chosen.select(F.col(label).alias("label"), F.col(text).alias("text"))
