@@ -77,19 +77,41 @@ def seats(c: Column) -> Column:
     return bind(blank_to_null(c), parsed)
 
 
+SALARY = "decimal(38,10)"  # 28 digits before the point; longer numbers are flagged
+YEARS = "bigint"
+
+
+def _found(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+
+
 def _numbers(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    return F.transform(found, lambda n: n.try_cast("decimal(12,2)"))
+    return F.transform(_found(text), lambda n: n.try_cast(SALARY))
+
+
+def _oversized(found: Column, kind: str) -> Column:
+    return F.coalesce(F.exists(found, lambda n: n.try_cast(kind).isNull()), F.lit(False))
+
+
+def _plain_salary(c: Column) -> Column:
+    for noise in (",", "₹", "Rs."):  # fixed values
+        c = F.replace(c, F.lit(noise), F.lit(""))
+    return c
+
+
+def oversized_salary(c: Column) -> Column:
+    """Whether a number is too long to be read, so that the parsed value lacks it."""
+    return _oversized(_found(_plain_salary(c)), SALARY)
+
+
+def oversized_experience(c: Column) -> Column:
+    return _oversized(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), YEARS)
 
 
 def salary_first_two(c: Column) -> Column:
     """``struct(low, high)``: the first two numbers, or one number twice."""
-    cleaned = F.replace(
-        F.replace(F.replace(c, F.lit(","), F.lit("")), F.lit("₹"), F.lit("")),
-        F.lit("Rs."), F.lit(""),
-    )
     return bind(
-        _numbers(cleaned),
+        _numbers(_plain_salary(c)),
         lambda n: F.struct(
             F.get(n, F.lit(0)).alias("low"),
             F.coalesce(F.get(n, F.lit(1)), F.get(n, F.lit(0))).alias("high"),
@@ -115,7 +137,7 @@ def salary_range(c: Column) -> Column:
 def experience_first_two(c: Column) -> Column:
     """``struct(low, high)``: the first two integers, or one twice."""
     found = F.transform(
-        F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("int")
+        F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast(YEARS)
     )
     return bind(
         found,
@@ -130,7 +152,7 @@ def experience_range(c: Column) -> Column:
     """``struct(low, high)``: ``n+`` is open ended, ``a-b`` a range, a bare number both ends."""
 
     def group(text: Column, pattern: str, index: int) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, index), F.lit("")).try_cast("int")
+        return F.nullif(F.regexp_extract(text, pattern, index), F.lit("")).try_cast(YEARS)
 
     def parsed(text: Column) -> Column:
         open_ended = group(text, r"^(\d+)\+", 1)

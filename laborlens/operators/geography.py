@@ -140,7 +140,7 @@ def with_district_location(df: DataFrame, text: str, into: str = "location") ->
         "array_compact(array("
         + ", ".join(
             f"IF({named(a)}, named_struct('alias', {sql_text(a)}, 'district', {sql_text(d)}), NULL)"
-            for d, words in DISTRICT_ALIASES for a in words
+            for a, d in DISTRICT_ALIASES
         ) + "))"
     )
     staged = (

@@ -94,23 +94,34 @@ def ingest_accounting(normalized: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
+def _wanted(groups: DataFrame, identity: str) -> DataFrame:
+    return groups.select(
+        F.btrim(identity).alias(identity),
+        F.btrim("classification").alias("relationship_type"),
+    ).where(F.col(identity) != "").distinct()
+
+
 def resolve_relationships(groups: DataFrame, postings: DataFrame) -> DataFrame:
-    """Collision groups to (member, type, group) edges by the 16-character identity prefix."""
-    keyed = postings.select(
-        F.substring(IDENTITY, 1, 16).alias("identity"), IDENTITY, "posting_id"
+    """Collision groups to (member, type, group) edges by their full identity."""
+    facts = postings.select(F.col(IDENTITY).alias("identity_hash"), "posting_id").distinct()
+    return _wanted(groups, "identity_hash").join(facts, "identity_hash").select(
+        F.col("posting_id").alias("member_record_id"), "relationship_type",
+        F.col("identity_hash").alias("group_id"),
     )
-    wanted = groups.select(
-        F.btrim("identity").alias("identity"),
-        F.btrim("classification").alias("relationship_type"),
-    ).where("identity <> ''")
-    return (
-        wanted.join(keyed, "identity")
-        .groupBy("identity", "relationship_type")
-        .agg(F.min(F.struct(IDENTITY, "posting_id")).alias("hit"))
-        .select(
-            F.col("hit.posting_id").alias("member_record_id"), "relationship_type",
-            F.col(f"hit.{IDENTITY}").alias("group_id"),
-        )
+
+
+def resolve_prefixes(groups: DataFrame, postings: DataFrame, length: int = 16) -> DataFrame:
+    """Edges of files that name an identity by its first characters.
+
+    A prefix that several identities share gives a row for each of them, marked `ambiguous`.
+    """
+    keyed = postings.select(
+        F.substring(IDENTITY, 1, length).alias("identity"), IDENTITY, "posting_id").distinct()
+    shared = keyed.groupBy("identity").agg(
+        (F.min(F.xxhash64(IDENTITY)) != F.max(F.xxhash64(IDENTITY))).alias("ambiguous"))
+    return _wanted(groups, "identity").join(keyed, "identity").join(shared, "identity").select(
+        F.col("posting_id").alias("member_record_id"), "relationship_type",
+        F.col(IDENTITY).alias("group_id"), "ambiguous",
     )
 
 

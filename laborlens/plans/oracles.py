@@ -408,7 +408,7 @@ ORACLES["skill_velocity"] = text(
                                      source="sightings"),
     velocity(("2024-01-16", "2024-01-30"), ("2024-01-01", "2024-01-15")))
 ORACLES["skill_velocity_postings"] = text(
-    POSTINGS + evidence(PLAIN, "source_id = '1-URGENT'"),
+    POSTINGS + evidence(PLAIN),
     velocity(("2001-01-01", "2001-12-31"), ("2000-01-01", "2000-12-31")))
 
 # --- occupations -------------------------------------------------------------------------
@@ -533,7 +533,7 @@ ORACLES["demand_run_counters"] = text(
   count(DISTINCT nullif(lower(trim(district)), '')) AS districts,
   count(DISTINCT CASE WHEN ok THEN occupation_id END) AS occupations
 FROM (SELECT *, NOT {blank('district')} AND NOT {blank('sector')} AS ok FROM postings
-  JOIN occ ON job_title = t WHERE source_id = '1-URGENT')""")
+  JOIN occ ON job_title = t)""")
 ORACLES["demand_upsert_status"] = text(
     DEMAND + demand_ctes("1999-12-31", "older0") + [
         """older AS (SELECT * FROM older0 WHERE occupation_id <> 'OCC-AUTO-01'
@@ -801,7 +801,8 @@ ORACLES["ingest_accounting"] = text(NORMALIZED + STORED + ["""a AS (SELECT
   AS skipped_rows, CAST(0 AS BIGINT) AS error_rows, TRUE AS reconciled FROM a""")
 EDGES = """SELECT substr(identity_hash, 1, 32) AS member_record_id,
   classification AS relationship_type, identity_hash AS group_id FROM groups"""
-ORACLES["prefix_resolve"] = text(COLLISIONS, EDGES)
+ORACLES["prefix_resolve"] = text(COLLISIONS, EDGES.replace(
+    " FROM groups", ", FALSE AS ambiguous FROM groups"))
 ORACLES["relationship_insert"] = text(
     COLLISIONS, EDGES + " WHERE classification <> 'UNCERTAIN'")
 ORACLES["referential_check"] = """SELECT l_orderkey, count(*) AS orphans FROM lineitem
@@ -930,23 +931,30 @@ def parser(column: str, select: str) -> str:
         f"SELECT input, {select} FROM inputs")
 
 
+def oversized(numbers: str, kind: str) -> str:
+    return (f", coalesce(len(list_filter({numbers}, lambda x: TRY_CAST(x AS {kind}) IS NULL)) > 0, "
+            "FALSE) AS malformed")
+
+
 ORACLES["parse_salary"] = parser(
-    "salary", first_two(_SALARY_1.format("input"), "DECIMAL(12,2)").format("DOUBLE"))
-_ALL = f"list_transform({_SALARY_2.format('input')}, lambda x: TRY_CAST(x AS DECIMAL(12,2)))"
+    "salary", first_two(_SALARY_1.format("input"), "DECIMAL(38,10)").format("DOUBLE")
+    + oversized(_SALARY_1.format("input"), "DECIMAL(38,10)"))
+_ALL = f"list_transform({_SALARY_2.format('input')}, lambda x: TRY_CAST(x AS DECIMAL(38,10)))"
 ORACLES["clean_salary"] = parser(
     "salary", f"CAST(list_min({_ALL}) AS DOUBLE) AS low, CAST(list_max({_ALL}) AS DOUBLE) AS "
     "high, CASE WHEN input <> '' THEN 'INR' END AS currency")
 ORACLES["parse_experience"] = parser(
-    "experience", first_two(_YEARS.format("input"), "INTEGER").format("INTEGER"))
+    "experience", first_two(_YEARS.format("input"), "BIGINT").format("BIGINT")
+    + oversized(_YEARS.format("input"), "BIGINT"))
 _C = "trim(regexp_replace(lower(input), 'years?|yrs?', '', 'g'))"
 ORACLES["clean_experience"] = parser("experience", f"""
   CAST(CASE WHEN regexp_matches({_C}, '^\\d+\\+') THEN regexp_extract({_C}, '^(\\d+)', 1)
     WHEN regexp_matches({_C}, '^\\d+\\s*[-–]\\s*\\d+') THEN regexp_extract({_C}, '^(\\d+)', 1)
-    WHEN regexp_matches({_C}, '^[+-]?\\d+$') THEN {_C} END AS INTEGER) AS low,
+    WHEN regexp_matches({_C}, '^[+-]?\\d+$') THEN {_C} END AS BIGINT) AS low,
   CAST(CASE WHEN regexp_matches({_C}, '^\\d+\\+') THEN NULL
     WHEN regexp_matches({_C}, '^\\d+\\s*[-–]\\s*\\d+')
       THEN regexp_extract({_C}, '^\\d+\\s*[-–]\\s*(\\d+)', 1)
-    WHEN regexp_matches({_C}, '^[+-]?\\d+$') THEN {_C} END AS INTEGER) AS high""")
+    WHEN regexp_matches({_C}, '^[+-]?\\d+$') THEN {_C} END AS BIGINT) AS high""")
 ORACLES["parse_dates"] = parser("day_text", """
   CASE WHEN regexp_full_match(input, '\\d{4}(-\\d{1,2}-|/\\d{1,2}/)\\d{1,2}') THEN
       TRY_CAST(replace(input, '/', '-') AS DATE)
@@ -975,10 +983,10 @@ SNAPSHOT = view_cte("parser_inputs") + [f"""snap AS (SELECT *,
     AS validation_errors, CASE WHEN l_linenumber = 1 THEN 'Thane' ELSE 'Pune' END AS district,
   CASE WHEN title <> '' THEN sha256(concat_ws(':', 'snapshot', rid, lower(title),
     lower(employer))) END AS job_identity_hash,
-  TRY_CAST({_EXP}[1] AS INTEGER) AS experience_years_min,
-  TRY_CAST(coalesce({_EXP}[2], {_EXP}[1]) AS INTEGER) AS experience_years_max,
-  CAST(TRY_CAST({_SAL}[1] AS DECIMAL(12,2)) AS DOUBLE) AS salary_min,
-  CAST(TRY_CAST(coalesce({_SAL}[2], {_SAL}[1]) AS DECIMAL(12,2)) AS DOUBLE) AS salary_max,
+  TRY_CAST({_EXP}[1] AS BIGINT) AS experience_years_min,
+  TRY_CAST(coalesce({_EXP}[2], {_EXP}[1]) AS BIGINT) AS experience_years_max,
+  CAST(TRY_CAST({_SAL}[1] AS DECIMAL(38,10)) AS DOUBLE) AS salary_min,
+  CAST(TRY_CAST(coalesce({_SAL}[2], {_SAL}[1]) AS DECIMAL(38,10)) AS DOUBLE) AS salary_max,
   CASE WHEN regexp_full_match(day_text, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN
     TRY_CAST(day_text AS DATE) END AS posted_day,
   coalesce(day_text, '') <> '' AND NOT regexp_full_match(day_text,
@@ -1065,7 +1073,7 @@ UNION ALL
 (SELECT {_NORMAL} AS value, count(*) AS n, 'NORMALISED' AS kind FROM {_JOIN_CITY}
   GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)""")
 _ALIASES = [(i, a, d) for i, (a, d) in enumerate(
-    (a, d) for d, words in gazetteer.DISTRICT_ALIASES for a in words)]
+    (a, d) for a, d in gazetteer.DISTRICT_ALIASES)]
 DISTRICT = view_cte("raw_rows") + [
     values("districts", "ord, district, division",
            [(i, n, d) for i, (n, d, *_) in enumerate(gazetteer.DISTRICTS)]),
@@ -1274,7 +1282,7 @@ ORACLES["ontology_checks"] = text(view_cte("institute_trades") + [
   UNION ALL SELECT 'Mapping references non-existent skill_id: ' || skill_id FROM mappings
     WHERE skill_id NOT IN (SELECT skill_id FROM entities)) GROUP BY 1""")
 ORACLES["evidence_export"] = text(
-    POSTINGS + evidence(PLAIN, "source_id = '3-MEDIUM'"), """SELECT skill_id, skill_name,
+    POSTINGS + evidence(PLAIN), """SELECT skill_id, skill_name,
   posting_id AS job_posting_id, evidence_type, confidence AS match_confidence,
   method AS extraction_method, evidence_text, district, sector, source_id,
   CAST(CAST(retrieved_at AS DATE) AS VARCHAR) AS observation_period FROM evidence""")

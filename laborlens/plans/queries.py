@@ -283,7 +283,7 @@ def skill_velocity(spark, sf):
 def skill_velocity_postings(spark, sf):
     return velocity.skill_velocity(
         view(spark, sf, "postings"), _plain(), ("2001-01-01", "2001-12-31"),
-        ("2000-01-01", "2000-12-31"), source_id="1-URGENT",
+        ("2000-01-01", "2000-12-31"),
     )
 
 
@@ -316,7 +316,7 @@ def district_demand(spark, sf):
 @query
 def demand_run_counters(spark, sf):
     return demand.run_counters(
-        demand.demand_cells(view(spark, sf, "postings"), None, "1-URGENT", None, *WINDOW)
+        demand.demand_cells(view(spark, sf, "postings"), None, None, None, *WINDOW)
     )
 
 
@@ -474,18 +474,21 @@ def ingest_accounting(spark, sf):
     return persist.ingest_accounting(rows, _stored(rows.where("accepted")))
 
 
-def _edges(spark, sf):
+def _groups_and_facts(spark, sf):
     rows = _ingested(spark, sf, *RAW)
-    groups = collisions.collision_groups(rows)
     facts = rows.select("record_identity_hash").distinct().withColumn(
         "posting_id", F.substring("record_identity_hash", 1, 32)
     )
-    return persist.resolve_relationships(groups, facts)
+    return collisions.collision_groups(rows), facts
+
+
+def _edges(spark, sf):
+    return persist.resolve_relationships(*_groups_and_facts(spark, sf))
 
 
 @query
 def prefix_resolve(spark, sf):
-    return _edges(spark, sf)
+    return persist.resolve_prefixes(*_groups_and_facts(spark, sf))
 
 
 @query
@@ -706,6 +709,7 @@ def parse_salary(spark, sf):
     return _parsed(spark, sf, "salary", p=parse.salary_first_two).select(
         "input", F.col("p.low").cast("double").alias("low"),
         F.col("p.high").cast("double").alias("high"),
+        parse.oversized_salary(F.col("input")).alias("malformed"),
     )
 
 
@@ -719,7 +723,8 @@ def clean_salary(spark, sf):
 
 @query
 def parse_experience(spark, sf):
-    return _parsed(spark, sf, "experience", p=parse.experience_first_two).select("input", "p.*")
+    return _parsed(spark, sf, "experience", p=parse.experience_first_two).select(
+        "input", "p.*", parse.oversized_experience(F.col("input")).alias("malformed"))
 
 
 @query
@@ -984,9 +989,7 @@ def ontology_checks(spark, sf):
 
 @query
 def evidence_export(spark, sf):
-    return sinks.skill_evidence_export(
-        view(spark, sf, "postings"), _plain(), "3-MEDIUM"
-    )
+    return sinks.skill_evidence_export(view(spark, sf, "postings"), _plain())
 
 
 # --- specified measures ------------------------------------------------------------------

@@ -16,8 +16,6 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-SPREAD = ("lineitem", "documents", "events", "orders")  # the tables that grow
-
 
 def _case(expr: str, pairs: dict, default: str = "NULL") -> str:
     def lit(v):
@@ -194,11 +192,12 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
     CAST(l_partkey + l_suppkey AS STRING) || ',000 PA' WHEN 2 THEN 'Rs. ' ||
     CAST(l_partkey AS STRING) || '.50 per annum' WHEN 3 THEN 'Not disclosed' WHEN 4 THEN ''
     WHEN 5 THEN NULL WHEN 6 THEN CAST(l_suppkey AS STRING) || ' to ' || CAST(l_partkey AS STRING)
-    || ' or 7' ELSE CAST(l_suppkey AS STRING) || ' PA' END) AS salary,
+    || ' or 7' ELSE '₹12345678' ||
+    CAST(l_partkey AS STRING) || '901.125 - ₹20000000000 PA' END) AS salary,
   (CASE l_linenumber WHEN 1 THEN CAST(l_suppkey AS STRING) || '-' || CAST(l_suppkey + 2 AS STRING)
     || ' years' WHEN 2 THEN CAST(l_suppkey AS STRING) || '+ Years' WHEN 3 THEN 'Freshers'
     WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN CAST(l_suppkey AS STRING) || ' yrs' ELSE
-    CAST(l_suppkey AS STRING) || ' – ' || CAST(l_partkey AS STRING) || ' yr' END) AS experience,
+    CAST(l_suppkey AS STRING) || ' – 99999999999' || CAST(l_partkey AS STRING) || ' yr' END) AS experience,
   (CASE l_linenumber WHEN 1 THEN CAST(CAST(l_shipdate AS DATE) AS STRING) WHEN 2 THEN
     replace(CAST(CAST(l_shipdate AS DATE) AS STRING), '-', '/') WHEN 3 THEN '31/01/2016'
     WHEN 4 THEN '31-02-2016' WHEN 5 THEN NULL WHEN 6 THEN '5-6-2001' ELSE 'soon' END) AS day_text,
@@ -214,13 +213,7 @@ FROM lineitem""",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table.  One that arrives in fewer splits than there are cores (a single small
-    file) is spread over them; a large table has its own splits and is read as it is."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

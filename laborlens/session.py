@@ -18,6 +18,7 @@ def local_session(app: str = "laborlens", cpus: str = "8", memory: str = "8g") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.files.maxPartitionBytes", str(32 << 20))
         .getOrCreate()
     )
