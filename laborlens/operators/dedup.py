@@ -11,6 +11,7 @@ from ..functions.simhash import hamming, simhash64
 from ..session import cut_lineage
 
 NEAR_HAMMING = 3  # fixed value
+SALTS = 8  # tasks that the copies of one fingerprint are spread over
 
 
 def fingerprints(df: DataFrame, record_id: str, ordinal: str, fields: list[str]) -> DataFrame:
@@ -43,10 +44,10 @@ def earliest_near(
     least ``blocks - threshold`` of them, so joining on every such choice of blocks finds every
     pair: exact, with keys of about 32 bits (six blocks, three agreeing).
 
-    Buckets with one member are dropped before the join.  A crowded bucket is split: each of
-    its members is probed in one of ``n / crowded`` cells while the other side is copied to all
-    of them, so no task sees more than ``crowded`` probes of a bucket.  Matches are reduced to
-    the smallest ordinal as they are found; pairs are never kept.
+    Buckets with one member are dropped before the join.  A crowded bucket is dealt into parts of
+    about ``crowded`` members, and every pair of parts is a cell of its own, so no join key holds
+    more than two parts.  Matches are reduced to the smallest ordinal as they are found; pairs are
+    never kept.  With a boolean column ``stored`` only the rows where it is false are matched.
     """
     masks = _block_masks(blocks)
     keys = [
@@ -56,25 +57,29 @@ def earliest_near(
         )
         for i, chosen in enumerate(combinations(masks, blocks - threshold))
     ]
+    if "stored" not in firsts.columns:
+        firsts = firsts.withColumn("stored", F.lit(False))
     keyed = firsts.select(
-        "fingerprint", "ordinal", F.explode(F.array(*keys)).alias("k")
-    ).select("fingerprint", "ordinal", "k.choice", "k.bits")
+        "fingerprint", "ordinal", "stored", F.explode(F.array(*keys)).alias("k")
+    ).select("fingerprint", "ordinal", "stored", "k.choice", "k.bits")
     sizes = (
         keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .withColumn("cells", F.ceil(F.col("n") / crowded).cast("int"))
+        .select("choice", "bits", F.ceil(F.col("n") / crowded).cast("int").alias("parts"))
     )
-    shared = keyed.join(sizes, ["choice", "bits"])
-    probe = shared.select(
-        "choice", "bits", F.pmod(F.xxhash64("fingerprint"), F.col("cells")).cast("int")
-        .alias("cell"),
-        F.col("fingerprint"), F.col("ordinal"),
-    )
-    build = shared.select(
-        "choice", "bits", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"),
-        F.col("fingerprint").alias("other"), F.col("ordinal").alias("other_ordinal"),
+    part = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
+    dealt = (
+        keyed.join(sizes, ["choice", "bits"]).withColumn("part", part)
+        .withColumn("against", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(
+            "choice", "bits", F.least("part", "against").alias("low"),
+            F.greatest("part", "against").alias("high"), "fingerprint", "ordinal", "stored",
+        )
     )
+    cell = ["choice", "bits", "low", "high"]
+    build = dealt.select(*cell, F.col("fingerprint").alias("other"),
+                         F.col("ordinal").alias("other_ordinal"))
     return (
-        probe.join(build, ["choice", "bits", "cell"])
+        dealt.where("not stored").join(build, cell)
         .where(
             (F.col("other_ordinal") < F.col("ordinal"))
             & (hamming(F.col("fingerprint"), F.col("other")) <= threshold)
@@ -85,28 +90,34 @@ def earliest_near(
 
 def duplicate_status(
     rows: DataFrame, threshold: int = NEAR_HAMMING, blocks: int = 6,
-    posting_token: str | None = None,
+    posting_token: str | None = None, stored: DataFrame | None = None,
 ) -> DataFrame:
-    """Classify each record against all earlier ones.
+    """Classify each record against all earlier ones, those of ``stored`` included.
 
     EXACT_MATCH when its canonical key was seen before; otherwise NEAR_DUPLICATE when an
     earlier fingerprint is equal (first choice) or within ``threshold`` bits; otherwise
     DISTINCT.  With a ``posting_token`` column a near match on that very record is a REPOST.
 
-    ``rows`` comes from :func:`fingerprints` (ordinals unique).  Texts are hashed once: the
-    narrow result is checkpointed.  "Is this the first of its group" is answered by joining on
-    the unique ordinal of each group's minimum, so a group of copies of any size never meets
-    in one task.
+    ``rows`` comes from :func:`fingerprints`, and so does ``stored``, the records of earlier runs,
+    whose ordinals come before those of ``rows``; all ordinals are unique.  Stored records are not
+    hashed again and not returned.
+
+    Texts are hashed once: the narrow result is checkpointed.  Whether a record is the first of its
+    key is answered by joining on the unique ordinal of each key's minimum; the join with the first
+    record of a fingerprint is salted, so copies of one text are spread over several tasks.
     """
     tokens = [F.col(posting_token).alias("_token")] if posting_token else []
-    rows = cut_lineage(
-        rows.select("record_id", "ordinal", "canonical_key", "fingerprint", *tokens)
-    )
-    first_of_key = rows.groupBy("canonical_key").agg(F.min("ordinal").alias("ordinal")).select(
+    columns = ["record_id", "ordinal", "canonical_key", "fingerprint"]
+    rows = cut_lineage(rows.select(*columns, *tokens))
+    known = rows.select(*columns, F.lit(False).alias("stored"))
+    if stored is not None:
+        known = known.unionByName(stored.select(*columns, F.lit(True).alias("stored")))
+    first_of_key = known.groupBy("canonical_key").agg(F.min("ordinal").alias("ordinal")).select(
         "ordinal", F.lit(True).alias("new_key")
     )
-    firsts = rows.groupBy("fingerprint").agg(F.min("ordinal").alias("ordinal"))
-    named = firsts.join(rows.select("ordinal", "record_id"), "ordinal")
+    firsts = known.groupBy("fingerprint").agg(
+        F.min("ordinal").alias("ordinal"), F.bool_or("stored").alias("stored"))
+    named = firsts.join(known.select("ordinal", "record_id"), "ordinal")
     near = earliest_near(firsts, threshold, blocks).join(
         named.select(
             F.col("ordinal").alias("matched_ordinal"), F.col("record_id").alias("near_id")
@@ -116,6 +127,7 @@ def duplicate_status(
     first_seen = named.join(near.select("fingerprint", "near_id"), "fingerprint", "left").select(
         "fingerprint", F.col("ordinal").alias("first_ordinal"),
         F.col("record_id").alias("first_id"), "near_id",
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
     found = F.when(F.col("ordinal") > F.col("first_ordinal"), F.col("first_id")).otherwise(
         F.col("near_id")
@@ -124,7 +136,8 @@ def duplicate_status(
     if posting_token:
         near_label = F.when(F.col("_token") == F.col("found"), "REPOST").otherwise(near_label)
     return (
-        rows.join(first_seen, "fingerprint")
+        rows.withColumn("salt", F.pmod("ordinal", F.lit(SALTS)).cast("int"))
+        .join(first_seen, ["fingerprint", "salt"])
         .withColumn("found", found)
         .join(first_of_key, "ordinal", "left")
         .select(

@@ -1029,21 +1029,31 @@ SIMHASH = [
 ]
 ORACLES["simhash"] = text(SIMHASH, """SELECT CAST(doc_id AS VARCHAR) AS posting_id,
   lpad(lower(to_hex(f)), 16, '0') AS fingerprint FROM fp""")
-ORACLES["dedup_status"] = text(SIMHASH + [
-    """keyed AS (SELECT doc_id, f, lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS k
-  FROM documents JOIN fp USING (doc_id))""",
-    """same_key AS (SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY k) AS seen
-  FROM keyed)""",
-    """first_fp AS (SELECT f, min(doc_id) AS first_id FROM fp GROUP BY 1)""",
-    """near AS (SELECT a.f, min(b.first_id) AS near_id FROM first_fp a, first_fp b
-  WHERE b.first_id < a.first_id AND bit_count(xor(a.f, b.f)) <= 3 GROUP BY 1)""",
-    """matched AS (SELECT k.doc_id, s.seen, CASE WHEN k.doc_id > first_id THEN first_id ELSE
+
+
+def duplicates(ordinal: str = "doc_id", new: str = "TRUE", repost: str = "") -> str:
+    """Statuses in the order of `ordinal`, of the rows where `new` holds."""
+    return text(SIMHASH + [
+        f"""keyed AS (SELECT doc_id, f, {ordinal} AS o, {new} AS fresh,
+  lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS k FROM documents JOIN fp USING (doc_id))""",
+        """same_key AS (SELECT doc_id, o > min(o) OVER (PARTITION BY k) AS seen FROM keyed)""",
+        """first_fp AS (SELECT f, min(o) AS first_o, arg_min(doc_id, o) AS first_id FROM keyed
+  GROUP BY 1)""",
+        """near AS (SELECT a.f, arg_min(b.first_id, b.first_o) AS near_id FROM first_fp a, first_fp b
+  WHERE b.first_o < a.first_o AND bit_count(xor(a.f, b.f)) <= 3 GROUP BY 1)""",
+        """matched AS (SELECT k.doc_id, s.seen, CASE WHEN k.o > first_o THEN first_id ELSE
   near_id END AS m FROM keyed k JOIN same_key s USING (doc_id) JOIN first_fp USING (f)
-  LEFT JOIN near USING (f))""",
-], """SELECT CAST(doc_id AS VARCHAR) AS record_id, CASE WHEN seen THEN 'EXACT_MATCH' WHEN m IS NOT
-  NULL THEN 'NEAR_DUPLICATE' ELSE 'DISTINCT' END AS status,
+  LEFT JOIN near USING (f) WHERE fresh)""",
+    ], f"""SELECT CAST(doc_id AS VARCHAR) AS record_id, CASE WHEN seen THEN 'EXACT_MATCH' {repost}
+  WHEN m IS NOT NULL THEN 'NEAR_DUPLICATE' ELSE 'DISTINCT' END AS status,
   CASE WHEN NOT seen THEN CAST(m AS VARCHAR) END AS matched_record_id FROM matched""")
 
+
+ORACLES["dedup_status"] = duplicates()
+ORACLES["dedup_incremental"] = duplicates(
+    "doc_id + CASE WHEN lang = 'en' THEN 0 ELSE 1000000000000 END", "lang <> 'en'")
+ORACLES["dedup_repost"] = duplicates(repost="WHEN m = doc_id - 1 THEN 'REPOST'")
+
 # --- geography ---------------------------------------------------------------------------
 
 RAW_CITY = view_cte("raw_rows") + city_ctes("SELECT joblocation_address AS loc FROM raw_rows")

@@ -771,6 +771,33 @@ def dedup_status(spark, sf):
     )
 
 
+@query
+def dedup_incremental(spark, sf):
+    """English documents were stored by an earlier run; the others arrive after them."""
+    rows = fingerprinted_with_language(spark, sf)
+    late = rows.where("sector <> 'en'").withColumn("ordinal", F.col("ordinal") + F.lit(10**12))
+    return dedup.duplicate_status(late, stored=rows.where("sector = 'en'")).select(
+        "record_id", "status", "matched_record_id"
+    )
+
+
+def fingerprinted_with_language(spark, sf):
+    texts = view(spark, sf, "texts")
+    return dedup.fingerprints(texts, "posting_id", "ordinal", ["description"]).join(
+        texts.select(F.col("posting_id").alias("record_id"), "sector"), "record_id"
+    )
+
+
+@query
+def dedup_repost(spark, sf):
+    """Every record claims to be posted again from the record before it."""
+    rows = _fingerprints(spark, sf).withColumn(
+        "token", (F.col("ordinal") - 1).cast("string"))
+    return dedup.duplicate_status(rows, posting_token="token").select(
+        "record_id", "status", "matched_record_id"
+    )
+
+
 # --- geography ---------------------------------------------------------------------------
 
 def _flat(df, *keep):
