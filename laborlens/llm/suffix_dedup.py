@@ -32,7 +32,7 @@ from .common import cut_lineage
 from .suffix_array import suffix_array
 
 GRAM = 32
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18  # bytes that are worked on at a time, which bounds a task's memory
 POOL_BYTES = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -129,7 +129,7 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SEGMENT):
                 data, edges = text_buffer(part.column("text"))
                 for piece, starts, row, begin, shift in _segments(data, edges, length):
                     if not len(starts):
@@ -235,7 +235,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SEGMENT):
                 data, edges = text_buffer(part.column("text"))
                 lists = part.column("asked")
                 counts = np.diff(lists.offsets.to_numpy())
@@ -435,7 +435,7 @@ def _removed(docs: DataFrame, spans: DataFrame, whole_characters: bool) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SEGMENT):
                 data, edges = text_buffer(part.column("text"))
                 column = part.column("spans")
                 counts = column.value_lengths().fill_null(0).to_numpy()
