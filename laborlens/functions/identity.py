@@ -103,18 +103,23 @@ def canonical_key(fields: dict[str, Column]) -> Column:
 
 
 def demand_run_id(
-    rule_version: str, district: Column, start: Column, end: Column, *scope: str
+    rule_version: str, district: Column, start: Column, end: Column, scope: Column
 ) -> Column:
-    """Run id of a district window; ``scope`` (source, sector) joins the key only when set."""
-    extra = [F.lit(s) for s in scope if s]
+    """Run id of a district window; ``scope`` lists the source and sector that were set."""
     return _sha(
         F.concat_ws(
             ":", F.lit(rule_version), F.lower(strip(district)),
-            F.date_format(start, "yyyy-MM-dd"), F.date_format(end, "yyyy-MM-dd"), *extra,
+            F.date_format(start, "yyyy-MM-dd"), F.date_format(end, "yyyy-MM-dd"), scope,
         )
     )
 
 
-def skill_run_id(rule_version: str, district: str, source_id: str, start: str, end: str) -> Column:
+def skill_run_id(
+    rule_version: str, district: str, source_id: str, start: str, end: str,
+    sector: str | list[str] | None = None,
+) -> Column:
+    """Run id of a skill demand run; the sector joins the key only when set."""
     text = f"skill-demand:{rule_version}:{district.lower().strip()}:{source_id}:{start}:{end}"
+    if sector:
+        text += ":" + (sector if isinstance(sector, str) else ",".join(sorted(sector)))
     return _sha(F.lit(text))

@@ -30,8 +30,11 @@ def demand_cells(
     """Counts per (kind, district spelling, sector known, occupation, status): one pass.
 
     Every demand figure derives from this small table.  Titles are resolved before the
-    exchange, so what is shuffled is partial counts, never postings.
+    exchange, so what is shuffled is partial counts, never postings.  ``scope`` keeps the source
+    and sector that were asked for, so that run ids differ by them.
     """
+    wanted = [source_id, sector if sector is None or isinstance(sector, str) else ",".join(sorted(sector))]
+    scope = F.array(*[F.lit(s) for s in wanted if s]).cast("array<string>")
     parts = []
     for kind, df, title in (
         ("JOB", postings, "job_title"), ("APPRENTICESHIP", apprenticeships, "trade_title")
@@ -66,6 +69,7 @@ def demand_cells(
             F.bool_or(F.col("occupation_id").isNotNull()).alias("is_mapped"),
             F.bool_or(F.col("district").isNotNull()).alias("has_district"),
         )
+        .withColumn("scope", scope)
     )
 
 
@@ -98,7 +102,6 @@ def district_demand(
     end: date | str,
     rule_version: str = RULE_VERSION,
     district: str | None = None,
-    scope: tuple[str, ...] = (),
     occupations=OCCUPATIONS,
 ) -> DataFrame:
     """One row per (district, occupation) with job and apprenticeship counts and evidence.
@@ -122,6 +125,7 @@ def district_demand(
         keyed = keyed.where(F.col("district_key") == district.strip().lower())
     local = keyed.groupBy("district_key").agg(
         F.min("district").alias("district"),
+        F.any_value("scope").alias("scope"),  # the same in all cells of a run
         *[_tally(k, _evidence(name)).alias(f"{name}_{short}")
           for k, short in kinds for name in _LOCAL],
     )
@@ -133,7 +137,7 @@ def district_demand(
     )
     sectors = occupations_df(spark, occupations).select("occupation_id", "sector")
     first, last = (F.lit(str(d)).cast("date") for d in (start, end))
-    run = demand_run_id(rule_version, F.col("district"), first, last, *scope)
+    run = demand_run_id(rule_version, F.col("district"), first, last, F.col("scope"))
     return (
         counts.join(local, "district_key")
         .join(sectors, "occupation_id", "left")

@@ -45,7 +45,7 @@ def skill_demand(
     seed = dictionary.to_df(spark).select("skill_id", "skill_name", "verification_status")
     run = skill_run_id(
         rule_version, district or "ALL", source_id or "ALL",
-        str(start or date.min), str(end or date.max),
+        str(start or date.min), str(end or date.max), sector,
     )
     everything = _everything()
     merged = seed.join(counts, "skill_id", "full").withColumns(
@@ -152,7 +152,7 @@ def gap_summary(gap: DataFrame) -> DataFrame:
 
 
 # Recommendation wording per gap status.  Arguments: 1 skill name, 2 postings,
-# 3 share text, 4 supply note, 5 evaluated postings.
+# 3 share text, 4 supply note, 5 evaluated postings, 6 supplier, 7 its institutes, 8 directory.
 RECOMMENDATION_RULES = (
     ("HIGH_GAP_SUPPLIED",
      "Review / validate training supply for %1$s",
@@ -165,7 +165,7 @@ RECOMMENDATION_RULES = (
     ("HIGH_GAP",
      "Investigate training supply availability for %1$s",
      "High demand evidence (%2$d jobs, %3$s share) with NO DVET supply evidence in current "
-     "snapshot. Current snapshot covers only ITI Haveli (1 institute); Pune-wide training "
+     "snapshot. Current snapshot covers only %6$s (%7$s); %8$s-wide training "
      "landscape is UNKNOWN.",
      "%2$d distinct jobs reference this skill (%3$s of evaluated jobs). %4$s",
      "MEDIUM",
@@ -182,7 +182,7 @@ RECOMMENDATION_RULES = (
      "Verify supply data for %1$s",
      "DVET supply evidence exists but is unverified (NEEDS_REVIEW). Demand-supply alignment "
      "cannot be determined.",
-     "Supply evidence present from ITI Haveli snapshot. %2$d demand jobs. %4$s",
+     "Supply evidence present from %6$s snapshot. %2$d demand jobs. %4$s",
      "LOW",
      "Cross-verify DVET trade mappings against authoritative directory and current intake "
      "records."),
@@ -200,10 +200,11 @@ RECOMMENDATION_RULES = (
      "Monitor over next observation window before acting."),
 )
 SUPPLY_NOTE = (
-    "DVET supply evidence present from ITI Haveli (1 institute, %d trades). NOT verified against "
-    "full Pune directory. NOT extrapolated district-wide."
+    "DVET supply evidence present from %2$s (%3$s, %1$d trades). NOT verified against "
+    "full %4$s directory. NOT extrapolated district-wide."
 )
-NO_SUPPLY_NOTE = "No DVET supply evidence in current snapshot (ITI Haveli only)."
+NO_SUPPLY_NOTE = "No DVET supply evidence in current snapshot (%1$s only)."
+SUPPLIER, INSTITUTES, DIRECTORY = "ITI Haveli", 1, "Pune"
 
 
 def recommendation_rules(spark: SparkSession) -> DataFrame:
@@ -216,27 +217,30 @@ def recommendation_rules(spark: SparkSession) -> DataFrame:
 
 def recommendations(
     gap: DataFrame, limit: int | None = None, source: str = "historical-postings",
-    freshness: str = "HISTORICAL", evaluated: Column | None = None,
+    freshness: str = "HISTORICAL", evaluated: Column | None = None, supplier: str = SUPPLIER,
+    institutes: int = INSTITUTES, directory: str = DIRECTORY,
 ) -> DataFrame:
-    """One recommendation per gap row; the first ``limit`` gap rows when set."""
+    """One recommendation per gap row, in the order of the gap table; the first ``limit`` when set.
+
+    ``supplier``, ``institutes`` and ``directory`` say whose training supply the gap was built on.
+    """
+    count = F.lit(f"{institutes} institute" + "s" * (institutes != 1))
     supplied, jobs = F.col("has_supply_evidence"), F.col("demand_distinct_job_count")
     rule = F.when(
         (F.col("gap_status") == "HIGH_GAP") & supplied, "HIGH_GAP_SUPPLIED"
     ).otherwise(F.col("gap_status"))
-    note = F.when(supplied, F.format_string(SUPPLY_NOTE, F.col("supply_trade_count"))).otherwise(
-        NO_SUPPLY_NOTE
-    )
-    ordered = gap.orderBy(
-        gap_rank(F.col("gap_status")), F.desc("demand_distinct_job_count"), "skill_id"
-    )
-    if limit is not None:
-        ordered = ordered.limit(limit)
+    note = F.when(supplied, F.format_string(
+        SUPPLY_NOTE, F.col("supply_trade_count"), F.lit(supplier), count, F.lit(directory)
+    )).otherwise(F.format_string(NO_SUPPLY_NOTE, F.lit(supplier)))
+    order = (gap_rank(F.col("gap_status")), F.desc("demand_distinct_job_count"), F.col("skill_id"))
+    ordered = gap if limit is None else gap.orderBy(*order).limit(limit)
     percent = percent_text(F.col("demand_normalized_distinct_job_count"))
     total = F.lit("N/A") if evaluated is None else evaluated.cast("string")
-    args = (F.col("skill_name"), jobs, percent, note, total)
+    args = (F.col("skill_name"), jobs, percent, note, total, F.lit(supplier), count,
+            F.lit(directory))
     return ordered.withColumn("rule", rule).join(
         recommendation_rules(gap.sparkSession), "rule"
-    ).select(
+    ).orderBy(*order).select(
         "skill_id", "skill_name",
         F.printf(F.col("recommendation_f"), *args).alias("recommendation"),
         F.printf(F.col("reason_f"), *args).alias("reason"),

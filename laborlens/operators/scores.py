@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scoring import coverage_severity
-from .demand import demand_cells
+from ..functions.identity import demand_run_id
+from ..functions.scoring import completeness, coverage_severity
+from ..functions.text import strip
+from .demand import RULE_VERSION, demand_cells
 from .scope import district_key, observation_scope
 from .skills import SkillDictionary, count_by_skill, extract_skills
 
@@ -102,21 +104,64 @@ def course_coverage(course_skills: DataFrame, demanded: DataFrame) -> DataFrame:
     )
 
 
-def training_actions(gap: DataFrame, high: float = 0.05, low_supply: int = 1) -> DataFrame:
-    """Curriculum review, capacity review and new-course exploration rules on gap rows."""
-    demanded = F.col("demand_normalized_distinct_job_count") >= high
-    supply = F.col("supply_trade_count")
-    rules = F.array_compact(
-        F.array(
-            F.when(demanded & (supply == 0), "CURRICULUM_REVIEW"),
-            F.when(demanded & (supply > 0) & (supply <= low_supply), "CAPACITY_REVIEW"),
-            F.when(demanded & (supply == 0), "NEW_COURSE_EXPLORATION"),
+def training_actions(
+    gap: DataFrame, course_skills: DataFrame, occupation_jobs: DataFrame,
+    occupation_training: DataFrame, high: float = 0.05, strong: float = 0.10, low_supply: int = 1,
+) -> DataFrame:
+    """Three rules, each row with the evidence it rests on.
+
+    CURRICULUM_REVIEW: a course and a skill demanded above ``high`` that it does not cover.
+    CAPACITY_REVIEW: an occupation with at least the share ``high`` of the mapped jobs and at most
+    ``low_supply`` places that train for it.  NEW_COURSE_EXPLORATION: a skill demanded above
+    ``strong`` that no course covers.
+
+    ``course_skills`` (course, skill_id), ``occupation_jobs`` (occupation_id, job_count),
+    ``occupation_training`` (occupation_id, training_count).
+    """
+    share = F.col("demand_normalized_distinct_job_count")
+    demanded = gap.where(share >= high).select(
+        "skill_id", F.col("demand_distinct_job_count").alias("job_count"), share.alias("share"))
+    none = F.lit(None).cast("string")
+    # One row of wanted skills, bounded by the ontology, meets each course once.
+    wanted = demanded.agg(F.collect_list(F.struct("skill_id", "job_count")).alias("wanted"))
+    taught = course_skills.groupBy("course").agg(F.collect_set("skill_id").alias("taught"))
+    curriculum = (
+        taught.crossJoin(F.broadcast(wanted))
+        .select("course", F.explode(F.filter(
+            "wanted", lambda w: ~F.array_contains(F.col("taught"), w["skill_id"]))).alias("w"))
+        .select(
+            F.lit("CURRICULUM_REVIEW").alias("action"), "course", none.alias("occupation_id"),
+            F.col("w.skill_id").alias("skill_id"), F.col("w.job_count").alias("job_count"),
+            F.lit(None).cast("bigint").alias("supply_count"),
+            F.format_string("%d jobs ask for %s; %s does not cover it", F.col("w.job_count"),
+                            F.col("w.skill_id"), F.col("course")).alias("evidence"),
         )
     )
-    return gap.select(
-        "skill_id", "demand_distinct_job_count", "supply_trade_count",
-        F.explode(rules).alias("action"),
+    total = occupation_jobs.agg(F.sum("job_count").alias("all_jobs"))
+    places = F.coalesce("training_count", F.lit(0)).cast("bigint")
+    capacity = (
+        occupation_jobs.crossJoin(F.broadcast(total))
+        .where(F.col("job_count") >= high * F.col("all_jobs"))
+        .join(occupation_training, "occupation_id", "left").where(places <= low_supply)
+        .select(
+            F.lit("CAPACITY_REVIEW").alias("action"), none.alias("course"), "occupation_id",
+            none.alias("skill_id"), "job_count", places.alias("supply_count"),
+            F.format_string("%d jobs for %s; %d places train for it", "job_count",
+                            "occupation_id", places).alias("evidence"),
+        )
     )
+    exploration = (
+        demanded.where(F.col("share") >= strong)
+        .join(course_skills.select("skill_id").distinct(), "skill_id", "left_anti")
+        .select(
+            F.lit("NEW_COURSE_EXPLORATION").alias("action"), none.alias("course"),
+            none.alias("occupation_id"), "skill_id", "job_count",
+            F.lit(0).cast("bigint").alias("supply_count"),
+            F.format_string("%d jobs ask for %s; no course covers it", "job_count", "skill_id")
+            .alias("evidence"),
+        )
+    )
+    return curriculum.unionByName(capacity).unionByName(exploration)
 
 
 # Status when neither the source nor its dates tell.
@@ -143,18 +188,36 @@ def derived_status(
 
 
 def district_skill_demand(
-    postings: DataFrame, dictionary: SkillDictionary, **scope
+    postings: DataFrame, dictionary: SkillDictionary, start: str, end: str,
+    rule_version: str = RULE_VERSION, **scope,
 ) -> DataFrame:
-    """Skill demand per district in one pass."""
-    scoped = observation_scope(postings, **scope)
-    extracted = extract_skills(
-        scoped.withColumn("district_key", district_key(F.col("district"))),
-        dictionary, keep=("district_key",), snippets=False,
-    )
-    return (
-        count_by_skill(extracted, by=("district_key",))
-        .where(F.col("district_key").isNotNull() & F.col("skill_id").isNotNull())
-        .select("district_key", "skill_id", "distinct_job_count", "mention_count")
+    """Skill demand rows per district: ids, counts, share of the district's postings, provenance.
+
+    Postings are scanned once for the skills and once, narrow, for the totals.  A district of
+    several spellings shows the first of them.  ``demand_score`` stays null under this rule version.
+    """
+    scoped = observation_scope(postings, start=start, end=end, **scope).withColumn(
+        "district_key", district_key(F.col("district")))
+    extracted = extract_skills(scoped, dictionary, keep=("district_key",), snippets=False)
+    counts = count_by_skill(extracted, by=("district_key",)).where(
+        F.col("district_key").isNotNull() & F.col("skill_id").isNotNull())
+    totals = scoped.where(F.col("district_key").isNotNull()).groupBy("district_key").agg(
+        F.count(F.lit(1)).alias("total_jobs"), F.min(strip(F.col("district"))).alias("district"))
+    first, last = (F.lit(d).cast("date") for d in (start, end))
+    named = [scope.get("source_id"), scope.get("sector")]
+    run = demand_run_id(
+        f"skill-demand:{rule_version}", F.col("district"), first, last,
+        F.array(*[F.lit(s if isinstance(s, str) else ",".join(sorted(s))) for s in named if s])
+        .cast("array<string>"))
+    return counts.join(totals, "district_key").withColumn("run_id", run).select(
+        F.concat_ws("-", F.substring("run_id", 1, 16), "district_key", "skill_id").alias("id"),
+        "run_id", "district", "skill_id", F.lit(None).cast("string").alias("sector"),
+        first.alias("observation_period_start"), last.alias("observation_period_end"),
+        "distinct_job_count", "mention_count", "total_jobs",
+        F.bround(F.try_divide("distinct_job_count", "total_jobs"), 6).alias("normalized_count"),
+        F.lit(None).cast("double").alias("demand_score"),
+        completeness(F.col("total_jobs")).alias("data_completeness_status"),
+        F.lit("DERIVED").alias("provenance_state"), F.lit(rule_version).alias("rule_version"),
     )
 
 

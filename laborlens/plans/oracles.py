@@ -286,7 +286,8 @@ ORACLES["skill_demand"] = text(
 _IT = ", ".join(q(v) for v in seeds.SECTOR_ALIASES["IT-ITeS"])
 ORACLES["skill_demand_sector"] = text(
     POSTINGS + evidence(PLAIN, f"lower(trim(district)) = 'pune' AND sector IN ({_IT})")
-    + demand_cte("skill-demand:mvp-v1-no-score:pune:ALL:0001-01-01:9999-12-31"),
+    + demand_cte("skill-demand:mvp-v1-no-score:pune:ALL:0001-01-01:9999-12-31:"
+                 + ",".join(sorted(seeds.SECTOR_ALIASES["IT-ITeS"]))),
     "SELECT * FROM sd")
 ALL_DEMAND = POSTINGS + evidence(PLAIN) + demand_cte(ALL_RUN)
 ORACLES["skill_demand_metrics"] = text(ALL_DEMAND, """SELECT max(total_jobs)
@@ -335,6 +336,7 @@ def _filled(template: str) -> str:
         ("'%1$s'", "skill_name"),
         ("'%2$d'", "CAST(demand_distinct_job_count AS VARCHAR)"),
         ("'%3$s'", "pct"), ("'%4$s'", "note"), ("'%5$s'", "evaluated"),
+        ("'%6$s'", "'ITI Haveli'"), ("'%7$s'", "'1 institute'"), ("'%8$s'", "'Pune'"),
     ):
         out = f"replace({out}, {mark}, {value})"
     return out
@@ -343,15 +345,16 @@ def _filled(template: str) -> str:
 def recommended(evaluated: str, tail: str) -> str:
     rules = values("rules", "rule, rec, reason, evidence, priority, next_action",
                    gap_rules.RECOMMENDATION_RULES)
-    supplied = gap_rules.SUPPLY_NOTE.split("%d")
     return text(
         GAP + [rules, f"""ranked AS (SELECT *, {evaluated} AS evaluated,
   CASE WHEN gap_status = 'HIGH_GAP' AND has_supply_evidence THEN 'HIGH_GAP_SUPPLIED' ELSE
     gap_status END AS rule,
   printf('%.1f%%', CAST(round_even(demand_normalized_distinct_job_count * 100, 1) AS DOUBLE))
     AS pct,
-  CASE WHEN has_supply_evidence THEN {q(supplied[0])} || supply_trade_count || {q(supplied[1])}
-    ELSE {q(gap_rules.NO_SUPPLY_NOTE)} END AS note
+  CASE WHEN has_supply_evidence THEN 'DVET supply evidence present from ITI Haveli (1 institute, '
+      || supply_trade_count || ' trades). NOT verified against full Pune directory. NOT '
+      'extrapolated district-wide.'
+    ELSE 'No DVET supply evidence in current snapshot (ITI Haveli only).' END AS note
   FROM gap {tail})"""],
         f"""SELECT skill_id, skill_name, {_filled('rec')} AS recommendation,
   {_filled('reason')} AS reason, {_filled('evidence')} AS evidence, priority,
@@ -545,6 +548,13 @@ ORACLES["demand_upsert_status"] = text(
     (n.district, n.job_count, n.apprenticeship_count, n.data_completeness_status)
     THEN 'SKIPPED' ELSE 'UPDATED' END AS upsert_status
 FROM older o FULL JOIN demand n ON o.id = n.id""")
+_RUN = f"sha256('mvp-v1-no-score:' || dk || ':{WINDOW[0]}:{WINDOW[1]}:' || source_id)"
+ORACLES["demand_of_two_sources"] = text(POSTINGS + JOB_TITLES, f"""SELECT substr({_RUN}, 1, 16) ||
+  '-' || dk || '-' || occupation_id AS id, {_RUN} AS run_id, count(*) AS job_count,
+  CASE source_id WHEN '1-URGENT' THEN 'KEPT' ELSE 'CREATED' END AS upsert_status
+FROM (SELECT *, nullif(lower(trim(district)), '') AS dk FROM postings JOIN occ ON job_title = t)
+WHERE source_id IN ('1-URGENT', '2-HIGH') AND dk IS NOT NULL AND NOT {blank('sector')}
+  AND occupation_id IS NOT NULL GROUP BY source_id, dk, occupation_id""")
 ORACLES["demand_upsert_counts"] = text(
     DEMAND, """SELECT CAST(0 AS BIGINT) AS rows_created, CAST(0 AS BIGINT) AS rows_updated,
   count(*) AS rows_skipped FROM demand""")
@@ -1340,20 +1350,52 @@ ORACLES["course_coverage"] = text(
   GROUP BY 1)"""],
     """SELECT *, CASE WHEN coverage_percent < 50 THEN 'HIGH' WHEN coverage_percent < 80 THEN
   'MEDIUM' ELSE 'LOW' END AS gap_severity FROM c""")
-ORACLES["training_actions"] = text(GAP, """SELECT skill_id, demand_distinct_job_count,
-  supply_trade_count, unnest(CASE WHEN supply_trade_count = 0 THEN ['CURRICULUM_REVIEW',
-  'NEW_COURSE_EXPLORATION'] WHEN supply_trade_count = 1 THEN ['CAPACITY_REVIEW'] ELSE [] END)
-  AS action FROM gap WHERE demand_normalized_distinct_job_count >= 0.05""")
+ORACLES["training_actions"] = text(
+    list(dict.fromkeys(GAP + DEMAND + view_cte("institute_trades"))) + [
+        values("bridge2", "trade, skill_id", seeds.TRADE_SKILLS),
+        values("trained", "trade, occupation_id", seeds.TRADE_OCCUPATIONS),
+        """courses AS (SELECT DISTINCT institute_code AS course, skill_id FROM institute_trades
+  JOIN bridge2 USING (trade))""",
+        """asked AS (SELECT skill_id, demand_distinct_job_count AS jobs,
+  demand_normalized_distinct_job_count AS share FROM gap
+  WHERE demand_normalized_distinct_job_count >= 0.05)""",
+        """work AS (SELECT occupation_id, CAST(sum(job_count) AS BIGINT) AS jobs FROM demand
+  GROUP BY 1)""",
+        """places AS (SELECT occupation_id, count(DISTINCT institute_code) AS n FROM
+  institute_trades JOIN trained USING (trade) GROUP BY 1)"""],
+    """SELECT 'CURRICULUM_REVIEW' AS action, course, NULL AS occupation_id, skill_id,
+  jobs AS job_count, NULL::BIGINT AS supply_count,
+  jobs || ' jobs ask for ' || skill_id || '; ' || course || ' does not cover it' AS evidence
+FROM (SELECT DISTINCT course FROM courses), asked
+WHERE (course, skill_id) NOT IN (SELECT (course, skill_id) FROM courses)
+UNION ALL SELECT 'CAPACITY_REVIEW', NULL, occupation_id, NULL, jobs, coalesce(n, 0),
+  jobs || ' jobs for ' || occupation_id || '; ' || coalesce(n, 0) || ' places train for it'
+FROM work LEFT JOIN places USING (occupation_id)
+WHERE jobs >= 0.05::DOUBLE * (SELECT sum(jobs) FROM work) AND coalesce(n, 0) <= 1
+UNION ALL SELECT 'NEW_COURSE_EXPLORATION', NULL, NULL, skill_id, jobs, 0,
+  jobs || ' jobs ask for ' || skill_id || '; no course covers it'
+FROM asked WHERE share >= 0.10 AND skill_id NOT IN (SELECT skill_id FROM courses)""")
 ORACLES["status_rule"] = """SELECT status, rule, count(*) AS orders FROM (SELECT
   CASE WHEN o_orderstatus = 'P' THEN 'PENDING' WHEN o_orderpriority <> '1-URGENT' THEN
     CASE WHEN o_orderdate >= DATE '1998-01-01' THEN 'ACTIVE' ELSE 'EXPIRED' END
     WHEN o_orderstatus = 'O' THEN 'ACTIVE' ELSE 'EXPIRED' END AS status,
   CASE WHEN o_orderstatus = 'P' THEN 'SOURCE_REPORTED' WHEN o_orderpriority <> '1-URGENT' THEN
     'END_DATE' ELSE 'SOURCE_TYPE' END AS rule FROM orders) GROUP BY 1, 2"""
+_SKILL_RUN = f"sha256('skill-demand:mvp-v1-no-score:' || dk || ':{WINDOW[0]}:{WINDOW[1]}')"
 ORACLES["district_skill_demand"] = text(
-    POSTINGS + evidence(PLAIN), f"""SELECT lower(trim(district)) AS district_key, skill_id,
-  count(DISTINCT posting_id) AS distinct_job_count, count(*) AS mention_count FROM evidence
-  WHERE NOT {blank('district')} GROUP BY 1, 2""")
+    POSTINGS + evidence(PLAIN) + [
+        f"""local AS (SELECT lower(trim(district)) AS dk, min(trim(district)) AS d, count(*) AS n
+  FROM postings WHERE NOT {blank('district')} GROUP BY 1)""",
+        f"""found AS (SELECT lower(trim(district)) AS dk, skill_id,
+  count(DISTINCT posting_id) AS jobs, count(*) AS mentions FROM evidence
+  WHERE NOT {blank('district')} GROUP BY 1, 2)"""],
+    f"""SELECT substr({_SKILL_RUN}, 1, 16) || '-' || dk || '-' || skill_id AS id,
+  {_SKILL_RUN} AS run_id, d AS district, skill_id, NULL::VARCHAR AS sector,
+  DATE '{WINDOW[0]}' AS observation_period_start, DATE '{WINDOW[1]}' AS observation_period_end,
+  jobs AS distinct_job_count, mentions AS mention_count, n AS total_jobs,
+  {ratio('jobs', 'n', 6)} AS normalized_count, NULL::DOUBLE AS demand_score,
+  'INSUFFICIENT_DATA' AS data_completeness_status, 'DERIVED' AS provenance_state,
+  'mvp-v1-no-score' AS rule_version FROM found JOIN local USING (dk)""")
 ORACLES["monthly_status"] = text(POSTINGS, """SELECT CAST(date_trunc('month', posted_date) AS
   DATE) AS month, status, count(*) AS postings FROM postings GROUP BY 1, 2""")
 ORACLES["sector_filter"] = text(POSTINGS, f"""SELECT sector, district, count(*) AS postings

@@ -337,6 +337,16 @@ def demand_upsert_status(spark, sf):
     )
 
 
+@query
+def demand_of_two_sources(spark, sf):
+    """Runs of two sources over one window have ids of their own, so neither replaces the other."""
+    one, two = (
+        demand.district_demand(
+            demand.demand_cells(view(spark, sf, "postings"), None, source, None, *WINDOW), *WINDOW)
+        for source in ("1-URGENT", "2-HIGH"))
+    return demand.upsert(one, two).select("id", "run_id", "job_count", "upsert_status")
+
+
 @query
 def demand_upsert_counts(spark, sf):
     current = _demand(spark, sf)
@@ -1032,11 +1042,15 @@ def skill_weight(spark, sf):
     return scores.skill_weight(_skill_demand(spark, sf))
 
 
-@query
-def course_coverage(spark, sf):
-    taught = view(spark, sf, "institute_trades").join(
+def _taught(spark, sf):
+    return view(spark, sf, "institute_trades").join(
         seeds.trade_skills_df(spark), "trade"
     ).select(F.col("institute_code").alias("course"), "skill_id")
+
+
+@query
+def course_coverage(spark, sf):
+    taught = _taught(spark, sf)
     wanted = _skill_demand(spark, sf).where("normalized_distinct_job_count >= 0.10")
     trades = seeds.trade_skills_df(spark).join(wanted, "skill_id", "left_semi")
     return scores.course_coverage(taught, trades)
@@ -1044,7 +1058,11 @@ def course_coverage(spark, sf):
 
 @query
 def training_actions(spark, sf):
-    return scores.training_actions(_gap(spark, sf))
+    jobs = _demand(spark, sf).groupBy("occupation_id").agg(F.sum("job_count").alias("job_count"))
+    training = view(spark, sf, "institute_trades").join(
+        seeds.trade_occupations_df(spark), "trade"
+    ).groupBy("occupation_id").agg(F.count_distinct("institute_code").alias("training_count"))
+    return scores.training_actions(_gap(spark, sf), _taught(spark, sf), jobs, training)
 
 
 @query
@@ -1064,7 +1082,7 @@ def status_rule(spark, sf):
 
 @query
 def district_skill_demand(spark, sf):
-    return scores.district_skill_demand(view(spark, sf, "postings"), _plain())
+    return scores.district_skill_demand(view(spark, sf, "postings"), _plain(), *WINDOW)
 
 
 @query
