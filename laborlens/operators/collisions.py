@@ -24,16 +24,18 @@ CLASSES = (
 
 
 def _value(column: str) -> Column:
-    if COMPARED[column]:
-        return F.nullif(collapse(F.col(column)), F.lit(""))
-    return blank_to_null(F.col(column))
+    """A field as a 64-bit hash, null when blank: fields are only compared within an identity."""
+    text = (F.nullif(collapse(F.col(column)), F.lit("")) if COMPARED[column]
+            else blank_to_null(F.col(column)))
+    return F.when(text.isNotNull(), F.xxhash64(text))
 
 
 def collision_groups(raw: DataFrame, identity: str = "record_identity_hash") -> DataFrame:
     """Every identity with two or more rows, classified, with its reason and confidence.
 
-    "At most one distinct value" is smallest equals largest, which combines on the map side,
-    so a group of any size arrives at its reducer as one partial row per task.  Exact distinct
+    Fields are compared by hash, so texts are not shuffled.  "At most one distinct value" is
+    smallest equals largest, which combines on the map side, so a group of any size arrives at its
+    reducer as one partial row per task.  Exact distinct
     counts are only taken for the few groups whose reason text quotes them.
     """
     values = raw.select(F.col(identity).alias("identity_hash"),

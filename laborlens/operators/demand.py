@@ -263,6 +263,16 @@ def demand_for_period(
     )
 
 
+def top_districts(demand: DataFrame, n: int = 5) -> DataFrame:
+    """Districts with the most mapped postings, names breaking ties."""
+    return (
+        demand.groupBy("district").agg(
+            F.sum("job_count").alias("job_count"),
+            F.sum("apprenticeship_count").alias("apprenticeship_count"))
+        .orderBy(F.desc("job_count"), "district").limit(n)
+    )
+
+
 def top_demand(
     demand: DataFrame, district: str | None = None, occupation_id: str | None = None,
     limit: int = 50,

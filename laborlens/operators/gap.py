@@ -88,6 +88,20 @@ def top_skills(demand: DataFrame, n: int = 5) -> DataFrame:
     return demand.orderBy(F.desc("normalized_distinct_job_count"), "skill_id").limit(n)
 
 
+def with_evidence(demand: DataFrame) -> DataFrame:
+    """Skills that some posting names."""
+    return demand.where(F.col("distinct_job_count") > 0)
+
+
+def filter_gap(gap: DataFrame, status: str | None = None, text: str | None = None) -> DataFrame:
+    """Gap rows of one status whose skill name holds ``text``, in any case."""
+    if status:
+        gap = gap.where(F.col("gap_status") == status)
+    if text:
+        gap = gap.where(F.contains(F.lower("skill_name"), F.lit(text.lower())))
+    return gap
+
+
 def skill_supply(trade_skills: DataFrame, by: str = "skill_id") -> DataFrame:
     """Trades that teach each skill (or occupation): list and count.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,7 +12,10 @@ from ..functions.identity import (
 from ..functions.parse import experience_first_two, iso_date, salary_first_two
 from ..functions.text import is_blank
 from .governance import gate
-from .persist import first_per_key
+from .persist import (
+    first_per_key, ingest_accounting, postings_to_insert, relationships_to_insert,
+    resolve_relationships,
+)
 from .validate import reasons
 
 
@@ -171,3 +174,33 @@ def institute_trades(valid_institutes: DataFrame, missing: str = "") -> DataFram
         )
         .where(~is_blank(F.col("trade_name")))
     )
+
+
+class HistoricalIngest(NamedTuple):
+    """What a run would append, and its accounting; nothing is written, which makes a dry run."""
+
+    facts: DataFrame
+    relationships: DataFrame
+    accounting: DataFrame
+
+
+def historical_ingest(
+    normalized: DataFrame, existing: DataFrame, groups: DataFrame,
+    stored_relationships: DataFrame | None = None, ordinal: str = "ordinal", **facts,
+) -> HistoricalIngest:
+    """From normalised rows to facts, relationships and accounting.
+
+    ``normalized`` has every raw row with ``accepted``, its identity and ``ordinal``; ``groups`` are
+    the collision groups of the accepted rows.  Groups link to all facts, stored ones included.
+    """
+    accepted = normalized.where("accepted")
+    fresh = postings_to_insert(accepted, existing, ordinal=ordinal, **facts)
+    identity = "record_identity_hash"
+    known = accepted.select(identity).distinct().withColumn(
+        "posting_id", F.substring(identity, 1, 32))
+    edges = resolve_relationships(groups, known)
+    if stored_relationships is None:
+        stored_relationships = edges.limit(0)
+    return HistoricalIngest(
+        fresh, relationships_to_insert(edges, stored_relationships),
+        ingest_accounting(normalized, existing))

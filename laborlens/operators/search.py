@@ -117,17 +117,27 @@ def record_type_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("record_type").agg(F.count(F.lit(1)).alias("records"))
 
 
+def _matching(postings: DataFrame, title_contains: str | None, scope: dict) -> DataFrame:
+    rows = observation_scope(postings, exact_district=True, **scope)
+    if title_contains:
+        rows = rows.where(like_contains(F.col("job_title"), title_contains))
+    return rows
+
+
 def page_of_postings(
     postings: DataFrame, title_contains: str | None = None, limit: int = 50, offset: int = 0,
     **scope,
 ) -> DataFrame:
     """A page of postings, newest first, ids breaking ties."""
-    rows = observation_scope(postings, exact_district=True, **scope)
-    if title_contains:
-        rows = rows.where(like_contains(F.col("job_title"), title_contains))
+    rows = _matching(postings, title_contains, scope)
     return rows.orderBy(F.desc("retrieved_at"), "posting_id").offset(offset).limit(limit)
 
 
+def page_total(postings: DataFrame, title_contains: str | None = None, **scope) -> DataFrame:
+    """One row: how many postings all pages together have."""
+    return _matching(postings, title_contains, scope).agg(F.count(F.lit(1)).alias("total"))
+
+
 def staging_list(
     staging: DataFrame, status: str | None = None, source_id: str | None = None, limit: int = 20
 ) -> DataFrame:

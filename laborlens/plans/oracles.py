@@ -10,7 +10,7 @@ from __future__ import annotations
 from ..functions.scoring import GAP_ORDER
 from ..operators import gap as gap_rules
 from ..operators.skills import SkillDictionary
-from ..sources import gazetteer, seeds
+from ..sources import gazetteer, seeds, sinks
 from .queries import DECISIONS, DOC_SKILLS, EVENT_SKILLS, WINDOW
 from .views import VIEWS
 
@@ -560,8 +560,8 @@ ORACLES["demand_upsert_counts"] = text(
   count(*) AS rows_skipped FROM demand""")
 ORACLES["demand_for_period"] = text(
     DEMAND, """SELECT id, run_id, district, occupation_id, observation_period_start,
-  observation_period_end, job_count, apprenticeship_count, data_completeness_status,
-  provenance_state, rule_version FROM demand""")
+  observation_period_end, job_count, apprenticeship_count, demand_score,
+  data_completeness_status, provenance_state, rule_version FROM demand""")
 ORACLES["top_demand"] = text(
     DEMAND, """SELECT id, district, occupation_id, job_count FROM demand
   WHERE district = 'Pune' ORDER BY job_count DESC, id LIMIT 5""")
@@ -1401,3 +1401,33 @@ ORACLES["monthly_status"] = text(POSTINGS, """SELECT CAST(date_trunc('month', po
 ORACLES["sector_filter"] = text(POSTINGS, f"""SELECT sector, district, count(*) AS postings
   FROM postings WHERE sector IN ({_IT}) AND retrieved_at >= DATE '1996-05-01' AND
   retrieved_at < DATE '1996-06-01' GROUP BY 1, 2""")
+
+
+# --- exports, small filters and ingest steps ------------------------------------------------
+
+for _name, _rows in (
+    ("demand", text(DEMAND, "SELECT * FROM demand")),
+    ("skill_demand", text(ALL_DEMAND, "SELECT * FROM sd")), ("skill_gap", text(GAP, "SELECT * FROM gap")),
+    ("skill_summary", ORACLES["skill_summary"]), ("skill_candidates", ORACLES["skill_candidates"]),
+    ("ontology_review", ORACLES["ontology_review"]),
+    ("sources", text(view_cte("sources"), "SELECT *, NULL::VARCHAR AS coverage FROM sources")),
+):
+    ORACLES[f"{_name}_export"] = f"SELECT {', '.join(sinks.EXPORTS[_name])} FROM ({_rows})"
+ORACLES["skill_demand_with_evidence"] = text(ALL_DEMAND, """SELECT skill_id, distinct_job_count
+  FROM sd WHERE distinct_job_count > 0""")
+ORACLES["skill_gap_filter"] = text(GAP, """SELECT skill_id, skill_name, gap_status FROM gap
+  WHERE gap_status = 'HIGH_GAP' AND skill_name ILIKE '%java%'""")
+ORACLES["page_total"] = text(POSTINGS, """SELECT count(*) AS total FROM postings
+  WHERE job_title ILIKE '%operator%' AND source_id = '2-HIGH'""")
+ORACLES["top_districts"] = text(DEMAND, """SELECT district, CAST(sum(job_count) AS BIGINT) AS job_count,
+  CAST(sum(apprenticeship_count) AS BIGINT) AS apprenticeship_count FROM demand GROUP BY 1
+  ORDER BY 2 DESC, 1 LIMIT 5""")
+ORACLES["snapshot_jobs"] = text(SNAPSHOT, """SELECT job_identity_hash, district,
+  experience_years_min, experience_years_max, salary_min, salary_max, posted_day FROM staged
+  WHERE is_valid AND job_identity_hash NOT IN (SELECT job_identity_hash FROM staged
+    WHERE is_valid AND district = 'Thane')
+  QUALIFY row_number() OVER (PARTITION BY job_identity_hash ORDER BY ordinal) = 1""")
+ORACLES["sources_register"] = text(view_cte("sources"), """SELECT source_id, category, access_method
+  FROM sources WHERE enabled IS NOT TRUE""")
+ORACLES["historical_ingest"] = f"""SELECT a.*, (SELECT count(*) FROM (
+  {text(COLLISIONS, EDGES)})) AS relationships_inserted FROM ({ORACLES['ingest_accounting']}) a"""

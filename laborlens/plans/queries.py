@@ -357,7 +357,7 @@ def demand_upsert_counts(spark, sf):
 def demand_for_period(spark, sf):
     rows = _demand(spark, sf)
     return demand.demand_for_period(rows, demand.run_rows(rows), *WINDOW).select(
-        *[c for c in sinks.DEMAND_COLUMNS if c != "demand_score"]
+        *sinks.DEMAND_COLUMNS
     )
 
 
@@ -1097,3 +1097,78 @@ def sector_filter(spark, sf):
         end="1996-05-31",
     )
     return rows.groupBy("sector", "district").agg(F.count(F.lit(1)).alias("postings"))
+
+
+# --- exports, small filters and ingest steps ------------------------------------------------
+
+def _export(name: str, rows: Query) -> None:
+    def run(spark, sf):
+        return sinks.export(rows(spark, sf), name)
+
+    run.__name__ = f"{name}_export"
+    query(run)
+
+
+_export("demand", _demand)
+_export("skill_demand", _skill_demand)
+_export("skill_gap", _gap)
+_export("skill_summary", skill_summary)
+_export("skill_candidates", skill_candidates)
+_export("ontology_review", ontology_review)
+_export("sources", lambda spark, sf: view(spark, sf, "sources").withColumns(
+    {"coverage": F.lit(None).cast("string")}))
+
+
+@query
+def skill_demand_with_evidence(spark, sf):
+    return gap.with_evidence(_skill_demand(spark, sf)).select("skill_id", "distinct_job_count")
+
+
+@query
+def skill_gap_filter(spark, sf):
+    return gap.filter_gap(_gap(spark, sf), "HIGH_GAP", "JAVA").select("skill_id", "skill_name", "gap_status")
+
+
+@query
+def page_total(spark, sf):
+    return search.page_total(view(spark, sf, "postings"), "operator", source_id="2-HIGH")
+
+
+@query
+def top_districts(spark, sf):
+    return demand.top_districts(_demand(spark, sf))
+
+
+@query
+def snapshot_jobs(spark, sf):
+    staged = ingest.staged_snapshot(_snapshot_records(spark, sf))
+    stored = staged.where("is_valid AND district = 'Thane'").select("job_identity_hash")
+    return ingest.jobs_from_staging(staged, stored, "ordinal").select(
+        "job_identity_hash", "district", "experience_years_min", "experience_years_max",
+        F.col("salary_min").cast("double").alias("salary_min"),
+        F.col("salary_max").cast("double").alias("salary_max"), "posted_day",
+    )
+
+
+@query
+def sources_register(spark, sf):
+    """Enabled sources are registered already."""
+    sources = view(spark, sf, "sources")
+    return governance.sources_to_register(sources, sources.where("enabled")).select(
+        "source_id", "category", "access_method")
+
+
+@query
+def historical_ingest(spark, sf):
+    """One run from raw rows to facts and relationships, with its accounting."""
+    rows = _ingested_all(spark, sf)
+    accepted = rows.where("accepted")
+    run = ingest.historical_ingest(rows, _stored(accepted), collisions.collision_groups(accepted))
+    return run.accounting.crossJoin(run.relationships.agg(  # one row each
+        F.count(F.lit(1)).alias("relationships_inserted")))
+
+
+def _ingested_all(spark, sf):
+    return cut_lineage(_normalized(spark, sf).select(
+        "accepted", "row_key", "record_identity_hash", *dict.fromkeys((*OBSERVED, *RAW))
+    )).withColumnRenamed("row_key", "ordinal")

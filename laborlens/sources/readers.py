@@ -19,16 +19,20 @@ def _strings(*names: str) -> T.StructType:
 
 
 def raw_postings_csv(
-    spark: SparkSession, path: str, columns: tuple[str, ...] = RAW_COLUMNS, blank_na: bool = False
+    spark: SparkSession, path: str, columns: tuple[str, ...] = RAW_COLUMNS, blank_na: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
-    """Header CSV, every column a string, quoted line breaks allowed.
+    """Header CSV, every column a string.
+
+    Files are split over tasks.  With ``multiline`` quoted values may hold line breaks, and a file
+    is one task then.
 
     Bytes that are not UTF-8 become replacement characters.  ``blank_na`` also turns the usual
     missing-value tokens into nulls, for profiling.
     """
     df = (
         spark.read.schema(_strings(*columns))
-        .option("header", True).option("multiLine", True).option("escape", '"')
+        .option("header", True).option("multiLine", multiline).option("escape", '"')
         .option("enforceSchema", False).option("encoding", "UTF-8").csv(path)
     )
     if blank_na:

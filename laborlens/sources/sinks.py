@@ -37,6 +37,7 @@ def skill_evidence_export(
     )
 
 
+# Output columns of the exports, in file order.
 DEMAND_COLUMNS = (
     "id", "run_id", "district", "occupation_id", "observation_period_start",
     "observation_period_end", "job_count", "apprenticeship_count", "demand_score",
@@ -70,15 +71,25 @@ SOURCE_COLUMNS = (
 )
 
 
-def export_columns(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The named columns, structs and arrays as JSON text so that CSV can hold them."""
+DIMENSION_COLUMNS = ("skill_id", "skill_name", "verification_status")
+EXPORTS = {
+    "demand": DEMAND_COLUMNS, "skill_demand": SKILL_DEMAND_COLUMNS, "skill_gap": GAP_COLUMNS,
+    "skill_summary": SUMMARY_COLUMNS, "skill_candidates": CANDIDATE_COLUMNS,
+    "ontology_review": REVIEW_COLUMNS, "sources": SOURCE_COLUMNS, "skills": DIMENSION_COLUMNS,
+}
+
+
+def export(df: DataFrame, name: str) -> DataFrame:
+    """The columns of an export, structs and arrays as JSON text so that CSV can hold them.
+
+    A column that ``df`` lacks is an error, so an export never loses one silently.
+    """
     kinds = dict(df.dtypes)
     return df.select(
         *[
             (F.to_json(c) if kinds[c].startswith(("struct", "array", "map")) else F.col(c))
             .alias(c)
-            for c in columns
-            if c in kinds
+            for c in EXPORTS[name]
         ]
     )
 

@@ -19,7 +19,7 @@ LINES = [
 def raw_rows(spark, tmp_path):
     path = tmp_path / "rows.csv"
     path.write_text(HEADER + "\n" + "\n".join(LINES) + "\n", encoding="utf-8")
-    df = readers.raw_postings_csv(spark, str(path))
+    df = readers.raw_postings_csv(spark, str(path), multiline=True)
     return df.withColumn("ordinal", F.monotonically_increasing_id())
 
 
