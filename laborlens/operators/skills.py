@@ -23,6 +23,7 @@ EVIDENCE_TYPE = (
     "struct<source_skill_text:string,canonical_skill_id:string,canonical_skill_name:string,"
     "extraction_method:string,match_confidence:string,evidence_text:string,evidence_type:string>"
 )
+MOST_SKILLS = 4000  # skills of an ontology that may become literals
 CONTEXT = 40  # characters of context on each side of a match
 
 
@@ -86,6 +87,28 @@ class SkillDictionary:
         segment.pop("", None)
         return cls(tuple(skills), text, segment)
 
+    @classmethod
+    def from_df(
+        cls, ontology: DataFrame, equivalences: dict[str, str] | None = None,
+        most: int = MOST_SKILLS,
+    ) -> "SkillDictionary":
+        """From an ontology table, such as ``readers.ontology_json(spark, path, "skills")``.
+
+        The dictionary becomes literals of the plan, so the table is read on the driver; one of
+        more than ``most`` skills is an error.
+        """
+        rows = ontology.orderBy("seed_order").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"an ontology of more than {most} skills does not fit into a plan")
+        return cls.build(
+            tuple(
+                Skill(r["skill_id"], r["canonical_skill_name"], tuple(r["aliases"] or ()),
+                      r["skill_category"], r["verification_status"] or "NEEDS_REVIEW")
+                for r in rows
+            ),
+            equivalences,
+        )
+
     @classmethod
     def with_common_equivalences(cls, skills: tuple[Skill, ...] = SKILLS) -> "SkillDictionary":
         return cls.build(skills, COMMON_EQUIVALENCES)
