@@ -114,6 +114,13 @@ def gate(records: DataFrame, policies: DataFrame) -> DataFrame:
     )
 
 
+def decision(policies: DataFrame, source_id: str) -> tuple[str, bool]:
+    """(action, eligible) of one source, read from its one policy row before any feed is read."""
+    row = with_eligibility(policies).where(F.col("source_id") == source_id).select(
+        "action", "eligible").first()
+    return (row["action"], row["eligible"]) if row else ("UNGOVERNED", False)
+
+
 def gate_counts(gated: DataFrame) -> DataFrame:
     return gated.groupBy("source_id", "action").agg(F.count(F.lit(1)).alias("records"))
 

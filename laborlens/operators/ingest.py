@@ -11,7 +11,7 @@ from ..functions.identity import (
 )
 from ..functions.parse import experience_first_two, iso_date, salary_first_two
 from ..functions.text import is_blank
-from .governance import gate
+from .governance import decision
 from .persist import (
     first_per_key, ingest_accounting, postings_to_insert, relationships_to_insert,
     resolve_relationships,
@@ -48,20 +48,26 @@ def governed_records(
     row of a content hash (by the unique ``ordinal``), else STAGED.  Duplicates are found from each hash's first ordinal, so
     a payload repeated any number of times combines on the map side.
     """
+    action, eligible = decision(policies, connector.source_id)
+
+    def labelled(df: DataFrame) -> DataFrame:
+        return df.withColumns({
+            "source_id": F.lit(connector.source_id), "action": F.lit(action),
+            "eligible": F.lit(eligible)})
+
     raw_columns = [c for c in raw.columns if c != ordinal]
-    hashed = raw.withColumn("content_hash", content_hash(*raw_columns))
-    records = gate(
-        connector.normalize(hashed).withColumn("source_id", F.lit(connector.source_id)), policies
-    ).withColumn("validation_errors", connector.errors())
-    clean = F.col("eligible") & (F.size("validation_errors") == 0)
+    hashed = connector.normalize(raw.withColumn("content_hash", content_hash(*raw_columns)))
+    records = labelled(hashed).withColumn("validation_errors", connector.errors())
+    if not eligible:  # nothing of it is looked at further
+        return records.withColumn("disposition", F.lit("BLOCKED"))
+    clean = F.size("validation_errors") == 0
     firsts = (
         records.where(clean).groupBy("content_hash").agg(F.min(ordinal).alias("_first"))
         .select(F.col("_first").alias(ordinal), F.lit(True).alias("_is_first"))
     )
     return records.join(firsts, ordinal, "left").withColumn(
         "disposition",
-        F.when(~F.col("eligible"), "BLOCKED").when(~clean, "INVALID")
-        .when(F.col("_is_first"), "STAGED").otherwise("DUPLICATE"),
+        F.when(~clean, "INVALID").when(F.col("_is_first"), "STAGED").otherwise("DUPLICATE"),
     ).drop("_is_first")
 
 

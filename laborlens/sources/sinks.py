@@ -5,6 +5,7 @@ Every writer leaves one file per task; nothing is gathered on the driver.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.persist import new_rows
@@ -107,10 +108,10 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     Only key columns of the stored table are read.  Running it again with the same rows writes
     nothing.
     """
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fresh = df.dropDuplicates(keys)
-    if files.exists(hadoop):
-        fresh = new_rows(fresh, spark.read.schema(df.schema).parquet(path), keys)
+    try:
+        fresh = new_rows(fresh, df.sparkSession.read.schema(df.schema).parquet(path), keys)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # nothing was appended yet
+            raise
     fresh.write.mode("append").parquet(path)
