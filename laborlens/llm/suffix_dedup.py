@@ -120,30 +120,45 @@ def _segments(data: np.ndarray, edges: np.ndarray, length: int):
             row += 1
 
 
-_ANCHORS = "gram bigint, bytes bigint, doc {0}, place bigint, range int"
-
-
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, bytes, doc, place, range): place of the anchor in its text; range: bytes before it
-    and number of start positions."""
+    """(key, bytes, doc, place, range): place of the anchor in its text; range: bytes before it
+    and number of start positions.
+
+    Of occurrences with equal bytes only the earliest of each part of the input goes on, keyed by
+    its gram.  The others are repeats for certain: bytes is null, and the key deals them evenly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", SEGMENT):
                 data, edges = text_buffer(part.column("text"))
+                found = []
                 for piece, starts, row, begin, shift in _segments(data, edges, length):
-                    if not len(starts):
-                        continue
-                    gram, covered, anchor, low, high = anchors(piece, starts, length)
-                    at = np.searchsorted(starts, low)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(gram.view(np.int64)), pa.array(covered.view(np.int64)),
-                        part.column("doc").take(pa.array(row[at])),
-                        pa.array(anchor - begin[at] + shift),
-                        pa.array(((anchor - low) << 16 | (high - low + 1)).astype(np.int32)),
-                    ], names=["gram", "bytes", "doc", "place", "range"])
-
-    return docs.mapInArrow(run, _ANCHORS.format(dict(docs.dtypes)["doc"]))
+                    if len(starts):
+                        gram, covered, anchor, low, high = anchors(piece, starts, length)
+                        at = np.searchsorted(starts, low)
+                        found.append((gram.view(np.int64), covered.view(np.int64), row[at],
+                                      anchor - begin[at] + shift,
+                                      ((anchor - low) << 16 | (high - low + 1)).astype(np.int32)))
+                if not found:
+                    continue
+                gram, covered, row, place, reach = (np.concatenate(c) for c in zip(*found))
+                _, rank = np.unique(part.column("doc").to_numpy(zero_copy_only=False), return_inverse=True)
+                order = np.lexsort((place, rank[row], covered, gram))
+                gram, covered, row, place, reach = (
+                    c[order] for c in (gram, covered, row, place, reach))
+                repeat = _same(gram, covered)
+                leader = np.maximum.accumulate(np.where(repeat, 0, np.arange(len(gram))))
+                itself = repeat & (rank[row] == rank[row[leader]]) & (place == place[leader])
+                key = np.where(repeat, _mixed((place.astype(np.uint64) << np.uint64(20))
+                                              + rank[row].astype(np.uint64)).view(np.int64), gram)
+                out = pa.RecordBatch.from_arrays([
+                    pa.array(key), pa.array(covered, mask=repeat), part.column("doc").take(pa.array(row)),
+                    pa.array(place), pa.array(reach)], names=["key", "bytes", "doc", "place", "range"])
+                yield out.filter(pa.array(~itself))
+
+    return docs.mapInArrow(
+        run, f"key bigint, bytes bigint, doc {dict(docs.dtypes)['doc']}, place bigint, range int")
 
 
 def _same(*columns: np.ndarray) -> np.ndarray:
@@ -162,13 +177,18 @@ def _decided(anchored: DataFrame, length: int) -> DataFrame:
     known whether it occurs with different bytes, and of that only the first row of each.
     """
     kind = dict(anchored.dtypes)["doc"]
-    names = ["gram", "bytes", "doc", "place", "range"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # firsts of the last gram; its last row's key comes with them
         last: tuple | None = None
         for batch in batches:
-            gram, covered = batch.column("gram").to_numpy(), batch.column("bytes").to_numpy()
+            known = batch.column("bytes").is_null().to_numpy(zero_copy_only=False)
+            if known.any():
+                reach, place = batch.column("range").to_numpy(), batch.column("place").to_numpy()
+                start = place - (reach >> 16)
+                yield _spans(batch.column("doc"), start, start + (reach & 0xFFFF) - 1 + length, known)
+                batch = batch.filter(pa.array(~known))
+            gram, covered = batch.column("key").to_numpy(), batch.column("bytes").to_numpy()
             doc, place = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("place").to_numpy()
             same = _same(gram, covered)
             same_place = _same(doc, place) & same
@@ -185,7 +205,7 @@ def _decided(anchored: DataFrame, length: int) -> DataFrame:
             if len(gram):
                 last = (gram[-1], covered[-1], doc[-1], place[-1])
             if held.num_rows > 1 << 14:
-                closed = held.column("gram").to_numpy() != last[0]
+                closed = held.column("key").to_numpy() != last[0]
                 yield from _open_grams(held.filter(pa.array(closed)))
                 held = held.filter(pa.array(~closed))
                 if held.num_rows > 1 << 14:  # one gram, with many contexts: they are wanted anyway
@@ -198,7 +218,7 @@ def _decided(anchored: DataFrame, length: int) -> DataFrame:
     crowded: set[int] = set()
 
     def _open_grams(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        gram = table.column("gram").to_numpy()
+        gram = table.column("key").to_numpy()
         same = _same(gram)
         wanted = same.copy()
         wanted[:-1] |= same[1:]
@@ -211,10 +231,10 @@ def _decided(anchored: DataFrame, length: int) -> DataFrame:
         for part in table.filter(pa.array(wanted)).to_batches():
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc"), part.column("place"), pa.nulls(part.num_rows, pa.int64()),
-                 part.column("gram"), part.column("range")],
+                 part.column("key"), part.column("range")],
                 names=["doc", "start", "stop", "gram", "range"])
 
-    rows = anchored.repartition("gram").sortWithinPartitions(*names[:4])
+    rows = anchored.repartition("key").sortWithinPartitions("key", "bytes", "doc", "place")
     return rows.mapInArrow(run, f"doc {kind}, start bigint, stop bigint, gram bigint, range int")
 
 
