@@ -42,7 +42,11 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, examples: in
 def repeated_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """One row: how many rows repeat an earlier one (nulls equal)."""
     keys = subset or df.columns
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(
+    # Rows are compared by 128 bits of hash, so whole rows are not shuffled; a hash skips nulls,
+    # hence the flags.
+    parts = [x for c in keys for x in (F.col(c).isNull(), F.col(c))]
+    prints = df.select(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+    return prints.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")
     )
 
