@@ -31,6 +31,9 @@ def gapless_rank(df: DataFrame, groups: list[str], order: list[str], name: str,
             .drop("_bucket", "_inside", "_before"))
 
 
+LINKS_PER_TASK = 50_000
+
+
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
@@ -45,6 +48,9 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
 
     Alternating large-star and small-star rounds.  Each round is a pre-aggregated minimum and a
     join, so a node with very many links is no group in one task, and lineage is cut every round.
+    The number of map tasks follows the number of links, so that many rounds over few links do not
+    write a file for every pair of partitions.
+
     Links with a null end, loops and repeated links are ignored.
     """
     edges = (links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -53,13 +59,16 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     edges = cut_lineage(edges)
     seen = _checksum(edges)
     for _ in range(most_rounds):
+        tasks = seen[0] // LINKS_PER_TASK + 1
+        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (both.join(_least(both), "u").where("v > u")
-                 .select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
-        small = large.join(_least(large), "u")
+                 .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+                 .coalesce(tasks).distinct().coalesce(tasks))
+        small = large.join(_least(large), "u").coalesce(tasks)
         small = (small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(small.select("u", F.col("m").alias("v"))).distinct())
-        edges = cut_lineage(small)
+        edges = cut_lineage(small.coalesce(tasks))
         now = _checksum(edges)
         if now == seen:
             break

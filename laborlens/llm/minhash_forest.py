@@ -10,7 +10,7 @@ confirmed on the full sets.
 
 Documents with equal sets are one class, compared once.  Null, empty and blank texts have an empty
 set and link with nothing; a text of fewer words than a shingle is one shingle.  Rows that repeat
-an id are one document whose class is that of each row; rows without an id have no component.
+an id are one document, linked by any of its texts; rows without an id have no component.
 """
 
 from __future__ import annotations
@@ -164,13 +164,31 @@ def signed(docs: DataFrame, words: int, depth: int, key: str, text: str) -> Data
              "trees array<struct<region:bigint,deeper:bigint>>")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of class representatives that are neighbours in some tree."""
-    rows = classes.select("rep", F.explode("trees").alias("t")).select(
-        "rep", "t.region", "t.deeper")
-    region = Window.partitionBy("region").orderBy("deeper", "rep")
-    after = F.array_compact(F.array(*[F.lead("rep", k).over(region) for k in range(1, NEIGHBOURS + 1)]))
-    return (rows.withColumn("after", after).select("rep", F.explode("after").alias("other"))
+def _region() -> Window:
+    return Window.partitionBy("region").orderBy("deeper", "rep")
+
+
+def _forest(classes: DataFrame) -> DataFrame:
+    """A row per class and tree."""
+    return classes.select("rep", "n_shingles", F.explode("trees").alias("t")).select(
+        "rep", "n_shingles", "t.region", "t.deeper")
+
+
+def candidates(forest: DataFrame, first: int, last: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that are `first` to `last` places apart in some tree's region.
+
+    Only those whose sizes allow the similarity, and whose components, where known, differ.
+    """
+    own = F.struct("rep", "n_shingles", "component")
+    after = F.array_compact(F.array(*[F.lead(own, k).over(_region()) for k in range(first, last + 1)]))
+
+    def fits(x: Column) -> Column:
+        return ((F.least(x["n_shingles"], "n_shingles") * 100
+                 >= F.greatest(x["n_shingles"], "n_shingles") * percent)
+                & (x["component"] != F.col("component")))
+
+    return (forest.withColumn("after", after)
+            .select("rep", F.explode(F.transform(F.filter("after", fits), lambda x: x["rep"])).alias("other"))
             .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
             .distinct())
 
@@ -196,14 +214,8 @@ def _alike(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return F.lit(100) * shared >= F.lit(percent) * (a + b - shared)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, key: str,
-              text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
-
-    Texts are shuffled once, to pick those in a pair; then each picked set goes to its pairs.
-    """
-    ids = pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct()
-    sets = cut_lineage(_sets(texts.join(ids, key, "left_semi"), words, key, text))
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     first = sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a"))
     second = sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b")).cast("long")
@@ -221,17 +233,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     filled = rows.where("n_shingles > 0")
     equal = ["n_shingles", "set_a", "set_b"]
     reps = filled.groupBy(*equal).agg(F.min("key").alias("rep"))
-    classes = (filled.join(reps, equal).where("key = rep").select("rep", "n_shingles", "trees")
-               .dropDuplicates(["rep", "n_shingles"]))
-    sizes = F.col("n_shingles").cast("double")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    pairs = candidates(classes.select("rep", "trees"))
-    size_of = classes.groupBy("rep").agg(F.min(sizes).alias("n_least"), F.max(sizes).alias("n"))
-    pairs = (pairs.join(size_of.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a")
-             .join(size_of.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
-             .where(small * 100 >= large * percent).select("a", "b"))
-    pairs = cut_lineage(pairs)
-    links = confirmed(pairs, docs.select(key, text), words, percent, key, text)
+    classes = (filled.join(reps, equal).where("key = rep").dropDuplicates(["rep", *equal]))
+    forest = cut_lineage(_forest(classes).withColumn("component", F.col("rep")))
+    # Texts are shuffled once, to pick those that share a region with another.
+    near = F.coalesce(F.lead("rep").over(_region()), F.lag("rep").over(_region()))
+    ids = forest.withColumn("near", near).where("near is not null").select(
+        F.col("rep").alias(key)).distinct()
+    sets = _sets(docs.select(key, text).join(ids, key, "left_semi"), words, key, text)
+    if not rows.groupBy("key").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates()  # rows that repeat an id and its text would repeat pairs
+    sets = cut_lineage(sets)
+    # Next neighbours first: pairs that these put into one component need no look any more, which
+    # spares a crowded region most of its pairs and loses none.
+    links = cut_lineage(confirmed(candidates(forest, 1, 1, percent), sets, percent))
+    known = components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("found"))
+    forest = forest.join(known, "rep", "left").withColumn("component", F.coalesce("found", "component"))
+    links = links.union(confirmed(candidates(forest, 2, NEIGHBOURS, percent), sets, percent))
     members = filled.join(reps, equal).where("key != rep").select(
         F.col("rep").alias("a"), F.col("key").alias("b"))
     found = components(links.union(members), "a", "b").withColumnRenamed("node", "key")
