@@ -177,3 +177,78 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 100)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans",
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Reachability for the small tables that oracles run on; the operators use star rounds instead.
+_REACH = """reach AS (
+        SELECT a AS node, a AS seen FROM links
+        UNION SELECT node, b FROM reach JOIN links ON seen = a
+    ), smallest AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)"""
+
+ORACLES["op9_product_quantised_dedup"] = f"""
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND label IS NOT NULL AND list_count(embedding) = len(embedding)
+          AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links AS (
+        SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q
+        ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
+        WHERE list_cosine_similarity(p.x, q.x) >= 0.93
+    ), {_REACH}
+    SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
+           coalesce(component_id, vec_id) AS component_id,
+           coalesce(component_id, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN smallest ON node = vec_id"""
+
+ORACLES["op10_minhash_forest"] = rf"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), shingled AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []
+               WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+               ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+               END) AS s FROM words
+    ), posted AS (SELECT doc_id, unnest(s) AS shingle FROM shingled),
+    shared AS (
+        SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM posted p JOIN posted q
+        ON p.shingle = q.shingle AND p.doc_id <> q.doc_id GROUP BY 1, 2
+    ), links AS (
+        SELECT a, b FROM shared JOIN shingled p ON p.doc_id = a JOIN shingled q ON q.doc_id = b
+        WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)
+    ), {_REACH}
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+           coalesce(component_id, doc_id) = doc_id AS kept
+    FROM shingled LEFT JOIN smallest ON node = doc_id"""
+
+# Bytes as pairs of hexadecimal digits: place k of a text is digits 2k + 1 and 2k + 2.
+ORACLES["op5_suffix_array_dedup"] = """
+    WITH texts AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n
+        FROM documents
+    ), strings AS (
+        SELECT doc_id, k, substr(h, 2 * k + 1, 200) AS s
+        FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS k FROM texts)
+    ), again AS (
+        SELECT doc_id, k FROM strings
+        QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, k) > 1
+    ), marked AS (
+        SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 100
+                               THEN 0 ELSE 1 END AS opens FROM again
+    ), spans AS (
+        SELECT doc_id, min(k) AS a, max(k) + 100 AS b
+        FROM (SELECT doc_id, k, sum(opens) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM marked)
+        GROUP BY doc_id, span
+    ), pieces AS (
+        SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since, a AS upto
+        FROM (SELECT * FROM spans UNION ALL SELECT doc_id, n, n FROM texts)
+    ), kept AS (
+        SELECT doc_id, string_agg(substr(h, (2 * since + 1)::BIGINT, (2 * (upto - since))::BIGINT), ''
+               ORDER BY since) AS kept FROM pieces JOIN texts USING (doc_id) GROUP BY doc_id
+    ), removed AS (
+        SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+    )
+    SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(kept)) AS kept_sha256
+    FROM texts JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
