@@ -6,7 +6,6 @@ from pyspark.sql import Column, functions as F
 
 # Status vocabularies in report order.
 GAP_ORDER = ("HIGH_GAP", "MEDIUM_GAP", "NEEDS_REVIEW", "LOW_GAP", "NO_DATA")
-VELOCITY_LABELS = ("RISING", "STABLE", "FALLING", "INSUFFICIENT_DATA")
 
 
 def share(part: Column, whole: Column, digits: int) -> Column:
@@ -14,13 +13,6 @@ def share(part: Column, whole: Column, digits: int) -> Column:
     return F.bround(F.try_divide(part.cast("double"), whole.cast("double")), digits)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when(
-        (F.size(a) > 0) & (F.size(b) > 0), both / F.size(F.array_union(a, b))
-    ).otherwise(F.lit(0.0))
-
-
 def gap_class(
     jobs: Column, job_share: Column, has_supply: Column, total_jobs: Column,
     high: float = 0.05, medium: float = 0.01,

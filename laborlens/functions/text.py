@@ -93,10 +93,6 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def word_set(c: Column) -> Column:
-    return F.array_distinct(word_tokens(c))
-
-
 def corpus_words(c: Column) -> Column:
     """Word-like runs that start with a letter, lower case."""
     found = F.regexp_extract_all(

@@ -121,10 +121,6 @@ def decision(policies: DataFrame, source_id: str) -> tuple[str, bool]:
     return (row["action"], row["eligible"]) if row else ("UNGOVERNED", False)
 
 
-def gate_counts(gated: DataFrame) -> DataFrame:
-    return gated.groupBy("source_id", "action").agg(F.count(F.lit(1)).alias("records"))
-
-
 def sources_to_register(incoming: DataFrame, registry: DataFrame) -> DataFrame:
     """Sources whose id is not registered yet; registering again adds nothing."""
     return incoming.dropDuplicates(["source_id"]).join(

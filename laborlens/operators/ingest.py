@@ -182,6 +182,44 @@ def institute_trades(valid_institutes: DataFrame, missing: str = "") -> DataFram
     )
 
 
+class InstituteUpsert(NamedTuple):
+    """Rows to append on both levels, the rejected institutes, and one row of counts."""
+
+    institutes: DataFrame
+    trades: DataFrame
+    rejected: DataFrame
+    counts: DataFrame
+
+
+def institute_upsert(
+    checked: DataFrame, stored: DataFrame, stored_trades: DataFrame, missing: str = ""
+) -> InstituteUpsert:
+    """Insert-or-skip of institutes and their trades.
+
+    ``checked`` comes from :func:`institutes`; ``stored`` has the known record_identity_hash,
+    ``stored_trades`` the known trade_identity_hash.  Trades of a known institute are added too.
+    """
+    identity, trade = "record_identity_hash", "trade_identity_hash"
+    valid = checked.where("is_valid").dropDuplicates([identity])
+    trades = institute_trades(valid, missing).dropDuplicates([trade])
+    fresh = valid.join(stored.select(identity), identity, "left_anti")
+    fresh_trades = trades.join(stored_trades.select(trade), trade, "left_anti")
+    rejected = checked.where("not is_valid")
+
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias(name))
+
+    counts = count(fresh, "institutes_created")
+    for df, name in ((valid, "institutes"), (fresh_trades, "trades_created"), (trades, "trades"),
+                     (rejected, "institutes_rejected")):
+        counts = counts.crossJoin(count(df, name))  # one row each
+    return InstituteUpsert(fresh, fresh_trades, rejected, counts.select(
+        "institutes_created",
+        (F.col("institutes") - F.col("institutes_created")).alias("institutes_skipped"),
+        "institutes_rejected", "trades_created",
+        (F.col("trades") - F.col("trades_created")).alias("trades_skipped")))
+
+
 class HistoricalIngest(NamedTuple):
     """What a run would append, and its accounting; nothing is written, which makes a dry run."""
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.identity import apprenticeship_identity
+
 IDENTITY = "record_identity_hash"
 
 
@@ -60,6 +62,21 @@ def postings_to_insert(
     )
 
 
+def apprenticeships_to_insert(
+    rows: DataFrame, existing: DataFrame, ordinal: str = "ordinal"
+) -> DataFrame:
+    """Apprenticeship facts to append: first row per identity, not yet stored.
+
+    ``rows`` has source_id, source_record_id, trade_title, organization_name, location_text,
+    application_start_date and application_end_date.
+    """
+    identity = apprenticeship_identity(*[F.col(c) for c in (
+        "source_id", "source_record_id", "trade_title", "organization_name", "location_text",
+        "application_start_date", "application_end_date")])
+    first = first_per_key(rows.withColumn(IDENTITY, identity), ordinal=ordinal)
+    return new_rows(first, existing, [IDENTITY])
+
+
 def ingest_accounting(normalized: DataFrame, existing: DataFrame) -> DataFrame:
     """One row: input, normalised, rejected, inserted, skipped and the invariants.
 

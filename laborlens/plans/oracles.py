@@ -1431,3 +1431,24 @@ ORACLES["sources_register"] = text(view_cte("sources"), """SELECT source_id, cat
   FROM sources WHERE enabled IS NOT TRUE""")
 ORACLES["historical_ingest"] = f"""SELECT a.*, (SELECT count(*) FROM (
   {text(COLLISIONS, EDGES)})) AS relationships_inserted FROM ({ORACLES['ingest_accounting']}) a"""
+ORACLES["institute_upsert"] = """SELECT count(*) FILTER (WHERE ok AND NOT own) AS institutes_created,
+  count(*) FILTER (WHERE ok AND own) AS institutes_skipped,
+  count(*) FILTER (WHERE NOT ok) AS institutes_rejected,
+  2 * count(*) FILTER (WHERE ok) - count(*) FILTER (WHERE ok AND own) AS trades_created,
+  count(*) FILTER (WHERE ok AND own) AS trades_skipped
+FROM (SELECT s_nationkey <> 5 AS ok, s_nationkey > 3 AS own FROM supplier)"""
+ORACLES["institute_rejects"] = """SELECT s_name AS institute_name,
+  'district must be ''Pune'', got ''Nashik''' AS errors FROM supplier WHERE s_nationkey = 5"""
+_APPRENTICE = f"""sha256(concat_ws('|', {collapse('source_id')}, {collapse('trade_title')}, '',
+  {collapse('district')}, CAST(CAST(retrieved_at AS DATE) AS VARCHAR),
+  CAST(CAST(retrieved_at AS DATE) AS VARCHAR)))"""
+ORACLES["apprenticeship_insert"] = text(view_cte("apprenticeships"), f"""SELECT
+  {_APPRENTICE} AS record_identity_hash, trade_title, district AS location_text,
+  CAST(posting_id AS BIGINT) AS ordinal FROM apprenticeships WHERE trade_title <> 'Machinist'
+  QUALIFY row_number() OVER (PARTITION BY {_APPRENTICE} ORDER BY CAST(posting_id AS BIGINT)) = 1""")
+ORACLES["snapshot_raw_json"] = text(SNAPSHOT, """SELECT rid AS source_record_id,
+  to_json({'source_record_id': rid, 'job_title': title, 'salary': salary, 'is_valid': title <> ''})
+    ::VARCHAR AS raw_json, CASE WHEN title <> '' THEN 'staged' ELSE 'failed' END AS processing_status
+FROM snap""")
+ORACLES["source_coverage"] = text(view_cte("sources"), """SELECT source_id, source_name,
+  freshness_class FROM sources""")

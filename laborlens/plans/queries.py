@@ -683,10 +683,9 @@ def snapshot_counts(spark, sf):
     )
 
 
-@query
-def institutes(spark, sf):
+def _checked_institutes(spark, sf):
     suppliers = table(spark, sf, "supplier")
-    snapshot = suppliers.select(
+    return ingest.institutes(suppliers.select(
         F.lit("institute-snapshot").alias("source_id"),
         F.col("s_name").alias("institute_name"),
         F.when(F.col("s_nationkey") > 3, F.concat(F.lit("C"), F.col("s_suppkey")))
@@ -700,8 +699,12 @@ def institutes(spark, sf):
                      F.lit(None).cast("string").alias("unit_category"),
                      F.lit(None).cast("string").alias("intake")),
         ).alias("trades"),
-    )
-    return ingest.institute_trades(ingest.institutes(snapshot)).drop("source_id")
+    ))
+
+
+@query
+def institutes(spark, sf):
+    return ingest.institute_trades(_checked_institutes(spark, sf)).drop("source_id")
 
 
 # --- parsers -----------------------------------------------------------------------------
@@ -1172,3 +1175,47 @@ def _ingested_all(spark, sf):
     return cut_lineage(_normalized(spark, sf).select(
         "accepted", "row_key", "record_identity_hash", *dict.fromkeys((*OBSERVED, *RAW))
     )).withColumnRenamed("row_key", "ordinal")
+
+
+@query
+def institute_upsert(spark, sf):
+    """Institutes with a code of their own, and their first trades, were stored before."""
+    checked = _checked_institutes(spark, sf)
+    known = checked.where("is_valid AND institute_code LIKE 'C%'")
+    trades = ingest.institute_trades(known).where("position = 0")
+    return ingest.institute_upsert(checked, known, trades).counts
+
+
+@query
+def institute_rejects(spark, sf):
+    checked = _checked_institutes(spark, sf)
+    rejected = ingest.institute_upsert(
+        checked, checked.limit(0), ingest.institute_trades(checked).limit(0)).rejected
+    return rejected.select("institute_name", F.array_join("validation_errors", "; ").alias("errors"))
+
+
+@query
+def apprenticeship_insert(spark, sf):
+    """Machinists were stored by an earlier run."""
+    rows = view(spark, sf, "apprenticeships").select(
+        "source_id", F.lit(None).cast("string").alias("source_record_id"), "trade_title",
+        F.lit("").alias("organization_name"), F.col("district").alias("location_text"),
+        F.to_date("retrieved_at").alias("application_start_date"),
+        F.to_date("retrieved_at").alias("application_end_date"),
+        F.col("posting_id").cast("bigint").alias("ordinal"))
+    nothing = spark.createDataFrame([], "record_identity_hash string")
+    known = persist.apprenticeships_to_insert(rows.where("trade_title = 'Machinist'"), nothing)
+    return persist.apprenticeships_to_insert(rows, known).select(
+        "record_identity_hash", "trade_title", "location_text", "ordinal")
+
+
+@query
+def snapshot_raw_json(spark, sf):
+    rows = _snapshot_records(spark, sf).select(
+        "source_record_id", "job_title", "salary", (F.col("job_title") != "").alias("is_valid"))
+    return sinks.staged(rows).select("source_record_id", "raw_json", "processing_status")
+
+
+@query
+def source_coverage(spark, sf):
+    return demand.source_coverage(view(spark, sf, "sources"))

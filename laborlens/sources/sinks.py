@@ -97,7 +97,9 @@ def export(df: DataFrame, name: str) -> DataFrame:
 
 def staged(df: DataFrame, valid: str = "is_valid") -> DataFrame:
     """Rows for the staging table: raw JSON of the record and its processing status."""
-    return df.withColumn("raw_json", F.to_json(F.struct(*df.columns))).withColumn(
+    return df.withColumn(
+        "raw_json", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    ).withColumn(
         "processing_status", F.when(F.col(valid), "staged").otherwise("failed")
     )
 
