@@ -38,10 +38,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.fit(docs)
     if not model.languages:
         return docs.select(*COLUMNS)
-    keyed = docs.select(F.struct(*COLUMNS).alias("doc"), "text")
-    found = langid.predict(keyed, model, key="doc").where(
+    keyed = docs.select(F.struct(*[c for c in COLUMNS if c != "text"]).alias("doc"), "text")
+    found = langid.predict(keyed, model, key="doc", with_text=True).where(
         (F.col("lang_pred") != langid.NONE) & (F.col("score") >= LEAST_SCORE))
-    return found.select("doc.doc_id", "doc.text", F.coalesce("doc.lang", "lang_pred").alias("lang"),
+    return found.select("doc.doc_id", "text", F.coalesce("doc.lang", "lang_pred").alias("lang"),
                         "doc.source", "doc.n_chars")
 
 

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+# Text that is worked on at a time.  Working arrays are some tens of times as large, and an executor
+# has several Python workers, so this is small.
+CHUNK_BYTES = 1 << 18
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +39,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         end = min(max(end, at + 1), batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # idle workers keep no buffers
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

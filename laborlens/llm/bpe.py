@@ -28,6 +28,7 @@ from .codepoints import LETTER, NUMBER, OTHER, SPACE, decode as codepoints, kind
 
 MOST_VOCABULARY_BYTES = 64 << 20
 MOST_CACHED = 250_000
+SLICED_BYTES = 1 << 19  # larger parts share more slices
 BLOCK = 256
 
 # States: what the code points since the last boundary are.
@@ -432,7 +433,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         cache = _cache(vocabulary.value)
         _, _, token_size = _pieces(vocabulary.value)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SLICED_BYTES):
                 data, offsets = text_buffer(part.column("text"))
                 ids, before = encode_chunk(data, offsets, cache)
                 ends = np.cumsum(token_size[ids])

@@ -107,8 +107,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     return Model(languages, weights, np.log(prior / prior.sum()))
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row its key, `lang_pred` and `score`, the probability of that language."""
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
+            with_text: bool = False) -> DataFrame:
+    """Per row its key, `lang_pred` and `score`, the probability of that language.
+
+    `with_text` keeps the text too, so that a filter needs no join.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     buckets = len(model.weights) - 1
 
@@ -131,11 +135,15 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                     best = total.argmax(axis=1)
                     total -= total.max(axis=1, keepdims=True)
                     lang[rows], score[rows] = best, 1 / np.exp(total).sum(axis=1)
+                kept = [part.column("text")] if with_text else []
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), pa.array(names[lang].tolist(), pa.string()),
-                     pa.array(score)], names=["key", "lang_pred", "score"])
+                     pa.array(score), *kept],
+                    names=["key", "lang_pred", "score", *["text"] * with_text])
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed(
-        "key", key)
+    found = rows.mapInArrow(
+        run, f"key {kind}, lang_pred string, score double" + ", text string" * with_text)
+    return found.select(F.col("key").alias(key), "lang_pred", "score",
+                        *[F.col("text").alias(text)] * with_text)

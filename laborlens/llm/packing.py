@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .batches import chunks, text_buffer
-from .bpe import MOST_VOCABULARY_BYTES, SliceCache, encode_chunk
+from .bpe import MOST_VOCABULARY_BYTES, SLICED_BYTES, SliceCache, encode_chunk
 from .common import cut_lineage, gapless_rank
 
 
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, end_token: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _slices(content.value)
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SLICED_BYTES):
                 ids, before = encode_chunk(*text_buffer(part.column("text")), cache)
                 n = np.diff(before) + 1
                 full = np.full(before[-1] + len(n), end_token, np.dtype("<u4"))
