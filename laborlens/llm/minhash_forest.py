@@ -4,9 +4,9 @@ A document is the set of its distinct word shingles.  One signature of independe
 in several orders, the trees.  In a tree, documents that agree in the first minima form a region;
 a region is sorted by the minima that follow, so that its members with the longest common prefixes
 stand next to each other, and every document is paired with the nearest neighbours that follow it.
-A small region is compared in full that way; in a crowded one the sort goes deeper and neighbours
-are those that agree longest, while other trees order the same documents anew.  Every pair is then
-confirmed on the full sets.
+A small region is compared in full that way.  A crowded one whose members are not yet one component
+is then finished: it is dealt into blocks, and each pair of blocks is a group of its own, in which
+all pairs of different components are compared.  Every pair is confirmed on the full sets.
 
 Documents with equal sets are one class, compared once.  Null, empty and blank texts have an empty
 set and link with nothing; a text of fewer words than a shingle is one shingle.  Rows that repeat
@@ -29,6 +29,9 @@ SIGNATURE = 96
 TREES = 16
 NEIGHBOURS = 8
 SORT_DEPTH = 8  # minima after the prefix that order a region, one byte of each
+BLOCK_ROWS = 512  # documents and shingles of a block of a crowded region
+BLOCK_SHINGLES = 1 << 18
+MOST_BITS = 1 << 15
 BLANK_BYTES = np.zeros(256, bool)
 BLANK_BYTES[[0x20, *range(0x09, 0x0E)]] = True
 PRIME = np.uint64(0x100000001B3)
@@ -223,6 +226,106 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(_alike(shared, F.size("of_a"), F.size("of_b"), percent)).select("a", "b"))
 
 
+def _crowded(forest: DataFrame) -> DataFrame:
+    """(rep, component, region, block, low, high): a row per pair of blocks that a member meets in.
+
+    Only regions with members that no window of neighbours spans, and with several components.
+    Members of a region's largest component need not meet one another: blocks from `others` on are
+    theirs.
+    """
+    by_component = forest.groupBy("region", "component").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    largest = F.max(F.struct("n", "component", "size"))
+    regions = (by_component.groupBy("region")
+               .agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("parts"),
+                    largest.alias("most"))
+               .where((F.col("n") > NEIGHBOURS + 1) & (F.col("parts") > 1)))
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_SHINGLES)).cast("int")
+
+    regions = regions.select(
+        "region", F.col("most.component").alias("home"),
+        blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("others"),
+        blocks(F.col("most.n"), F.col("most.size")).alias("own"))
+    dealt = F.xxhash64("rep", "region")
+    at_home = F.col("component") == F.col("home")
+    block = F.when(at_home, F.col("others") + F.pmod(dealt, "own")).otherwise(F.pmod(dealt, "others")).cast("int")
+    last = F.when(at_home, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1
+    return (forest.join(regions, "region").withColumn("block", block)
+            .select("rep", "component", "region", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+            .select("rep", "component", "region", "block", F.least("block", "other").alias("low"),
+                    F.greatest("block", "other").alias("high")))
+
+
+def _bitmaps(values: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Per set, which remainders its hashes leave."""
+    n = np.diff(before)
+    width = min(max(64, 1 << int(4 * n.max() - 1).bit_length()), MOST_BITS)
+    out = np.empty((len(n), width // 64), np.uint64)
+    for k in range(0, len(n), 128):
+        own = slice(int(before[k]), int(before[min(k + 128, len(n))]))
+        flags = np.zeros((min(128, len(n) - k), width), bool)
+        flags[np.repeat(np.arange(len(flags)), n[k:k + 128]), values[own] & np.uint64(width - 1)] = True
+        out[k:k + 128] = np.packbits(flags, axis=1).view(np.uint64)
+    return out
+
+
+def block_links(block: np.ndarray, label: np.ndarray, values: np.ndarray, before: np.ndarray,
+                percent: int) -> list[tuple[int, int]]:
+    """Rows (i, j) whose sets are similar enough, as many as join all labels that such rows join.
+
+    Rows of one block are compared with one another, rows of two blocks with those of the other.
+    A remainder that only one set leaves is a shingle that the other lacks, so bitmaps bound what
+    two sets share from above; pairs within the bound are counted in full.
+    """
+    label = np.unique(label, return_inverse=True)[1]
+    n = np.diff(before)
+    bits = _bitmaps(values, before)
+    spare = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    low, high = (np.flatnonzero(block == b) for b in (block.min(), block.max()))
+    alone = block.min() == block.max()
+    found = []
+    for k, i in enumerate(low.tolist()):
+        j = high[k + 1:] if alone else high
+        j = j[(label[j] != label[i])
+              & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)]
+        both = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+        most = both + np.minimum(spare[i], spare[j])
+        j = j[100 * most >= percent * (n[i] + n[j] - most)]
+        if not len(j):
+            continue
+        own = values[before[i]:before[i + 1]]
+        theirs = values[gather(before[j], n[j])]
+        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[j]) - n[j])
+        for other in j[100 * shared >= percent * (n[i] + n[j] - shared)].tolist():
+            if label[other] != label[i]:
+                found.append((i, other))
+                label[label == label[other]] = label[i]
+    return found
+
+
+def crowded_links(forest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components of which some members in one crowded region are similar enough."""
+    kind = dict(forest.dtypes)["component"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        component = table.column("component").combine_chunks()
+        lists = table.column("shingles").combine_chunks()
+        before = lists.offsets.to_numpy().astype(np.int64)
+        found = block_links(table.column("block").to_numpy(), component.to_numpy(zero_copy_only=False),
+                            lists.flatten().to_numpy().view(np.uint64), before - before[0], percent)
+        a, b = (pa.array([pair[k] for pair in found], pa.int64()) for k in range(2))
+        return pa.table({"a": component.take(a), "b": component.take(b)})
+
+    members = _crowded(forest)
+    return (members.join(sets.withColumnRenamed("key", "rep"), "rep")
+            .select("region", "low", "high", "block", "component", "shingles")
+            .groupBy("region", "low", "high").applyInArrow(run, f"a {kind}, b {kind}"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """One row per row of `docs`: key, n_shingles, component_id and kept (whether it is its
@@ -252,9 +355,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     members = filled.join(reps, equal).where("key != rep").select(
         F.col("rep").alias("a"), F.col("key").alias("b"))
     found = components(links.union(members), "a", "b").withColumnRenamed("node", "key")
-    return (rows.join(found, "key", "left")
-            .select(F.col("key").alias(key), "n_shingles",
-                    F.coalesce("component", "key").alias("component_id"))
+    known = found.select(F.col("key").alias("rep"), F.col("component").alias("found"))
+    forest = forest.select("rep", "n_shingles", "region").join(known, "rep", "left").withColumn(
+        "component", F.coalesce("found", "rep")).drop("found")
+    more = cut_lineage(crowded_links(forest, sets, percent))
+    judged = rows.join(found, "key", "left").select(
+        "key", "n_shingles", F.coalesce("component", "key").alias("part"))
+    if more.isEmpty():
+        judged = judged.withColumnRenamed("part", "component_id")
+    else:
+        joint = components(more, "a", "b").withColumnRenamed("node", "part")
+        judged = judged.join(joint, "part", "left").withColumn(
+            "component_id", F.coalesce("component", "part"))
+    return (judged.select(F.col("key").alias(key), "n_shingles", "component_id")
             .withColumn("kept", F.col(key) == F.col("component_id"))
             .unionByName(docs.where(F.col(key).isNull()).select(
                 key, F.lit(0).cast("long").alias("n_shingles"),

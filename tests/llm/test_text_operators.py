@@ -311,6 +311,49 @@ def test_minhash_recall_on_pairs(spark):
     assert found <= linked and len(found) >= 0.97 * len(linked) and len(linked) > 150
 
 
+def test_minhash_of_a_template_family(spark):
+    """A thousand documents of one template, alike but below the threshold; only couples reach it."""
+    rng = random.Random(11)
+    base = " ".join(f"base{k}" for k in range(100))
+    rows = []
+    for k in range(500):
+        own = [f"own{k}x{j}" for j in range(20)]
+        other = own[:12] + [f"other{k}x{j}" for j in range(8)]
+        rows += [(0, f"{base} {' '.join(own)}"), (0, f"{base} {' '.join(other)}")]
+    ids = rng.sample(range(len(rows)), len(rows))
+    got = minhash_forest.near_duplicates(
+        frame(spark, [(i, text) for i, (_, text) in zip(ids, rows)]), 3, 85).toPandas()
+    sets = sets_by_hand([text for _, text in rows], 3)
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert alike(0, 1) and not alike(0, 2) and not alike(1, 2)
+    # Couples that agree on a prefix in no tree are out of reach; all others are found.
+    low = minhash_forest.minima(*minhash_forest.shingles(
+        *text_buffer(pa.array([text for _, text in rows])), 3), minhash_forest.SIGNATURE)
+    depth = minhash_forest.depth_for(0.85, minhash_forest.TREES)
+    met = np.any([(low[0::2, order[:depth]] == low[1::2, order[:depth]]).all(axis=1) for order in
+                  minhash_forest.orders(minhash_forest.TREES, minhash_forest.SIGNATURE)], axis=0)
+    assert met.sum() > 495
+    wanted = {ids[k]: min(ids[k], ids[k ^ 1]) if met[k // 2] else ids[k] for k in range(len(rows))}
+    assert dict(zip(got.doc_id, got.component_id)) == wanted
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_block_links(two):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = [np.unique(np.append(base[:rng.integers(200, 300)], rng.integers(0, 2**64, 20, dtype=np.uint64)))
+            for _ in range(60)]
+    before = np.cumsum([0, *map(len, sets)])
+    block = np.arange(60) % 2 if two else np.zeros(60, int)
+    label = np.arange(60) // 2
+    links = [(a, b) for a in range(60) for b in range(a) if (not two or block[a] != block[b])
+             and 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    known = [(2 * k, 2 * k + 1) for k in range(30)]
+    got = minhash_forest.block_links(block, label, np.concatenate(sets), before, 85)
+    assert all((max(p), min(p)) in links for p in got) and len(got) < 30
+    assert components_by_hand(range(60), [*known, *got]) == components_by_hand(range(60), [*known, *links])
+
+
 # --- passages
 
 
