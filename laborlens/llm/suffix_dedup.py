@@ -11,6 +11,7 @@ group, wherever they occur:
 2. Their contexts are fetched from the texts, sorted to both sides of the gram, and cut to what
    some other context shares.  What is then equal is decided; the contexts that are left different
    are joined into one text per pool of groups, whose suffix array brings equal strings together.
+   A group that fills more than a pool is split over several, whose strings are compared by hash.
 3. Spans to remove go back to their documents.
 
 Null and empty texts stay as they are.  Rows that repeat an id with an equal text are one document.
@@ -347,19 +348,29 @@ def _judged(contexts: DataFrame, length: int) -> DataFrame:
         F.expr("substring(right, 1, n_right)").alias("right"), "doc", "place",
     ).sortWithinPartitions("gram", "left", "right", "doc", "place")
 
+    most = POOL_BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # gram, left, right of the row before, and its document and place
         group: list[tuple] = []
+        held = number = 0  # bytes of the group, and its pools given out so far
         pool: list[list[tuple]] = []
         pooled = 0
+        column = None
 
-        def spans(found: list[tuple], column: pa.DataType) -> pa.RecordBatch:
-            doc, start, stop = zip(*found) if found else ((), (), ())
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*found) if found else [()] * 6
+            kinds = (column, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc, column), pa.array(start, pa.int64()), pa.array(stop, pa.int64())],
-                names=["doc", "start", "stop"])
+                [pa.array(values, kind) for values, kind in zip(columns, kinds)],
+                names=["doc", "start", "stop", "gram", "pool", "content"])
+
+        def spans(found: list[tuple]) -> list[tuple]:
+            return [(*span, None, None, None) for span in found]
+
+        def given(gram: int) -> list[tuple]:
+            return [(doc, start, None, gram, number, content) for content, doc, start in group]
 
-        column = None
         for batch in batches:
             column = batch.schema.field("doc").type
             out = []
@@ -368,35 +379,94 @@ def _judged(contexts: DataFrame, length: int) -> DataFrame:
                 if last is not None and gram == last[0]:
                     if left == last[1] and right == last[2]:
                         if (doc, place) != last[3:]:
-                            out.append((doc, place - len(left), place + len(right)))
+                            out.append((doc, place - len(left), place + len(right), None, None, None))
                         last = (gram, left, right, doc, place)
                         continue
                 else:
-                    if len(group) > 1:
+                    if number:
+                        out += given(last[0])
+                    elif len(group) > 1:
                         pool.append(group)
-                        pooled += sum(len(x[0]) for x in group)
-                    group = []
-                    if pooled > POOL_BYTES:
-                        out += repeats(pool, length)
+                        pooled += held
+                    group, held, number = [], 0, 0
+                    if pooled > most:
+                        out += spans(repeats(pool, length))
                         pool, pooled = [], 0
-                group.append((left[::-1] + right, doc, place - len(left), place))
+                group.append((left[::-1] + right, doc, place - len(left)))
+                held += len(left) + len(right)
                 last = (gram, left, right, doc, place)
-            yield spans(out, column)
-        if len(group) > 1:
+                if held > most:
+                    out += given(gram)
+                    group, held, number = [], 0, number + 1
+            yield batch_of(out)
+        if number:
+            yield batch_of(given(last[0]))
+        elif len(group) > 1:
             pool.append(group)
         if pool:
-            yield spans(repeats(pool, length), column)
+            yield batch_of(spans(repeats(pool, length)))
+
+    judged = cut_lineage(rows.mapInArrow(
+        run, f"doc {kind}, start bigint, stop bigint, gram bigint, pool bigint, content binary"))
+    found = judged.where("gram is null").select("doc", "start", "stop")
+    crowded = judged.where("gram is not null")
+    return found if crowded.isEmpty() else found.union(_between_pools(crowded, length))
+
 
-    return rows.mapInArrow(run, f"doc {kind}, start bigint, stop bigint")
+def _between_pools(crowded: DataFrame, length: int) -> DataFrame:
+    """(doc, start, stop): spans to remove of the contexts of grams that fill several pools.
+
+    Each pool has its own suffix array and gives the earliest start of each of its strings, by the
+    string's hash; of these, all but the earliest of all pools go too.
+    """
+    kind = dict(crowded.dtypes)["doc"]
+
+    def run(table: pa.Table) -> pa.Table:
+        column = table.schema.field("doc").type
+        contexts = list(zip(*(table.column(c).to_pylist() for c in ("content", "doc", "start"))))
+        owner, start, again, hashes = _strings(contexts, length)
+        spans = _joined(contexts, owner[again], start[again], length)
+        doc, begin, stop = zip(*spans) if spans else ((), (), ())
+        first = ~again
+        docs = table.column("doc").combine_chunks()
+        nulls = pa.nulls(len(spans), pa.int64())
+        n = int(first.sum())
+        gram = pa.array(np.full(n, table.column("gram")[0].as_py()), pa.int64())
+        return pa.concat_tables([
+            pa.table([pa.array(doc, column), pa.array(begin, pa.int64()), pa.array(stop, pa.int64()),
+                      nulls, nulls, nulls], names=names),
+            pa.table([docs.take(pa.array(owner[first])), pa.array(start[first]), pa.nulls(n, pa.int64()),
+                      gram, *(pa.array(h[first].view(np.int64)) for h in hashes)], names=names)])
+
+    names = ["doc", "start", "stop", "gram", "string_a", "string_b"]
+    judged = cut_lineage(crowded.select("gram", "pool", "doc", "start", "content").groupBy("gram", "pool").applyInArrow(
+        run, f"doc {kind}, start bigint, stop bigint, gram bigint, string_a bigint, string_b bigint"))
+    string = ["gram", "string_a", "string_b"]
+    firsts = judged.where("gram is not null")
+    earliest = firsts.groupBy(*string).agg(
+        F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("pools")).where("pools > 1")
+    later = firsts.join(earliest, string).where(F.struct("doc", "start") != F.col("least"))
+    return judged.where("gram is null").select("doc", "start", "stop").union(
+        later.select("doc", "start", (F.col("start") + length).alias("stop")))
 
 
 def repeats(groups: list[list[tuple]], length: int) -> list[tuple]:
     """Spans (document, start, stop) of strings that also start earlier in their group.
 
-    Contexts are (bytes, document, start in it, ...).  One suffix array over all of them, each
-    ended by a symbol below every byte, puts equal strings next to each other.
+    Contexts are (bytes, document, start in it).
     """
     contexts = [c for group in groups for c in group]
+    owner, start, again, _ = _strings(contexts, length)
+    return _joined(contexts, owner[again], start[again], length)
+
+
+def _strings(contexts: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Per string: its context, its start in the document, whether it starts earlier in another
+    place, and two hashes of its bytes.
+
+    One suffix array over all contexts, each ended by a symbol below every byte, puts equal strings
+    next to each other.
+    """
     size = np.array([len(c[0]) for c in contexts])
     at = np.cumsum(size + 1) - size - 1
     text = np.zeros(int((size + 1).sum()) + length, np.int64)
@@ -416,15 +486,25 @@ def repeats(groups: list[list[tuple]], length: int) -> list[tuple]:
         new[here] = (strings[order[here]] != strings[order[prior]]).any(axis=1)
     run = np.cumsum(new) - 1
     # Earliest of each run, by document and place in it.
-    ranked = sorted(range(len(contexts)), key=lambda k: contexts[k][1:3])
-    rank = np.empty(len(contexts), np.int64)
-    rank[ranked] = np.arange(len(contexts))
+    ranked = {doc: k for k, doc in enumerate(sorted({c[1] for c in contexts}))}
+    rank = np.array([ranked[c[1]] for c in contexts])
     start = np.array([c[2] for c in contexts])[owner] + offset
     earliest = np.lexsort((start, rank[owner], run))
     again = np.ones(len(order), bool)
     again[earliest[np.flatnonzero(_first(run[earliest]))]] = False
-    # Strings of one context that follow one another are one span.
-    own, begin = owner[again], start[again]
+    values, powers = _tables()
+    code = np.append(np.uint64(0), values)[text]
+    windows = np.lib.stride_tricks.sliding_window_view(code, length)
+    hashes = [np.zeros(len(order), np.uint64) for _ in powers]
+    for k in range(0, len(order), 4096):
+        here = windows[order[k:k + 4096]]
+        for out, (power, _) in zip(hashes, powers):
+            out[k:k + 4096] = _mixed((here * power[:length]).sum(axis=1, dtype=np.uint64))
+    return owner, start, again, hashes
+
+
+def _joined(contexts: list[tuple], own: np.ndarray, begin: np.ndarray, length: int) -> list[tuple]:
+    """Spans (document, start, stop); strings of one context that follow one another are one span."""
     by_place = np.lexsort((begin, own))
     own, begin = own[by_place], begin[by_place]
     joint = np.zeros(len(own), bool)

@@ -419,6 +419,44 @@ def test_passages_in_segments_and_pools(spark, monkeypatch):
     assert sorted(seen) == [k for a, b in zip(edges, edges[1:]) for k in range(a, b - 99)]
 
 
+def crowded_rows():
+    """A passage with many different texts after it, so that one gram has many contexts."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(40)]
+    passage = "".join(rng.choice("abcdé ") for _ in range(130))
+    return [(k, f"{k} {passage}" + " ".join(rng.choice(words) for _ in range(25))) for k in range(400)]
+
+
+def test_passages_of_a_crowded_gram(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "POOL_BYTES", 3000)
+    rows = crowded_rows()
+    pooled = []
+    between = suffix_dedup._between_pools
+    monkeypatch.setattr(suffix_dedup, "_between_pools",
+                        lambda crowded, length: pooled.append(crowded) or between(crowded, length))
+    assert passages_of(suffix_dedup.remove_repeats(frame(spark, rows))) == passages_by_hand(rows)
+    assert pooled[0].groupBy("gram", "pool").agg(F.sum(F.length("content")).alias("n")).where("n > 3200").isEmpty()
+
+
+def test_suffix_arrays_are_bounded(spark, monkeypatch):
+    """The function that judges contexts, run here on one gram with many of them."""
+    monkeypatch.setattr(suffix_dedup, "POOL_BYTES", 3000)
+    rng = random.Random(10)
+    side = lambda shared, n: shared + bytes(rng.choices(b"ab", k=n))
+    rows = sorted((7, side(b"x" * 40, 10), side(b"y" * 80, 20), k, 50) for k in range(200))
+    contexts = spark.createDataFrame(rows, "gram long, left binary, right binary, doc long, place long")
+    made, kept = type(contexts).mapInArrow, []
+    monkeypatch.setattr(type(contexts), "mapInArrow",
+                        lambda self, f, *rest, **more: kept.append(f) or made(self, f, *rest, **more))
+    suffix_dedup._judged(contexts, 100)
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: sizes.append(len(text)) or suffix_array(text))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c) for c in zip(*rows)], names=["gram", "left", "right", "doc", "place"])
+    assert sum(b.num_rows for b in kept[2](iter([batch])))
+    assert all(n < 2 * 3200 for n in sizes)
+
+
 def test_passages_of_repeated_and_missing_ids(spark):
     long = "a long passage of words that is surely more than one hundred bytes in length, " * 2
     rows = [(1, long), (1, long), (2, long), (2, "other " + long), (None, long), (5, long)]
