@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitsliced, bpe, chat, langid, line_dedup, minhash_forest, packing, pq, sharding, suffix_dedup
+from . import (bitsliced, bpe, centroids, chat, langid, licenses, line_dedup, minhash_forest, packing, pq,
+               sharding, suffix_dedup, whitening)
 from .common import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,3 +253,129 @@ ORACLES["op5_suffix_array_dedup"] = """
     SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
            sha256(unhex(kept)) AS kept_sha256
     FROM texts JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """The rounds written out one after the other."""
+    steps = [f"""kept AS (
+        SELECT row_number() OVER () AS line, vec_id,
+               list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings
+        WHERE len(embedding) = 64 AND list_count(embedding) = 64
+          AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+    ), long AS (
+        SELECT line, unnest(range(64)) AS d, unnest(v) AS x FROM kept
+    ), first AS (
+        SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS cluster, v
+        FROM kept WHERE vec_id IS NOT NULL
+    ), c0 AS (
+        SELECT cluster, unnest(range(64)) AS d, unnest(v) AS x FROM first WHERE cluster < {k}
+    )"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+        SELECT line, min({{'distance': distance, 'cluster': cluster}}) AS best FROM (
+            SELECT line, cluster, sum((l.x - c.x) * (l.x - c.x))::BIGINT AS distance
+            FROM long l JOIN c{r} c USING (d) GROUP BY line, cluster) GROUP BY line)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+        SELECT c.cluster, c.d, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+            SELECT a.best.cluster AS cluster, d,
+                   ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+            FROM long JOIN a{r} a USING (line) GROUP BY a.best.cluster, d) m USING (cluster, d))""")
+    return f"""
+    WITH {", ".join(steps)}, digests AS (
+        SELECT cluster, sha256(string_agg(x, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster
+    )
+    SELECT vec_id, best.cluster::INTEGER AS cluster, best.distance AS distance,
+           sum(best.distance) OVER (PARTITION BY best.cluster)::BIGINT AS cluster_inertia,
+           sum(best.distance) OVER ()::BIGINT AS inertia, centroid_sha256
+    FROM kept JOIN a{rounds} USING (line) JOIN digests ON digests.cluster = best.cluster"""
+
+
+ORACLES["op11_centroid_clustering"] = _clustering_sql()
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, components=32)
+    errors = whitening.identity_errors(vectors, model)
+    # One number over all widths; a table has one width as a rule.
+    error = F.lit(max(errors.values(), default=0.0))
+    return whitening.transform(vectors, model).drop("width").withColumn("identity_error", error)
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(_table(spark, sf_dir, "documents"))
+    starts = F.flatten(F.transform("base", lambda b: b["starts"]))
+    base = F.transform(F.filter("base", lambda b: F.size(b["starts"]) > 0), lambda b: b["label"])
+    found = F.transform("finds", lambda f: f["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return rows.select(
+        "doc_id", "n_words", F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"), joined(base).alias("base_labels"),
+        joined(F.concat(base, found)).alias("labels"),
+        F.coalesce(F.array_max(F.transform("finds", lambda f: f["score"])),
+                   F.when(F.size(starts) > 0, 0.5).otherwise(0.0)).alias("score"))
+
+
+def _licence_sql() -> str:
+    """The index as a table of values; each step as a join."""
+    listed = lambda rows: ", ".join(str(r) for r in rows)
+    words = licenses.vocabulary()
+    notices = [(n, label, len(phrase.split()), phrase, licenses._anchor(n))
+               for n, (label, phrase, _) in enumerate(licenses.NOTICES)]
+    return f"""
+    WITH words AS (
+        SELECT row_number() OVER () AS line, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    ), placed AS (
+        SELECT line, unnest(range(len(w))) AS p, unnest(w) AS word,
+               unnest(list_concat(w[2:], [''])) AS word2, unnest(list_concat(w[3:], ['', ''])) AS word3 FROM words
+    ), licence(n, word) AS (VALUES {listed(enumerate(words))}),
+    posting(n, notice, place) AS (VALUES {listed(licenses.index())}),
+    notice(notice, label, size, phrase, anchor) AS (VALUES {listed(notices)}),
+    base(phrase, label) AS (VALUES {listed(licenses.BASE.items())}),
+    hits AS (SELECT line, n, p FROM placed JOIN licence USING (word)),
+    spoken AS (
+        SELECT line, p, word || ' ' || word2 AS phrase FROM placed
+        UNION ALL SELECT line, p, word || ' ' || word2 || ' ' || word3 FROM placed
+    ), plain AS (SELECT line, p, label FROM spoken JOIN base USING (phrase)),
+    weight AS (SELECT n, count(DISTINCT line) AS texts FROM hits GROUP BY n),
+    rare AS (
+        SELECT line, n FROM (SELECT DISTINCT line, n FROM hits WHERE n IN (SELECT n FROM posting))
+        JOIN weight USING (n)
+        QUALIFY row_number() OVER (PARTITION BY line ORDER BY texts, n) <= {licenses.LOOKED_UP}
+    ), asked AS (
+        SELECT line, notice, count(DISTINCT n) AS asked FROM rare JOIN posting USING (n) GROUP BY line, notice
+    ), agreed AS (
+        SELECT line, notice, p - place AS start, count(DISTINCT n) AS agreeing
+        FROM hits JOIN rare USING (line, n) JOIN posting USING (n) GROUP BY line, notice, p - place
+    ), finds AS (
+        SELECT line, label, agreeing / asked AS score
+        FROM agreed JOIN asked USING (line, notice) JOIN notice USING (notice)
+        WHERE agreeing >= {licenses.LEAST_AGREE} AND 2 * agreeing >= asked AND EXISTS (
+            SELECT 1 FROM spoken s WHERE s.line = agreed.line AND s.phrase = notice.phrase
+            AND abs(s.p - start - anchor) <= {licenses.SLACK})
+    ), plainly AS (
+        SELECT line, count(*) AS n_base, min(p)::BIGINT AS first_word, max(p)::BIGINT AS last_word,
+               string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM plain GROUP BY line
+    ), named AS (
+        SELECT line, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+        FROM (SELECT line, label FROM plain UNION SELECT line, label FROM finds) GROUP BY line
+    ), best AS (SELECT line, max(score) AS score FROM finds GROUP BY line)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+           coalesce(score, CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+    FROM words LEFT JOIN plainly USING (line) LEFT JOIN named USING (line) LEFT JOIN best USING (line)"""
+
+
+ORACLES["op12_license_scan"] = _licence_sql()
