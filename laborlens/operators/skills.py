@@ -95,11 +95,12 @@ class SkillDictionary:
         """From an ontology table, such as ``readers.ontology_json(spark, path, "skills")``.
 
         The dictionary becomes literals of the plan, so the table is read on the driver; one of
-        more than ``most`` skills is an error.
+        more than ``most`` skills is an error.  ``phrases.evidence_by_join`` takes any number.
         """
         rows = ontology.orderBy("seed_order").limit(most + 1).collect()
         if len(rows) > most:
-            raise ValueError(f"an ontology of more than {most} skills does not fit into a plan")
+            raise ValueError(f"an ontology of more than {most} skills does not fit into a plan;"
+                             " phrases.evidence_by_join takes it as a table")
         return cls.build(
             tuple(
                 Skill(r["skill_id"], r["canonical_skill_name"], tuple(r["aliases"] or ()),

@@ -157,23 +157,57 @@ ORACLES["skill_evidence"] = text(
 _DOC_PHRASES = values("phrases", "phrase, skill_id, skill_name, canonical", [
     (p, s.skill_id, s.skill_name, int(c))
     for p, (s, c) in SkillDictionary.build(DOC_SKILLS).text.items()])
+_CONTEXT = r"""trim(regexp_replace(substr(description, (greatest(pos - 40, 0) + 1)::BIGINT,
+  (pos + length(phrase) + 40 - greatest(pos - 40, 0))::BIGINT),
+  '[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) AS evidence_text"""
+# Words and every other character alone, with the characters before them.
+TOKENS = r"""tokens AS (SELECT posting_id, description, tok, i, (sum(length(tok)) OVER
+  (PARTITION BY posting_id ORDER BY i) - length(tok))::BIGINT AS pos FROM (SELECT posting_id,
+  description, unnest(list) AS tok, generate_subscripts(list, 1) AS i FROM (SELECT *,
+  regexp_extract_all(description, '(?s)[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]') AS list FROM texts)))"""
 DOC_EVIDENCE = [
     _DOC_PHRASES,
     *view_cte("texts"),
-    """words AS (SELECT posting_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM
-  (SELECT posting_id, string_split_regex(lower(description), '[^\\p{L}\\p{M}\\p{N}_]+') AS w
-   FROM texts))""",
-    """evidence AS (SELECT *, 1 AS n FROM (SELECT posting_id, p.*, row_number() OVER (PARTITION BY
-  posting_id, skill_id ORDER BY i) AS k FROM words JOIN phrases p ON p.phrase = word)
-  WHERE k = 1)""",
+    TOKENS,
+    """evidence AS (SELECT *, 1 AS n FROM (SELECT posting_id, description, pos, p.*, row_number()
+  OVER (PARTITION BY posting_id, skill_id ORDER BY i) AS k
+  FROM tokens JOIN phrases p ON p.phrase = lower(tok)) WHERE k = 1)""",
 ]
-ORACLES["skill_evidence_documents"] = text(DOC_EVIDENCE, """SELECT posting_id,
+_DOC_COLUMNS = f"""'JOB_DESCRIPTION' AS evidence_type, {_CONTEXT}, TRUE AS first_for_job,
+  1 AS field_count FROM evidence"""
+ORACLES["skill_evidence_documents"] = text(DOC_EVIDENCE, f"""SELECT posting_id,
   phrase AS source_skill_text, skill_id AS canonical_skill_id,
   skill_name AS canonical_skill_name,
   CASE WHEN canonical = 1 THEN 'DESCRIPTION_EXACT' ELSE 'DESCRIPTION_ALIAS' END
     AS extraction_method, CASE WHEN canonical = 1 THEN 'HIGH' ELSE 'MEDIUM' END
-    AS match_confidence, 'JOB_DESCRIPTION' AS evidence_type, TRUE AS first_for_job,
-  1 AS field_count FROM evidence""")
+    AS match_confidence, {_DOC_COLUMNS}""")
+ORACLES["skill_evidence_join"] = ORACLES["skill_evidence"]
+# A match is kept unless the pair two tokens before it is kept: every other one of a run of pairs.
+ORACLES["skill_evidence_passages"] = text([*view_cte("texts"), TOKENS, """bench AS (
+  SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)""", """names AS (
+  SELECT DISTINCT name FROM (
+    SELECT unnest(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) AS name
+    FROM bench WHERE len(w) > 1
+    UNION ALL SELECT name FROM (SELECT unnest(w) AS name FROM bench) WHERE length(name) >= 6))""",
+    """three AS (SELECT *, lower(tok) AS one, lower(tok) || lead(lower(tok), 1) OVER along ||
+  lead(lower(tok), 2) OVER along AS pair FROM tokens WINDOW along AS
+  (PARTITION BY posting_id ORDER BY i))""",
+    """pairs AS (SELECT posting_id, i, description, pos, pair AS phrase, TRUE AS two,
+  row_number() OVER (PARTITION BY posting_id, i % 2 ORDER BY i) AS k
+  FROM three WHERE pair IN (SELECT name FROM names))""",
+    """singles AS (SELECT posting_id, i, description, pos, one AS phrase, FALSE AS two FROM three t
+  WHERE one IN (SELECT name FROM names)
+  AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.posting_id = t.posting_id AND p.i = t.i))""",
+    """runs AS (SELECT *, row_number() OVER (PARTITION BY posting_id, i % 2, i - 2 * k ORDER BY i)
+  AS within FROM pairs)""",
+    """kept AS (SELECT posting_id, i, description, pos, phrase FROM runs WHERE within % 2 = 1
+  UNION ALL SELECT s.posting_id, s.i, s.description, s.pos, s.phrase FROM singles s LEFT JOIN runs r
+  ON r.posting_id = s.posting_id AND r.i = s.i - 2 WHERE coalesce(r.within % 2, 0) = 0)""",
+    """evidence AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY posting_id, phrase
+  ORDER BY i) = 1)"""], f"""SELECT posting_id, phrase AS source_skill_text,
+  upper(phrase) AS canonical_skill_id, array_to_string(list_transform(string_split(phrase, ' '),
+  lambda x: upper(x[1]) || x[2:]), ' ') AS canonical_skill_name,
+  'DESCRIPTION_EXACT' AS extraction_method, 'HIGH' AS match_confidence, {_DOC_COLUMNS}""")
 
 UNMATCHED = """unmatched AS (SELECT * FROM segs WHERE norm NOT IN
   (SELECT phrase FROM segment_phrases))"""

@@ -10,7 +10,7 @@ from ..functions import identity, parse, text as tx
 from ..functions.simhash import simhash64
 from ..operators import (
     collisions, coverage, dedup, demand, gap, geography, governance, ingest, occupation,
-    persist, profiling, scores, search, skills, validate, velocity,
+    persist, phrases, profiling, scores, search, skills, validate, velocity,
 )
 from ..operators.scope import disposition, observation_scope, sector_values
 from ..session import cut_lineage
@@ -114,9 +114,38 @@ def skill_evidence(spark, sf):
 def skill_evidence_documents(spark, sf):
     found = skills.extract_skills(
         view(spark, sf, "texts"), skills.SkillDictionary.build(DOC_SKILLS), title=None,
-        source_skills=None, snippets=False,
+        source_skills=None,
     )
-    return skills.evidence_rows(found).drop("evidence_text")
+    return skills.evidence_rows(found)
+
+
+@query
+def skill_evidence_join(spark, sf):
+    ontology = seeds.skills_df(spark).withColumnRenamed("skill_name", "canonical_skill_name")
+    spellings = spark.createDataFrame(
+        list(seeds.COMMON_EQUIVALENCES.items()), "observed string, target string")
+    return phrases.evidence_by_join(
+        view(spark, sf, "postings"), phrases.phrase_table(ontology, spellings))
+
+
+def _passage_ontology(spark, sf):
+    """Every long word and every pair of neighbouring words of the benchmark as a skill."""
+    words = table(spark, sf, "benchmark").select(
+        F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    pairs = words.select(F.explode(F.expr(
+        "transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat_ws(' ', get(w, i - 1), get(w, i)))"
+    )).alias("name")).where("name LIKE '% %'")
+    singles = words.select(F.explode("w").alias("name")).where("length(name) >= 6")
+    return pairs.union(singles).distinct().select(
+        F.lit(0).alias("seed_order"), F.upper("name").alias("skill_id"),
+        F.initcap("name").alias("canonical_skill_name"), F.array().cast("array<string>").alias("aliases"))
+
+
+@query
+def skill_evidence_passages(spark, sf):
+    return phrases.evidence_by_join(
+        view(spark, sf, "texts"), phrases.phrase_table(_passage_ontology(spark, sf)), title=None,
+        source_skills=None)
 
 
 @query
