@@ -9,7 +9,7 @@ so the result does not depend on how rows are dealt.
 
 Vectors of another width than the one asked for, null ones and those with null or non-finite
 components are left out.  Repeated rows count as often as they are there; a null id is clustered
-but never a first centroid.  With fewer vectors than centroids there are fewer centroids; an empty
+but never a first centroid, so without any id there are no rows.  With fewer vectors than centroids there are fewer centroids; an empty
 table gives no rows.  Other columns are not read.
 """
 
@@ -43,8 +43,6 @@ def blocks(vectors: DataFrame, width: int, scale: int, key: str, vector: str) ->
     `values` are the occurring integers, dimension after dimension, `counts` how many each has, and
     `places` the rank of every vector's value, all vectors of a dimension next to each other.
     """
-    if not 0 < width <= MOST_WIDTH:
-        raise ValueError(f"{width} components: between 1 and {MOST_WIDTH} are possible")
     kind = dict(vectors.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +136,8 @@ def first_centroids(vectors: DataFrame, k: int, seed: int, width: int, scale: in
 def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, seed: int = 3, width: int = 64,
             scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Per usable row: key, cluster, distance (squared), cluster_inertia, inertia, centroid_sha256."""
+    if not 0 < width <= MOST_WIDTH:
+        raise ValueError(f"{width} components: between 1 and {MOST_WIDTH} are possible")
     kind = dict(vectors.dtypes)[key]
     spark = vectors.sparkSession
     result = (f"key {kind}, cluster int, distance bigint, cluster_inertia bigint, inertia bigint,"
