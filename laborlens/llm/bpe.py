@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -311,21 +312,21 @@ def _merge_rows(byte_id, raw, at, size, width, pairs) -> tuple[np.ndarray, np.nd
 
 
 class SliceCache:
-    """Ids of the slices met so far, as one flat array; emptied when it holds too many.
+    """Ids of the slices met so far, as one flat array.
 
-    `ids_of` gives the ids of new slices, all one after the other, and how many each has.
+    `ids_of` gives the ids of new slices, all one after the other, and how many each has.  When
+    there are more than `most`, those met more than once since the last time stay, the most
+    frequent first and at most half as many; the others go.
     """
 
     def __init__(self, ids_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
                  most: int = MOST_CACHED):
         self.ids_of, self.most = ids_of, most
-        self._clear()
-
-    def _clear(self) -> None:
         self.row: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 12, np.int32)
         self.at = np.zeros(1 << 10, np.int64)
         self.size = np.zeros(1 << 10, np.int64)
+        self.met = np.zeros(1 << 10, np.int32)
         self.used = 0
 
     @staticmethod
@@ -335,9 +336,22 @@ class SliceCache:
         array[at:at + len(values)] = values
         return array
 
+    def _shrink(self) -> None:
+        met = self.met[:len(self.row)]
+        kept = np.flatnonzero(met > 1)
+        if len(kept) > self.most // 2:
+            kept = np.sort(kept[np.argsort(-met[kept], kind="stable")[:self.most // 2]])
+        slices = list(self.row)  # in the order of their rows
+        self.row = {slices[old]: new for new, old in enumerate(kept.tolist())}
+        size = self.size[kept]
+        self.flat = self.flat[gather(self.at[kept], size)]
+        self.at, self.size = np.cumsum(size) - size, size
+        self.met = np.zeros(len(kept), np.int32)
+        self.used = len(self.flat)
+
     def rows(self, pieces: list[bytes]) -> np.ndarray:
         if len(self.row) + len(pieces) > self.most:
-            self._clear()
+            self._shrink()
         new = [p for p in pieces if p not in self.row]
         if new:
             ids, counts = self.ids_of(new)
@@ -345,9 +359,12 @@ class SliceCache:
             self.row.update(zip(new, range(k, k + len(new))))
             self.at = self._put(self.at, k, self.used + np.cumsum(counts) - counts)
             self.size = self._put(self.size, k, counts)
+            self.met = self._put(self.met, k, np.zeros(len(new), np.int32))
             self.flat = self._put(self.flat, self.used, ids)
             self.used += len(ids)
-        return np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))
+        found = np.fromiter(map(self.row.__getitem__, pieces), np.int64, len(pieces))
+        self.met[found] += 1  # pieces are distinct
+        return found
 
 
 def _listed(column: pa.BinaryArray) -> list[bytes]:
@@ -356,19 +373,37 @@ def _listed(column: pa.BinaryArray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def encode_chunk(data: np.ndarray, offsets: np.ndarray, cache: SliceCache) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts one after the other, number of ids before each text and in all)."""
+def _occurrences(raw: bytes, offsets: np.ndarray, whole: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the matches that lie within one text."""
+    spans = np.array([m.span() for m in whole.finditer(raw)], np.int64).reshape(-1, 2)
+    inside = np.searchsorted(offsets, spans[:, 0], "right") == np.searchsorted(offsets, spans[:, 1], "left")
+    return spans[inside, 0], spans[inside, 1]
+
+
+def encode_chunk(data: np.ndarray, offsets: np.ndarray, cache: SliceCache,
+                 whole: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after the other, number of ids before each text and in all).
+
+    Matches of `whole` are slices of their own, and what stands around them is cut as texts are.
+    """
     raw = data.tobytes()
     points = codepoints(raw)
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    if whole is not None:
+        first, end = _occurrences(raw, offsets, whole)
+        begins = np.unique(np.concatenate([begins, first, end]))
+        begins = begins[begins < len(raw)]
     if len(points) == len(raw):
-        edges = offsets
+        starts = begins
     else:
         place = np.concatenate([[0], np.cumsum(widths(points))])
-        edges = np.searchsorted(place, offsets)
-    starts = edges[:-1][np.diff(offsets) > 0]
+        starts = np.searchsorted(place, begins)
     cut = boundaries(points, starts)
     if len(points) != len(raw):
         cut = place[cut]
+    if whole is not None and len(first):
+        near = np.maximum(np.searchsorted(first, cut, "right") - 1, 0)
+        cut = cut[(cut <= first[near]) | (cut >= end[near])]
     if not len(cut):
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
     bounds = np.append(cut, len(raw)).astype(np.int32)

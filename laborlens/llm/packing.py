@@ -1,7 +1,8 @@
 """Best-two-fit packing of tokenised documents into sequences of a fixed length.
 
-Tokens come from a `tokenizers` file, by way of the slice splitter of `bpe`: each new slice is
-encoded by the tokenizer once.  Documents longer than a sequence are cut into full pieces, of which
+Tokens are those of a byte-level `tokenizers` file: added tokens are cut out of a text first, as the
+library does, the rest goes to the slice splitter of `bpe`, and each new slice is merged once.
+Documents longer than a sequence are cut into full pieces, of which
 the first may be shorter.  Only the number of pieces of each length, at most one number per
 length, is needed to decide how sequences are filled: take the longest piece left, fill greedily
 with the longest that still fits, then replace the sequence's smallest piece by the two unpacked
@@ -14,7 +15,9 @@ Null and empty texts are a document of the end token alone.  Repeated rows are p
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,27 +27,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .batches import chunks, text_buffer
-from .bpe import MOST_VOCABULARY_BYTES, SLICED_BYTES, SliceCache, encode_chunk
+from .bpe import (
+    MOST_VOCABULARY_BYTES, SLICED_BYTES, PairTable, SliceCache, encode_chunk, merge_together,
+)
 from .common import cut_lineage, gapless_rank
 
 
-@lru_cache(maxsize=2)
-def _slices(content: str) -> SliceCache:
-    """Slices to ids, by the tokenizer; one per worker process."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def _alphabet() -> dict[str, int]:
+    """The letters that a byte-level tokenizer file writes bytes with: printable Latin-1 characters
+    stand for themselves, the other bytes for the code points from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)) - set(shown))
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
 
-    tokenizer = Tokenizer.from_str(content)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+def read_tokenizer(content: str) -> tuple[dict[bytes, int], dict[bytes, int]]:
+    """(ids of the tokens, ids of the added tokens) of a byte-level BPE `tokenizers` file.
 
-    def ids_of(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new],
-                                            add_special_tokens=False)
-        ids = [x.ids for x in found]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())), counts
+    Merging by id is merging in the file's order only if ids rise with the merges, which is checked.
+    """
+    told = json.loads(content)
+    model, letters = told["model"], _alphabet()
+    if model["type"] != "BPE" or told["pre_tokenizer"]["type"] != "ByteLevel" or told["normalizer"]:
+        raise ValueError("only byte-level BPE without normalisation is read")
+    ids = {bytes(letters[c] for c in token): k for token, k in model["vocab"].items()}
+    made = [model["vocab"]["".join(pair if isinstance(pair, list) else pair.split(" "))]
+            for pair in model["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:])):
+        raise ValueError("the ids of the tokens are not in the order of the merges")
+    return ids, {t["content"].encode(): t["id"] for t in told["added_tokens"]}
 
-    return SliceCache(ids_of)
+
+@lru_cache(maxsize=2)
+def _slices(content: str) -> tuple[SliceCache, re.Pattern | None]:
+    """Slices to ids, and the added tokens that are cut out first; one per worker process."""
+    ranks, added = read_tokenizer(content)
+    pairs = PairTable(ranks)
+    known = ranks | added
+    whole = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
+    return SliceCache(lambda new: merge_together(new, known, pairs)), whole
 
 
 def pieces(docs: DataFrame, path: str, length: int = 2048, end_token: int = 0,
@@ -57,10 +78,10 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, end_token: int = 0,
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _slices(content.value)
+        cache, whole = _slices(content.value)
         for batch in batches:
             for part in chunks(batch, "text", SLICED_BYTES):
-                ids, before = encode_chunk(*text_buffer(part.column("text")), cache)
+                ids, before = encode_chunk(*text_buffer(part.column("text")), cache, whole)
                 n = np.diff(before) + 1
                 full = np.full(before[-1] + len(n), end_token, np.dtype("<u4"))
                 ends = np.cumsum(n)

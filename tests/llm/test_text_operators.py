@@ -197,9 +197,9 @@ def test_language_by_hand(spark):
 def test_packing(spark, documents):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
-    rows += [(900, None), (901, ""), (902, "word " * 7000), (3, dict(rows)[3]), (903, "a <|endoftext|> b")]
+    rows += [(900, None), (901, ""), (902, "word " * 7000), (3, dict(rows)[3]), (903, "a <|endoftext|> b"),
+             (904, "<|endoftext|><|endoftext|>é <|endoftext|x|>  <|endoftext|>\n"), (905, "<|endo"), (906, "ftext|>")]
     docs = frame(spark, rows, ("rank", "sequence", "place", "length"))
     got = packing.sequences(docs, TOKENIZER).toPandas()
     wanted = sorted([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for _, t in rows)
@@ -220,6 +220,71 @@ def test_packing(spark, documents):
     assert packing.sequences(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_slices_like_the_tokenizer():
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    with open(TOKENIZER, encoding="utf-8") as file:
+        content = file.read()
+    ids, _ = packing.read_tokenizer(content)
+    cache, whole = packing._slices(content)
+    rng = random.Random(8)
+    tokens = [t.decode("utf-8", "ignore") for t in ids]
+    texts = tokens + ["".join(rng.choices(tokens, k=rng.randrange(1, 8))) for _ in range(4000)]
+    texts += ["".join(rng.choices("abcdeißñ  '12.\n中🙂", k=rng.randrange(400))) for _ in range(500)]
+    found, before = bpe.encode_chunk(*text_buffer(pa.array(texts, pa.string())), cache, whole)
+    wanted = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(found, before[1:-1])] == wanted
+
+
+def test_frequent_slices_survive():
+    asked = []
+
+    def ids_of(new):
+        asked.extend(new)
+        return np.array([len(p) for p in new], np.int32), np.ones(len(new), np.int64)
+
+    cache = bpe.SliceCache(ids_of, most=10)
+    for k in range(50):
+        rows = cache.rows([b"often", b"x" * (k + 6), b"too"])
+        assert cache.flat[cache.at[rows]].tolist() == [5, k + 6, 3]
+        assert len(cache.row) <= 10
+    assert asked.count(b"often") == asked.count(b"too") == 1 and len(asked) == 52
+
+
+def plain_best_two_fit(sizes, capacity):
+    """One sequence at a time, on a list of pieces."""
+    left, out = sorted(sizes, reverse=True), []
+    while left:
+        held, gap = [], capacity
+        while (fit := next((x for x in left if x <= gap), None)) is not None:
+            left.remove(fit)
+            held.append(fit)
+            gap -= fit
+        if gap and len(held) > 1:
+            room = gap + held[-1]
+            pairs = [(a + b, -a, a, b) for k, a in enumerate(sorted(left)) for b in sorted(left)[:k]
+                     if a + b <= room]
+            best = max(pairs, default=(0, 0, 0, 0))
+            if best[0] > held[-1]:
+                left.append(held.pop())
+                left.remove(best[2])
+                left.remove(best[3])
+                left.sort(reverse=True)
+                held += best[2:]
+        out.append(sorted(held))
+    return sorted(out)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=25))
+def test_fillings_like_best_two_fit_on_a_list(sizes):
+    from collections import Counter
+    made = [sorted(lengths) for lengths, times in packing.fillings(Counter(sizes), 30) for _ in range(times)]
+    plain = plain_best_two_fit(sizes, 30)
+    assert sorted(x for held in made for x in held) == sorted(sizes)
+    assert len(made) <= len(plain) + 1  # equally good pairs may be chosen differently
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 9), max_size=12))
 def test_fillings_use_every_piece(counts):
