@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import collapse, sql_text, word_tokens
+from ..session import cut_lineage
 from ..sources.seeds import OCCUPATIONS, TOKEN_RULES, Occupation, TokenRule
 
 _NORM = "_title_norm"
@@ -98,10 +99,13 @@ def _raw_tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)))
 
 
-def _scope(reference: DataFrame, occupations: DataFrame) -> DataFrame:
-    """(occupation, reference entry) pairs that share at least one token."""
-    occupation_tokens = occupations.select(
-        "occupation_id",
+COMMON_TOKENS = 256  # the most frequent reference tokens, which a prefix takes last
+PREFIX_SHARE = MIN_CONFIDENCE  # one of both similarities is at least the bound of their mean
+
+
+def _tokens_of_occupations(occupations: DataFrame) -> DataFrame:
+    return occupations.select(
+        F.col("occupation_id").alias("scope_id"),
         F.explode(
             _raw_tokens(
                 F.concat_ws(
@@ -111,17 +115,85 @@ def _scope(reference: DataFrame, occupations: DataFrame) -> DataFrame:
             )
         ).alias("token"),
     )
-    entry_tokens = reference.select(
+
+
+def _entries(reference: DataFrame, occupations: DataFrame) -> DataFrame:
+    """(entry_order, rt, rg, scope): the first entry of each pair of token sets, and the
+    occupations that share a token with it."""
+    sets = reference.select(
         "entry_order",
-        F.explode(
-            F.array_distinct(
-                word_tokens(F.concat_ws(" ", "occupation_title", "group_name"))
-            )
-        ).alias("token"),
-    )
-    return occupation_tokens.join(entry_tokens, "token").select(
-        F.col("occupation_id").alias("canonical_occupation_id"), "entry_order"
-    ).distinct()
+        F.array_sort(F.array_distinct(word_tokens(F.col("occupation_title")))).alias("rt"),
+        F.array_sort(F.array_distinct(word_tokens(F.col("group_name")))).alias("rg"),
+    ).groupBy("rt", "rg").agg(F.min("entry_order").alias("entry_order"))
+    tokens = _tokens_of_occupations(occupations).groupBy("token").agg(
+        F.collect_set("scope_id").alias("ids"))
+    shared = (sets.select("entry_order", F.explode(F.array_union("rt", "rg")).alias("token"))
+              .join(tokens, "token").groupBy("entry_order")
+              .agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("scope")))
+    return sets.join(shared, "entry_order", "left").select(
+        "entry_order", "rt", "rg", F.coalesce("scope", F.array().cast("array<string>")).alias("scope"))
+
+
+def _rarest_first(tokens: Column, common: list[str]) -> Column:
+    """Tokens in one order for both sides: those that are not among the most frequent ones of the
+    reference first, then those from the rarer to the more frequent."""
+    ranked = F.transform(tokens, lambda t: F.struct(
+        F.array_position(F.lit(common) if common else F.array().cast("array<string>"), t).alias("rank"),
+        t.alias("t")))
+    return F.transform(F.array_sort(ranked), lambda x: x["t"])
+
+
+def _prefix(tokens: Column) -> Column:
+    """The tokens of which two sets of that similarity share one, if ordered alike."""
+    n = F.size(tokens)
+    return F.slice(tokens, 1, F.when(n > 0, n - F.ceil(n * F.lit(PREFIX_SHARE)).cast("int") + 1).otherwise(0))
+
+
+def _keys(title: Column, other: Column) -> Column:
+    """Join keys of the pairs at the bound: a title token of the prefix, or any title token with a
+    token of the other set's prefix; each with the place of the title token and what follows it."""
+    alone = F.transform(_prefix(title), lambda t, i: F.struct(
+        t.alias("token"), F.lit("").alias("with"), (F.size(title) - i).alias("left")))
+    together = F.flatten(F.transform(title, lambda t: F.transform(_prefix(other), lambda o: F.struct(
+        t.alias("token"), o.alias("with"), F.size(title).alias("left")))))
+    return F.concat(alone, together)
+
+
+def _every_key(title: Column, other: Column) -> Column:
+    """Join keys of all pairs that share any token."""
+    return F.concat(
+        F.transform(title, lambda t: F.struct(
+            t.alias("token"), F.lit("").alias("with"), F.size(title).alias("left"))),
+        F.transform(other, lambda o: F.struct(
+            F.lit("").alias("token"), o.alias("with"), F.size(title).alias("left"))))
+
+
+def _jaccard(shared: Column, a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(shared, a + b - shared), F.lit(0.0))
+
+
+def _best(queries: DataFrame, entries: DataFrame, keys, bounded: bool) -> DataFrame:
+    """(query, score, entry_order): the best entry of each query among those that share a key."""
+    asked = queries.select("query", "t", "s", "canonical_occupation_id", "has_scope",
+                           F.explode(keys(F.col("t"), F.col("s"))).alias("k")).select(
+        "query", "t", "s", "canonical_occupation_id", "has_scope", "k.token", "k.with",
+        F.col("k.left").alias("q_left"))
+    posted = entries.select("entry_order", "rt", "rg", "scope", F.explode(
+        keys(F.col("rt"), F.col("rg"))).alias("k")).select(
+        "entry_order", "rt", "rg", "scope", "k.token", "k.with", F.col("k.left").alias("e_left"))
+    pairs = asked.join(posted, ["token", "with"])
+    if bounded:
+        n, m = F.size("t"), F.size("rt")
+        # Length and position: what can still be shared from the token met on must reach the bound.
+        reach = F.least("q_left", "e_left") >= F.ceil((n + m) * F.lit(PREFIX_SHARE / (1 + PREFIX_SHARE)) - 1e-9)
+        pairs = pairs.where((F.col("with") != "") | reach)
+    allowed = pairs.where(~F.col("has_scope") | F.array_contains("scope", F.col("canonical_occupation_id")))
+    score = (
+        TITLE_WEIGHT * _jaccard(F.size(F.array_intersect("t", "rt")), F.size("t"), F.size("rt"))
+        + SKILLS_WEIGHT * _jaccard(F.size(F.array_intersect("s", "rg")), F.size("s"), F.size("rg")))
+    return (allowed.groupBy("query").agg(F.max(F.struct(
+                score.alias("score"), (-F.col("entry_order")).alias("o"))).alias("b"))
+            .select("query", F.col("b.score").alias("score"), (-F.col("b.o")).alias("entry_order")))
 
 
 def map_to_reference(
@@ -129,65 +201,33 @@ def map_to_reference(
 ) -> DataFrame:
     """Best reference entry per distinct (title, skills, canonical_occupation_id).
 
-    Only entries sharing a token can score above zero, so an inverted token index replaces the
-    title x entry product; counts of shared tokens give both Jaccard terms.  A canonical
-    occupation narrows the entries to those it shares a token with, if there are any.
-    ``reference`` needs ``entry_order`` (ties go to the earlier entry).
+    A set-similarity join: titles and entries become token sets, rarest tokens first, and meet on
+    prefixes that any pair at the confidence bound shares; length and position filters drop pairs
+    before they are scored.  Only queries without an entry at the bound are then joined on all
+    their tokens, for the exact low score that they report.  A canonical occupation narrows the
+    entries to those it shares a token with, if there are any.  ``reference`` needs
+    ``entry_order`` (ties go to the earlier entry).
     """
     keys = ["title", "skills", "canonical_occupation_id"]
-    asked = titles.select(*keys).distinct()
-    queries = asked.where(F.coalesce(F.col("title"), F.lit("")) != "").select(
+    entries = cut_lineage(_entries(reference, occupations))
+    common = [r[0] for r in entries.select(F.explode("rt").alias("token")).groupBy("token").count()
+              .orderBy(F.desc("count"), "token").limit(COMMON_TOKENS).collect()][::-1]
+    entries = entries.withColumn("rt", _rarest_first(F.col("rt"), common)).withColumn(
+        "rg", _rarest_first(F.col("rg"), common))
+    text = F.coalesce(F.col("title"), F.lit(""))
+    asked = cut_lineage(titles.select(*keys).distinct().select(
         *keys,
-        F.array_distinct(word_tokens(F.col("title"))).alias("t"),
-        F.array_distinct(word_tokens(F.col("skills"))).alias("s"),
-    )
-    entries = reference.select(
-        "entry_order",
-        F.array_distinct(word_tokens(F.col("occupation_title"))).alias("rt"),
-        F.array_distinct(word_tokens(F.col("group_name"))).alias("rg"),
-    )
-    q_sizes = [F.size("t").alias("nt"), F.size("s").alias("ns")]
-    e_sizes = [F.size("rt").alias("nrt"), F.size("rg").alias("nrg")]
-
-    def shared(query_side: str, entry_side: str, is_title: int) -> DataFrame:
-        left = queries.select(*keys, *q_sizes, F.explode(query_side).alias("token"))
-        right = entries.select("entry_order", *e_sizes, F.explode(entry_side).alias("token"))
-        return left.join(right, "token").drop("token").withColumn("title_hit", F.lit(is_title))
-
-    overlap = (
-        shared("t", "rt", 1).unionByName(shared("s", "rg", 0))
-        .groupBy(*keys, "entry_order")
-        .agg(
-            F.sum("title_hit").alias("it"), F.sum(1 - F.col("title_hit")).alias("is_"),
-            *[F.max(c).alias(c) for c in ("nt", "ns", "nrt", "nrg")],
-        )
-    )
-    scope = _scope(reference, occupations)
-    scoped_ids = scope.select("canonical_occupation_id").distinct().withColumn(
-        "has_scope", F.lit(True)
-    )
-    allowed = (
-        overlap.join(scoped_ids, "canonical_occupation_id", "left")
-        .join(
-            scope.withColumn("in_scope", F.lit(True)),
-            ["canonical_occupation_id", "entry_order"], "left",
-        )
-        .where(F.col("has_scope").isNull() | F.col("in_scope"))
-    )
-    score = (
-        TITLE_WEIGHT * (F.col("it") / (F.col("nt") + F.col("nrt") - F.col("it")))
-        + SKILLS_WEIGHT
-        * F.coalesce(F.try_divide("is_", F.col("ns") + F.col("nrg") - F.col("is_")), F.lit(0.0))
-    )
-    null_safe = [F.coalesce(F.col(k), F.lit("\x00")).alias(f"k_{k}") for k in keys]
-    best = (
-        allowed.groupBy(*null_safe)
-        .agg(F.max(F.struct(score.alias("score"), (-F.col("entry_order")).alias("o"))).alias("b"))
-        .select(
-            *[f"k_{k}" for k in keys], F.col("b.score").alias("score"),
-            (-F.col("b.o")).alias("entry_order"),
-        )
-    )
+        _rarest_first(F.array_distinct(word_tokens(text)), common).alias("t"),
+        _rarest_first(F.array_distinct(word_tokens(F.col("skills"))), common).alias("s"),
+    ).withColumn("query", F.when(text != "", F.md5(F.to_json(F.struct("t", "s", "canonical_occupation_id"))))))
+    scoped = entries.select(F.explode("scope").alias("canonical_occupation_id")).distinct().withColumn(
+        "scoped", F.lit(True))
+    queries = (asked.where("query is not null").dropDuplicates(["query"])
+               .join(scoped, "canonical_occupation_id", "left")
+               .withColumn("has_scope", F.coalesce("scoped", F.lit(False))))
+    near = cut_lineage(_best(queries, entries, _keys, bounded=True).where(F.col("score") >= MIN_CONFIDENCE))
+    rest = queries.join(near, "query", "left_anti")
+    best = near.unionByName(_best(rest, entries, _every_key, bounded=False))
     known = occupations.select(
         F.col("occupation_id").alias("canonical_occupation_id"),
         F.col("occupation_name"), F.col("source_reference").alias("occupation_reference"),
@@ -201,8 +241,8 @@ def map_to_reference(
 
     no_title = F.coalesce(F.col("title"), F.lit("")) == ""
     return (
-        asked.select(*keys, *null_safe)
-        .join(best, [f"k_{k}" for k in keys], "left")
+        asked.select(*keys, "query")
+        .join(best, "query", "left")
         .join(reference, "entry_order", "left")
         .join(known, "canonical_occupation_id", "left")
         .crossJoin(F.broadcast(seeded))  # one row by construction
