@@ -10,7 +10,8 @@ from ..functions import identity, parse, text as tx
 from ..functions.simhash import simhash64
 from ..operators import (
     collisions, coverage, dedup, demand, gap, geography, governance, ingest, occupation,
-    persist, phrases, profiling, scores, search, skills, validate, velocity,
+    persist, phrases, profiling, scores, search, skills, tagged, validate,
+    velocity,
 )
 from ..operators.scope import disposition, observation_scope, sector_values
 from ..session import cut_lineage
@@ -995,37 +996,38 @@ def _two_runs(spark, sf):
     return before, after, view(spark, sf, "postings")
 
 
-@query
-def coverage_compare(spark, sf):
+def _tagged(spark, sf):
     before, after, postings = _two_runs(spark, sf)
+    runs = {"before": before, "after": after}
+    return runs, tagged.tagged_counts(postings, runs)
 
-    def summary(d):
-        return skills.skill_summary(
-            skills.extract_skills(postings, d, snippets=False), d
-        )
 
-    return coverage.compare_skills(summary(before), summary(after))
+@query
+def coverage_compare(spark, sf):
+    runs, counts = _tagged(spark, sf)
+    return coverage.compare_skills(*[tagged.summary(counts, n, d) for n, d in runs.items()])
 
 
 @query
 def coverage_metrics(spark, sf):
-    before, after, postings = _two_runs(spark, sf)
-
-    def run(d):
-        found = skills.extract_skills(postings, d, snippets=False)
-        return skills.skill_summary(found, d), skills.corpus_metrics(postings, d)
-
-    (b_sum, b_corpus), (a_sum, a_corpus) = run(before), run(after)
-    return coverage.coverage_metrics(b_sum, a_sum, b_corpus, a_corpus)
+    runs, counts = _tagged(spark, sf)
+    return coverage.coverage_metrics(
+        *[tagged.summary(counts, n, d) for n, d in runs.items()],
+        *[tagged.totals(counts, n) for n in runs])
 
 
 @query
 def coverage_absorbed(spark, sf):
     before, after, postings = _two_runs(spark, sf)
-    phrases = spark.createDataFrame([(p,) for p in after.text], "phrase string")
+    known = {n: spark.createDataFrame([(p,) for p in d.text], "candidate_skill string")
+             for n, d in (("before", before), ("after", after))}
+    # What a dictionary knows is left out of its candidates and changes nothing about the others,
+    # so one discovery without a dictionary serves both.
+    every = cut_lineage(skills.discover_candidates(
+        postings, skills.SkillDictionary.build(()), top_n=None).select("candidate_skill"))
     return coverage.absorbed_candidates(
-        skills.discover_candidates(postings, before, top_n=None),
-        skills.discover_candidates(postings, after, top_n=None), phrases,
+        *[every.join(k, "candidate_skill", "left_anti") for k in known.values()],
+        known["after"].withColumnRenamed("candidate_skill", "phrase"),
     )
 
 
