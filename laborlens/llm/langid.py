@@ -34,6 +34,11 @@ class Model:
     weights: np.ndarray  # [bucket, language]
     prior: np.ndarray
 
+    def expected(self) -> np.ndarray:
+        """Mean log probability of an n-gram of each language's own texts."""
+        own = self.weights[:-1]
+        return (np.exp(own) * own).sum(axis=0)
+
 
 def _grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashed n-grams of every size, code point where each text begins, whether it has a letter).
@@ -109,9 +114,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
             with_text: bool = False) -> DataFrame:
-    """Per row its key, `lang_pred` and `score`, the probability of that language.
+    """Per row its key, `lang_pred`, `score`, the probability of that language, `fit` and `n_grams`.
 
-    `with_text` keeps the text too, so that a filter needs no join.
+    `fit` does not depend on the length of a text: the mean log probability of its n-grams in that
+    language, less the mean that the language's own texts have; null for `und`.  `with_text` keeps the text too, so that a filter needs no join.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     buckets = len(model.weights) - 1
@@ -119,11 +125,13 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         names = np.array([*known.languages, NONE], object)
+        usual = known.expected()
         for batch in batches:
             for part in chunks(batch, "text"):
                 grams, edges, has_letter = _grams(*text_buffer(part.column("text")), buckets)
                 lang = np.full(part.num_rows, len(known.languages))
-                score = np.zeros(part.num_rows)
+                score, fit = np.zeros(part.num_rows), np.full(part.num_rows, np.nan)
+                count = sum(np.maximum(np.diff(edges) - size + 1, 0) for size in SIZES)
                 rows = np.flatnonzero(has_letter)
                 if len(rows) and known.languages:
                     total = np.tile(known.prior, (len(rows), 1))
@@ -133,17 +141,21 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                         each = np.append(sum(column[line] for line in grams), 0.0)
                         total[:, k] += np.add.reduceat(each, spans)[::2]
                     best = total.argmax(axis=1)
+                    mean = (total[np.arange(len(rows)), best] - known.prior[best]) / count[rows]
+                    fit[rows] = mean - usual[best]
                     total -= total.max(axis=1, keepdims=True)
                     lang[rows], score[rows] = best, 1 / np.exp(total).sum(axis=1)
                 kept = [part.column("text")] if with_text else []
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), pa.array(names[lang].tolist(), pa.string()),
-                     pa.array(score), *kept],
-                    names=["key", "lang_pred", "score", *["text"] * with_text])
+                     pa.array(score), pa.array(fit, from_pandas=True), pa.array(count.astype(np.int64)),
+                     *kept],
+                    names=["key", "lang_pred", "score", "fit", "n_grams", *["text"] * with_text])
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = rows.mapInArrow(
-        run, f"key {kind}, lang_pred string, score double" + ", text string" * with_text)
-    return found.select(F.col("key").alias(key), "lang_pred", "score",
+        run, f"key {kind}, lang_pred string, score double, fit double, n_grams bigint"
+             + ", text string" * with_text)
+    return found.select(F.col("key").alias(key), "lang_pred", "score", "fit", "n_grams",
                         *[F.col("text").alias(text)] * with_text)
