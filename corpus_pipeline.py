@@ -5,7 +5,12 @@ documents.  Every stage is written as Parquet in the folder that spark.checkpoin
 read again, so that a lost executor costs one stage's tasks and not the whole chain.
 
 Null and empty texts have no language and go with the first stage.  Later stages may leave texts
-empty; those stay, as documents of the end token alone.
+empty; those stay, as documents of the end token alone.  A row that repeats both id and text is the
+same document again: no stage tells the two apart, so both stay or go.  Columns other than those of
+documents are dropped by the first stage.
+
+Stages hand texts to Python in small batches: they set Spark's number of rows an Arrow batch of the
+session to `BATCH_ROWS`.
 """
 
 from __future__ import annotations
@@ -20,7 +25,10 @@ from laborlens.llm import langid, line_dedup, minhash_forest, packing, suffix_de
 from laborlens.llm.common import cut_lineage, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.5
+# Texts of a language that was learned lie above it by far, whatever their length; others below.
+LEAST_FIT = -2.5
+FEW_N_GRAMS = 60  # shorter texts cannot be told apart and stay
+BATCH_ROWS = 1000
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -30,17 +38,26 @@ def _documents(docs: DataFrame, text: str = "text") -> DataFrame:
                        F.length(text).cast("long").alias("n_chars"))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; a missing label is filled with the one found.
 
+    Those without a letter go, and those whose n-grams are, on average, far less likely than the
+    n-grams of the language's own texts.
+
     Where no document has a label, no language is known, and all documents stay.
     """
+    _small_batches(spark)
     model = langid.fit(docs)
     if not model.languages:
         return docs.select(*COLUMNS)
     keyed = docs.select(F.struct(*[c for c in COLUMNS if c != "text"]).alias("doc"), "text")
     found = langid.predict(keyed, model, key="doc", with_text=True).where(
-        (F.col("lang_pred") != langid.NONE) & (F.col("score") >= LEAST_SCORE))
+        (F.col("lang_pred") != langid.NONE)
+        & ((F.col("n_grams") < FEW_N_GRAMS) | (F.col("fit") >= LEAST_FIT)))
     return found.select("doc.doc_id", "text", F.coalesce("doc.lang", "lang_pred").alias("lang"),
                         "doc.source", "doc.n_chars")
 
@@ -52,6 +69,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    _small_batches(spark)
     judged = minhash_forest.near_duplicates(docs, words=5, percent=80)
     gone = judged.where("not kept").select("doc_id").distinct()
     return _documents(docs.join(gone, "doc_id", "left_anti"))
@@ -59,12 +77,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that occur earlier; no character is cut in two."""
+    _small_batches(spark)
     kept = suffix_dedup.remove_repeats(docs, 100, whole_characters=True, keep=("lang", "source"))
     return _documents(kept.withColumn("text", F.col("kept").cast("string")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and place."""
+    _small_batches(spark)
     cut = packing.pieces(docs, public_tokenizers.path(TOKENIZER))
     cut = cut_lineage(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32",
