@@ -191,6 +191,74 @@ def test_language_by_hand(spark):
     assert together == alone
 
 
+def plain_bayes(texts, labels, asked):
+    """Naive Bayes written out, n-gram by n-gram; only the hash of an n-gram is shared by definition."""
+    import math
+    from collections import Counter
+    word = (1 << 64) - 1
+
+    def grams(text):
+        low = [c.lower() if c.isalpha() and len(c.lower()) == 1 else " " if not c.isalpha() else c for c in text]
+        for size in (1, 2, 3):
+            for k in range(len(low) - size + 1):
+                h = 0
+                for c in low[k:k + size]:
+                    h = (h * 0x100000001B3 + ord(c) + 1) & word
+                h = (h * 0x9E3779B97F4A7C15 + size * 0xD6E8FEB86659FD93) & word
+                yield (h >> 40) % langid.BUCKETS
+
+    names = sorted(set(labels))
+    counts = {n: Counter(g for t, x in zip(texts, labels) if x == n for g in grams(t)) for n in names}
+    out = []
+    for text in asked:
+        logs = []
+        for n in names:
+            whole = sum(counts[n].values()) + 0.5 * langid.BUCKETS
+            logs.append(math.log(labels.count(n) / len(labels))
+                        + sum(math.log((counts[n][g] + 0.5) / whole) for g in grams(text)))
+        best = max(range(len(names)), key=lambda k: (logs[k], -k))
+        out.append((names[best], 1 / sum(math.exp(x - logs[best]) for x in logs)))
+    return out
+
+
+def test_language_like_naive_bayes_written_out(spark, documents):
+    rows = documents.where("length(text) between 20 and 900 and lang is not null").limit(60).collect()
+    texts, labels = [r.text for r in rows], [r.lang for r in rows]
+    asked = [t[k:k + 40] for k, t in enumerate(texts)] + ["A", "le der the 42", "ÄÉ ß", "Ελληνικά", "İI x"]
+    asked = [t for t in asked if any(c.isalpha() for c in t)]
+    docs = spark.createDataFrame(list(enumerate(zip(texts, labels))), "doc_id long, t struct<text:string,lang:string>")
+    model = langid.fit(docs.select("doc_id", "t.*"))
+    got = {r.doc_id: r for r in langid.predict(frame(spark, list(enumerate(asked)), ("fit", "score")), model).collect()}
+    for k, (lang, score) in enumerate(plain_bayes(texts, labels, asked)):
+        assert got[k].lang_pred == lang and abs(got[k].score - score) < 1e-9, asked[k]
+
+
+def test_pipeline_rejects_languages_never_learned(spark, documents):
+    import corpus_pipeline
+    greek = "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. "
+    known = documents.select("doc_id", "text", "lang", "source", "n_chars").limit(150)
+    more = spark.createDataFrame(
+        [(5000, greek * 3, None, "s", 1), (5001, "ναι", None, "s", 1), (5002, None, None, None, None),
+         (5003, "", "en", "s", 0), (5004, "12 34", "en", "s", 5), (5005, "ok", "en", "s", 2),
+         (5006, "word " * 300_000, None, "s", 1)], known.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, known.union(more), "").collect()}
+    assert {5001, 5005} <= kept and not kept & {5000, 5002, 5003, 5004}
+    assert {r.doc_id for r in known.collect() if r.text and any(c.isalpha() for c in r.text)} <= kept
+
+
+def test_pipeline_of_an_empty_table_and_missing_texts(spark, documents):
+    import corpus_pipeline
+    rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "a b c d e f g", "en", None, 13),
+            (2, "a b c d e f g", "en", None, 13), (3, "x", None, "s", 1)]
+    schema = documents.select("doc_id", "text", "lang", "source", "n_chars").schema
+    for some in ([], rows):
+        docs = spark.createDataFrame(some, schema).withColumn("extra", F.lit(1))
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, "")
+        ids = sorted(r.doc_id for r in docs.collect())
+        assert ids == ([] if not some else [2, 2, 3])
+
+
 # --- packing
 
 
