@@ -1236,6 +1236,16 @@ ORACLES["page"] = text(POSTINGS, """SELECT posting_id, job_title, employer_name,
   source_id FROM postings WHERE job_title ILIKE '%operator%' AND source_id = '2-HIGH'
   ORDER BY retrieved_at DESC, posting_id LIMIT 25 OFFSET 50""")
 
+# --- continuous ingest -------------------------------------------------------------------
+
+# What is delivered again was seen within the horizon of its last sighting.
+ORACLES["continuous_ingest"] = """WITH ordered AS (SELECT event_id, day(ts) >= 25 AS again, ts - lag(ts)
+  OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events),
+judged AS (SELECT event_id, CASE WHEN gap IS NULL OR gap > INTERVAL 2 DAY THEN 'STAGED'
+  ELSE 'DUPLICATE' END AS disposition FROM ordered
+  UNION ALL SELECT event_id, 'DUPLICATE' FROM ordered WHERE again)
+SELECT event_id, disposition, count(*) AS deliveries FROM judged GROUP BY 1, 2"""
+
 # --- coverage and ontology ---------------------------------------------------------------
 
 BEFORE = SkillDictionary.build(seeds.SKILLS[:8])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,9 +15,10 @@ from ..operators import (
     velocity,
 )
 from ..operators.scope import disposition, observation_scope, sector_values
-from ..session import cut_lineage
+from ..session import checkpoint_folder, cut_lineage
 from ..sources import seeds, sinks
 from ..sources.gazetteer import districts_df
+from ..streaming import seen
 from .views import table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -988,6 +990,33 @@ def staging_list(spark, sf):
     )
 
 
+# --- continuous ingest -------------------------------------------------------------------
+
+HORIZON_DAYS, DELAY = 2, "40 days"
+
+
+def _event_feed(spark, sf):
+    """Events as a feed delivers them: what a user did, without its number, is the content."""
+    return table(spark, sf, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"),
+        identity.content_hash("user_id", "event_type").alias("content_hash"))
+
+
+@query
+def continuous_ingest(spark, sf):
+    """The events, delivered in four parts and the last one twice, against remembered hashes."""
+    feed = _event_feed(spark, sf)
+    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)).cast("int")
+    folder = f"{checkpoint_folder(spark)}/feed-{uuid.uuid4().hex}"
+    for delivered in (0, 1, 2, 3, 3):
+        feed.where(part == delivered).write.mode("append").parquet(f"{folder}/in")
+        incoming = spark.readStream.schema(feed.schema).parquet(f"{folder}/in")
+        judged = seen.judged_stream(incoming, "ts", "event_id", HORIZON_DAYS * 86400, DELAY)
+        seen.start_judging(judged, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("ordinal", "disposition").agg(
+        F.count(F.lit(1)).alias("deliveries")).withColumnRenamed("ordinal", "event_id")
+
+
 # --- coverage and ontology ---------------------------------------------------------------
 
 def _two_runs(spark, sf):
