@@ -1246,6 +1246,13 @@ judged AS (SELECT event_id, CASE WHEN gap IS NULL OR gap > INTERVAL 2 DAY THEN '
   UNION ALL SELECT event_id, 'DUPLICATE' FROM ordered WHERE again)
 SELECT event_id, disposition, count(*) AS deliveries FROM judged GROUP BY 1, 2"""
 
+# --- stored facts ------------------------------------------------------------------------
+
+ORACLES["stored_facts"] = """SELECT o_orderkey, o_orderstatus, o_totalprice,
+  substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 2) AS identity_prefix,
+  CASE WHEN o_orderstatus = 'O' THEN 'INSERTED' WHEN o_orderstatus = 'P' AND
+    o_totalprice / 2 <> o_totalprice THEN 'UPDATED' ELSE 'SKIPPED' END AS outcome FROM orders"""
+
 # --- coverage and ontology ---------------------------------------------------------------
 
 BEFORE = SkillDictionary.build(seeds.SKILLS[:8])

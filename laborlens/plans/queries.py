@@ -16,7 +16,7 @@ from ..operators import (
 )
 from ..operators.scope import disposition, observation_scope, sector_values
 from ..session import checkpoint_folder, cut_lineage
-from ..sources import seeds, sinks
+from ..sources import seeds, sinks, stored
 from ..sources.gazetteer import districts_df
 from ..streaming import seen
 from .views import table, view
@@ -1017,6 +1017,24 @@ def continuous_ingest(spark, sf):
         F.count(F.lit(1)).alias("deliveries")).withColumnRenamed("ordinal", "event_id")
 
 
+# --- stored facts ------------------------------------------------------------------------
+
+@query
+def stored_facts(spark, sf):
+    """Orders stored in two runs: pending ones at half their price first, then all as they are."""
+    orders = table(spark, sf, "orders").select(
+        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("record_identity_hash"), "o_orderkey",
+        "o_orderstatus", "o_totalprice")
+    store = stored.FactStore(
+        f"{checkpoint_folder(spark)}/facts-{uuid.uuid4().hex}", updated=("o_totalprice",))
+    pending = F.col("o_orderstatus") == "P"
+    store.upsert(orders.where("o_orderstatus <> 'O'").withColumn(
+        "o_totalprice", F.when(pending, F.col("o_totalprice") / 2).otherwise(F.col("o_totalprice"))))
+    outcome = store.upsert(orders)
+    return store.read(spark).join(outcome, "record_identity_hash").select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", stored.PREFIX, "outcome")
+
+
 # --- coverage and ontology ---------------------------------------------------------------
 
 def _two_runs(spark, sf):
