@@ -34,6 +34,19 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def block_keys(rows: DataFrame, threshold: int = NEAR_HAMMING, blocks: int = 6) -> DataFrame:
+    """The columns of ``rows`` with (choice, bits), one row per choice of blocks: two fingerprints
+    within ``threshold`` bits agree on all bits of at least one choice."""
+    keys = [
+        F.struct(
+            F.lit(i).alias("choice"),
+            F.col("fingerprint").bitwiseAND(F.lit(_signed(sum(chosen)))).alias("bits"),
+        )
+        for i, chosen in enumerate(combinations(_block_masks(blocks), blocks - threshold))
+    ]
+    return rows.select("*", F.explode(F.array(*keys)).alias("k")).select(*rows.columns, "k.choice", "k.bits")
+
+
 def earliest_near(
     firsts: DataFrame, threshold: int = NEAR_HAMMING, blocks: int = 6, crowded: int = 4096
 ) -> DataFrame:
@@ -49,19 +62,9 @@ def earliest_near(
     more than two parts.  Matches are reduced to the smallest ordinal as they are found; pairs are
     never kept.  With a boolean column ``stored`` only the rows where it is false are matched.
     """
-    masks = _block_masks(blocks)
-    keys = [
-        F.struct(
-            F.lit(i).alias("choice"),
-            F.col("fingerprint").bitwiseAND(F.lit(_signed(sum(chosen)))).alias("bits"),
-        )
-        for i, chosen in enumerate(combinations(masks, blocks - threshold))
-    ]
     if "stored" not in firsts.columns:
         firsts = firsts.withColumn("stored", F.lit(False))
-    keyed = firsts.select(
-        "fingerprint", "ordinal", "stored", F.explode(F.array(*keys)).alias("k")
-    ).select("fingerprint", "ordinal", "stored", "k.choice", "k.bits")
+    keyed = block_keys(firsts.select("fingerprint", "ordinal", "stored"), threshold, blocks)
     sizes = (
         keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         .select("choice", "bits", F.ceil(F.col("n") / crowded).cast("int").alias("parts"))

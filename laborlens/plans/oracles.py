@@ -1236,6 +1236,8 @@ ORACLES["page"] = text(POSTINGS, """SELECT posting_id, job_title, employer_name,
   source_id FROM postings WHERE job_title ILIKE '%operator%' AND source_id = '2-HIGH'
   ORDER BY retrieved_at DESC, posting_id LIMIT 25 OFFSET 50""")
 
+ORACLES["dedup_indexed"] = ORACLES["dedup_incremental"]
+
 # --- continuous ingest -------------------------------------------------------------------
 
 # What is delivered again was seen within the horizon of its last sighting.

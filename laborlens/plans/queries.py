@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import identity, parse, text as tx
 from ..functions.simhash import simhash64
 from ..operators import (
-    collisions, coverage, dedup, demand, gap, geography, governance, ingest, occupation,
-    persist, phrases, profiling, scores, search, skills, tagged, validate,
+    collisions, coverage, dedup, demand, gap, geography, governance, ingest, near_index,
+    occupation, persist, phrases, profiling, scores, search, skills, tagged, validate,
     velocity,
 )
 from ..operators.scope import disposition, observation_scope, sector_values
@@ -826,6 +826,17 @@ def dedup_incremental(spark, sf):
     )
 
 
+@query
+def dedup_indexed(spark, sf):
+    """As dedup_incremental, from a stored index that the earlier run has filled."""
+    rows = fingerprinted_with_language(spark, sf)
+    columns = ("record_id", "ordinal", "canonical_key", "fingerprint")
+    index = near_index.NearIndex(f"{checkpoint_folder(spark)}/near-{uuid.uuid4().hex}", buckets=16)
+    index.judge_and_add(rows.where("sector = 'en'").select(*columns))
+    late = rows.where("sector <> 'en'").withColumn("ordinal", F.col("ordinal") + F.lit(10**12))
+    return index.judge_and_add(late.select(*columns)).select("record_id", "status", "matched_record_id")
+
+
 def fingerprinted_with_language(spark, sf):
     texts = view(spark, sf, "texts")
     return dedup.fingerprints(texts, "posting_id", "ordinal", ["description"]).join(

@@ -5,10 +5,8 @@ Every writer leaves one file per task; nothing is gathered on the driver.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.persist import new_rows
 from ..operators.skills import SkillDictionary, evidence_rows, extract_skills
 
 
@@ -72,6 +70,7 @@ SOURCE_COLUMNS = (
 )
 
 
+# Columns of the dimension export.
 DIMENSION_COLUMNS = ("skill_id", "skill_name", "verification_status")
 EXPORTS = {
     "demand": DEMAND_COLUMNS, "skill_demand": SKILL_DEMAND_COLUMNS, "skill_gap": GAP_COLUMNS,
@@ -102,18 +101,3 @@ def staged(df: DataFrame, valid: str = "is_valid") -> DataFrame:
     ).withColumn(
         "processing_status", F.when(F.col(valid), "staged").otherwise("failed")
     )
-
-
-def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append rows whose key is not in the Parquet table at ``path`` yet.
-
-    Only key columns of the stored table are read.  Running it again with the same rows writes
-    nothing.
-    """
-    fresh = df.dropDuplicates(keys)
-    try:
-        fresh = new_rows(fresh, df.sparkSession.read.schema(df.schema).parquet(path), keys)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":  # nothing was appended yet
-            raise
-    fresh.write.mode("append").parquet(path)

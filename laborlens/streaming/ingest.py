@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.identity import content_hash
 from ..operators.governance import gate
 from ..operators.ingest import Connector
-from ..sources.sinks import append_new
+from ..sources.stored import FactStore
 
 
 def staged_stream(raw: DataFrame, connector: Connector, policies: DataFrame) -> DataFrame:
@@ -38,10 +38,11 @@ def bounded_duplicates(staged: DataFrame, event_time: Column, delay: str) -> Dat
 
 
 def start_ingest(staged: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append new records to the Parquet table at ``path``."""
+    """Store new records in the fact table at ``path``; a batch reads the hash prefixes it brings."""
+    store = FactStore(path, key="content_hash")
 
     def write(batch: DataFrame, _: int) -> None:
-        append_new(batch, path, ["content_hash"])
+        store.upsert(batch)
 
     return (
         staged.writeStream.foreachBatch(write)
