@@ -133,6 +133,50 @@ def page_of_postings(
     return rows.orderBy(F.desc("retrieved_at"), "posting_id").offset(offset).limit(limit)
 
 
+# Spans of time that a page is looked for in, each divided by the next; the counts of one step are
+# at most the days of the data, then 24, 60 and 60.
+SPANS = ("day", "hour", "minute", "second")
+FEW_ROWS = 100_000
+
+
+def deep_page(
+    postings: DataFrame, title_contains: str | None = None, limit: int = 50, offset: int = 0,
+    few: int = FEW_ROWS, **scope,
+) -> DataFrame:
+    """``page_of_postings`` for any offset, without sorting what lies before the page.
+
+    Counts per day tell in which days the page lies; days with more than ``few`` rows before it are
+    divided into hours, minutes and seconds.  Only rows of those spans are then read, by a filter
+    that reaches the scan, and the first of them are taken.
+    """
+    rows = _matching(postings, title_contains, scope)
+    at = F.col("retrieved_at")
+    inside, skip = F.lit(True), offset
+    for span in SPANS:
+        counts = rows.where(inside).groupBy(F.date_trunc(span, at).alias("t")).count().orderBy(
+            F.desc("t")).collect()
+        found, before = [], 0
+        for r in counts:
+            if before + r["count"] > skip and before < skip + limit:
+                found.append((r["t"], r["count"], before))
+            before += r["count"]
+        if not found:
+            return rows.where(F.lit(False))
+        skip -= found[0][2]
+        first, last = found[0][0], found[-1][0]
+        if last is None:  # rows without a time come last
+            inside = inside & (at.isNull() if first is None
+                               else at.isNull() | (at < F.lit(first) + F.expr(f"INTERVAL 1 {span}")))
+            if first is not None:
+                break
+        else:
+            inside = inside & (at >= F.lit(last)) & (at < F.lit(first) + F.expr(f"INTERVAL 1 {span}"))
+        if len(found) > 1 or found[0][1] <= few or first is None:
+            break
+    return (rows.where(inside).orderBy(F.desc("retrieved_at"), "posting_id")
+            .offset(skip).limit(limit))
+
+
 def page_total(postings: DataFrame, title_contains: str | None = None, **scope) -> DataFrame:
     """One row: how many postings all pages together have."""
     return _matching(postings, title_contains, scope).agg(F.count(F.lit(1)).alias("total"))

@@ -1238,6 +1238,12 @@ ORACLES["page"] = text(POSTINGS, """SELECT posting_id, job_title, employer_name,
 
 ORACLES["dedup_indexed"] = ORACLES["dedup_incremental"]
 
+ORACLES["page_deep"] = text(POSTINGS, """SELECT posting_id, job_title, employer_name, district, sector,
+  source_id FROM postings ORDER BY retrieved_at DESC, posting_id LIMIT 25 OFFSET 5000""")
+ORACLES["keyword_matches_indexed"] = ORACLES["keyword_matches"]
+ORACLES["document_search_indexed"] = text(view_cte("texts"), f"""SELECT posting_id, source_id
+  FROM texts WHERE {any_token("lower(coalesce(description, ''))", ('copyright', 'licensed', '2abc'))}""")
+
 # --- continuous ingest -------------------------------------------------------------------
 
 # What is delivered again was seen within the horizon of its last sighting.

@@ -11,8 +11,8 @@ from ..functions import identity, parse, text as tx
 from ..functions.simhash import simhash64
 from ..operators import (
     collisions, coverage, dedup, demand, gap, geography, governance, ingest, near_index,
-    occupation, persist, phrases, profiling, scores, search, skills, tagged, validate,
-    velocity,
+    occupation, persist, phrases, profiling, scores, search, skills, tagged, trigrams,
+    validate, velocity,
 )
 from ..operators.scope import disposition, observation_scope, sector_values
 from ..session import checkpoint_folder, cut_lineage
@@ -993,6 +993,32 @@ def page(spark, sf):
     ).select("posting_id", "job_title", "employer_name", "district", "sector", "source_id")
 
 
+@query
+def page_deep(spark, sf):
+    """A page far down the whole table; the span it lies in is found from counts."""
+    return search.deep_page(view(spark, sf, "postings"), limit=25, offset=5000, few=10).select(
+        "posting_id", "job_title", "employer_name", "district", "sector", "source_id")
+
+
+@query
+def keyword_matches_indexed(spark, sf):
+    postings = view(spark, sf, "postings")
+    index = trigrams.TrigramIndex(f"{checkpoint_folder(spark)}/trigrams-{uuid.uuid4().hex}", buckets=16)
+    index.add(postings)
+    return index.search(postings, "kafka mysql").groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("matches"))
+
+
+@query
+def document_search_indexed(spark, sf):
+    """Whole documents that contain a word of the query, anywhere in another word too."""
+    texts = view(spark, sf, "texts")
+    index = trigrams.TrigramIndex(
+        f"{checkpoint_folder(spark)}/trigrams-{uuid.uuid4().hex}", fields=("description",), buckets=16)
+    index.add(texts)
+    return index.search(texts, "copyright licensed 2abc").select("posting_id", "source_id")
+
+
 @query
 def staging_list(spark, sf):
     staged = ingest.staged_snapshot(_snapshot_records(spark, sf))
