@@ -1244,6 +1244,14 @@ ORACLES["keyword_matches_indexed"] = ORACLES["keyword_matches"]
 ORACLES["document_search_indexed"] = text(view_cte("texts"), f"""SELECT posting_id, source_id
   FROM texts WHERE {any_token("lower(coalesce(description, ''))", ('copyright', 'licensed', '2abc'))}""")
 
+ORACLES["demand_run"] = f"""WITH counters AS ({ORACLES["demand_run_counters"]}),
+stored AS (SELECT count(*) AS n, count(DISTINCT run_id) AS runs FROM ({ORACLES["district_demand"]}))
+SELECT run, 'mvp-v1-no-score' AS rule_version, '1995-01-01' AS period_start, '2024-12-31' AS period_end,
+  counters.*, CASE run WHEN 1 THEN n ELSE 0 END AS rows_created, 0 AS rows_updated,
+  CASE run WHEN 2 THEN n ELSE 0 END AS rows_skipped, CASE run WHEN 1 THEN runs ELSE 0 END AS runs_created
+FROM counters, stored, (VALUES (1), (2)) AS two(run)"""
+ORACLES["demand_run_rows"] = ORACLES["demand_for_period"]
+
 # --- continuous ingest -------------------------------------------------------------------
 
 # What is delivered again was seen within the horizon of its last sighting.

@@ -14,6 +14,7 @@ from ..operators import (
     occupation, persist, phrases, profiling, scores, search, skills, tagged, trigrams,
     validate, velocity,
 )
+from ..operators import demand_run as demand_runs
 from ..operators.scope import disposition, observation_scope, sector_values
 from ..session import checkpoint_folder, cut_lineage
 from ..sources import seeds, sinks, stored
@@ -352,6 +353,26 @@ def demand_run_counters(spark, sf):
     )
 
 
+@query
+def demand_run(spark, sf):
+    """The reports of a run and of the same run again."""
+    folder = f"{checkpoint_folder(spark)}/demand-{uuid.uuid4().hex}"
+    reports = [
+        demand_runs.run_demand(
+            view(spark, sf, "postings"), view(spark, sf, "apprenticeships"), folder, *WINDOW)
+        .withColumn("run", F.lit(k)) for k in (1, 2)]
+    return reports[0].unionByName(reports[1]).drop("source_coverage", "source_id")
+
+
+@query
+def demand_run_rows(spark, sf):
+    """What a run has stored."""
+    folder = f"{checkpoint_folder(spark)}/demand-{uuid.uuid4().hex}"
+    demand_runs.run_demand(
+        view(spark, sf, "postings"), view(spark, sf, "apprenticeships"), folder, *WINDOW)
+    return demand_runs.demand_csv(spark, folder)
+
+
 def _older_demand(spark, sf):
     """The same demand from postings up to 1999, with the ids of the full run."""
     cells = demand.demand_cells(

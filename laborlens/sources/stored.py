@@ -24,13 +24,14 @@ INSERTED, UPDATED, SKIPPED = "INSERTED", "UPDATED", "SKIPPED"
 class FactStore:
     """A table at `path`; rows are named by `key`, a hex hash.
 
-    A stored row takes over `updated` columns of a later one where they differ; without any such
-    column the first row stays.  Its other columns never change.
+    A stored row takes over the `updated` columns of a later one if any of the `compared` ones (by
+    default the same) differs; without such columns the first row stays.  Others never change.
     """
 
     path: str
     key: str = "record_identity_hash"
     updated: tuple[str, ...] = ()
+    compared: tuple[str, ...] = ()
     digits: int = 2
     files_per_prefix: int = 1
 
@@ -64,7 +65,7 @@ class FactStore:
             return fresh.select(F.struct(self.key, "new.*").alias("row"), F.lit(INSERTED).alias("outcome"))
         held = stored.select(self.key, F.struct(*kept).alias("old"))
         differs = F.lit(False)
-        for name in self.updated:
+        for name in self.compared or self.updated:
             differs = differs | ~F.col(f"old.{name}").eqNullSafe(F.col(f"new.{name}"))
         outcome = (F.when(F.col("old").isNull(), INSERTED).when(F.col("new").isNull(), None)
                    .when(differs, UPDATED).otherwise(SKIPPED))

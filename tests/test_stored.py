@@ -57,3 +57,27 @@ def test_only_touched_partitions(spark, tmp_path):
     assert store.read(spark).count() == 400 and store.read(spark).agg(F.sum("n")).first()[0] == 5
     plan = store.read(spark, ["a"], many)._jdf.queryExecution().executedPlan().toString()
     assert f"PartitionFilters: [{PREFIX}" in plan.replace("isnotnull(", "") and " = a" in plan
+
+
+def test_a_demand_run_in_one_call(spark, tmp_path):
+    from laborlens.operators.demand_run import demand_csv, run_demand
+    from laborlens.sources.sinks import DEMAND_COLUMNS
+
+    schema = ("posting_id string, source_id string, job_title string, district string, sector string,"
+              " retrieved_at timestamp")
+    jobs = spark.createDataFrame(
+        [("1", "s", "Computer Operator", "Pune", "IT", None), ("2", "s", "Computer Operator", "pune ", "IT", None),
+         ("3", "s", "Nothing known", "", None, None), ("4", "s", "Java Developer", "Thane", "IT", None)],
+        schema).withColumn("retrieved_at", F.lit("2026-01-05 00:00:00").cast("timestamp"))
+    folder, window = str(tmp_path / "run"), ("2026-01-01", "2026-01-31")
+    first = run_demand(jobs.where("posting_id <> '2'"), None, folder, *window, source_id="s").first()
+    assert (first["input_observations"], first["rows_updated"], first["rows_skipped"]) == (3, 0, 0)
+    assert first["rows_created"] >= 1 and first["runs_created"] >= 1
+    second = run_demand(jobs, None, folder, *window, source_id="s").first()
+    assert (second["rows_created"], second["rows_updated"], second["runs_created"]) == (0, 1, 0)
+    assert second["rows_skipped"] == first["rows_created"] - 1 and second["source_coverage"]["row_count"] == 4
+    third = run_demand(jobs, None, folder, *window, source_id="s").first()
+    assert (third["rows_created"], third["rows_updated"], third["rows_skipped"]) == (0, 0, first["rows_created"])
+    table = demand_csv(spark, folder)
+    assert table.columns == list(DEMAND_COLUMNS)
+    assert table.where("lower(district) = 'pune'").agg(F.sum("job_count")).first()[0] == 2
