@@ -337,11 +337,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     equal = ["n_shingles", "set_a", "set_b"]
     reps = filled.groupBy(*equal).agg(F.min("key").alias("rep"))
     classes = (filled.join(reps, equal).where("key = rep").dropDuplicates(["rep", *equal]))
-    forest = cut_lineage(_forest(classes).withColumn("component", F.col("rep")))
-    # Texts are shuffled once, to pick those that share a region with another.
+    # A row without another one in its region takes no part in what follows, and most rows have none.
     near = F.coalesce(F.lead("rep").over(_region()), F.lag("rep").over(_region()))
-    ids = forest.withColumn("near", near).where("near is not null").select(
-        F.col("rep").alias(key)).distinct()
+    forest = cut_lineage(_forest(classes).withColumn("near", near).where("near is not null")
+                         .drop("near").withColumn("component", F.col("rep")))
+    # Texts are shuffled once, to pick those that share a region with another.
+    ids = forest.select(F.col("rep").alias(key)).distinct()
     sets = _sets(docs.select(key, text).join(ids, key, "left_semi"), words, key, text)
     if not rows.groupBy("key").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates()  # rows that repeat an id and its text would repeat pairs
