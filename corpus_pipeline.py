@@ -26,8 +26,8 @@ from laborlens.llm.common import cut_lineage, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Texts of a language that was learned lie above it by far, whatever their length; others below.
-LEAST_FIT = -2.5
-FEW_N_GRAMS = 60  # shorter texts cannot be told apart and stay
+LEAST_FIT = -3.5
+FEW_N_GRAMS = 200  # shorter texts cannot be told apart and stay
 BATCH_ROWS = 1000
 TOKENIZER = "byte_bpe_50k.json"
 
