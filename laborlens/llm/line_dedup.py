@@ -301,22 +301,25 @@ def _possible(refs: DataFrame, store: LineStore) -> DataFrame:
 def apply(docs: DataFrame, store: LineStore, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with `kept_text`, `n_lines` (before) and `n_dropped`.
 
-    A repeated key loses its lines everywhere but in its largest document.
+    A repeated key loses its lines everywhere but in its largest document.  Columns of `docs` that
+    are named as one of the three are replaced; all others are kept.
     """
     refs = references(docs, key, text, store.least_chars)
     drops = (_possible(refs, store).join(store.repeated, ["k1", "k2"])
              .where(F.col("doc") != F.col("top_doc"))
-             .groupBy(F.col("doc").alias(key)).agg(F.collect_set("k1").alias("_drops")))
-    lines = _lines(F.col(text))
+             .groupBy("doc").agg(F.collect_set("k1").alias("drops")))
+    lines = _lines(F.col("text"))
 
     def stays(line: Column) -> Column:
         cleaned = line_key(line)
         return ~((F.length(cleaned) >= store.least_chars)
-                 & F.array_contains("_drops", _hash(cleaned, 1)))
-
-    kept = F.when(F.col("_drops").isNull(), lines).otherwise(F.filter(lines, stays))
-    return (docs.join(drops, key, "left").withColumn("_kept", kept)
-            .withColumn("n_lines", F.size(lines).cast("long"))
-            .withColumn("n_dropped", (F.col("n_lines") - F.size("_kept")).cast("long"))
-            .withColumn("kept_text", F.array_join("_kept", "\n"))
-            .drop("_drops", "_kept"))
+                 & F.array_contains("drops", _hash(cleaned, 1)))
+
+    kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, stays))
+    # Columns of `docs` travel as one, so that their names meet none of these.
+    others = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(key).alias("doc"), F.col(text).alias("text"))
+    n_lines = F.size(lines).cast("long")
+    return (rows.join(drops, "doc", "left").select("row", kept.alias("kept"), n_lines.alias("n_lines"))
+            .select("row.*", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"),
+                    F.array_join("kept", "\n").alias("kept_text")))

@@ -170,7 +170,7 @@ def fillings(counts: dict[int, int], capacity: int) -> Iterator[tuple[tuple[int,
 
 
 def pack(rows: DataFrame, capacity: int = 2048, key: str = "doc_id") -> DataFrame:
-    """`rows` (key, piece, length, ...) with `sequence_id` and `offset`.
+    """`rows` (key, piece, length, ...) with `sequence_id` and `offset`; columns named so are replaced.
 
     Shuffles the columns it is given twice; leave ids out and join them back where they are large.
     """
@@ -187,11 +187,13 @@ def pack(rows: DataFrame, capacity: int = 2048, key: str = "doc_id") -> DataFram
         sequence += times
     plan = rows.sparkSession.createDataFrame(
         _table(spans), "length bigint, rank bigint, sequence bigint, place bigint")
-    ranked = gapless_rank(rows, ["length"], [key, "piece"], "rank")
+    others = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+    ranked = gapless_rank(
+        rows.select("length", F.struct(*others).alias("row"), F.col(key).alias("first"),
+                    F.col("piece").alias("second")), ["length"], ["first", "second"], "rank")
     # As-of join by a window: the span that begins last before a piece's rank.  Ranks are dealt
     # into ranges that spans are repeated for at their lower end.
     wide = 1 << 12
-    names = [c for c in ranked.columns if c not in ("length", "rank")]
     heads = plan.withColumn("until", F.coalesce(
         F.lead("rank").over(Window.partitionBy("length").orderBy("rank")) - 1, F.lit(None).cast("long")))
     most = F.col("most")
@@ -200,7 +202,7 @@ def pack(rows: DataFrame, capacity: int = 2048, key: str = "doc_id") -> DataFram
              .withColumn("range", F.explode(F.sequence(F.floor(F.col("rank") / wide),
                                                        F.floor(F.col("until") / wide)))))
     found = (ranked.withColumn("range", F.floor(F.col("rank") / wide))
-             .select("length", "range", "rank", F.struct(*names).alias("row"), F.lit(1).alias("kind"),
+             .select("length", "range", "rank", "row", F.lit(1).alias("kind"),
                      F.lit(None).cast("struct<rank:bigint,sequence:bigint,place:bigint>").alias("span"))
              .unionByName(heads.select(
                  "length", "range", "rank", F.lit(None).alias("row"), F.lit(0).alias("kind"),
@@ -208,7 +210,7 @@ def pack(rows: DataFrame, capacity: int = 2048, key: str = "doc_id") -> DataFram
     order = Window.partitionBy("length", "range").orderBy("rank", "kind").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (found.withColumn("span", F.last("span", True).over(order)).where("kind = 1")
-            .select("row.*", "length",
+            .select("row.*",
                     (F.col("span.sequence") + F.col("rank") - F.col("span.rank")).alias("sequence_id"),
                     F.col("span.place").alias("offset")))
 

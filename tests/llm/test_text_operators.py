@@ -288,6 +288,24 @@ def test_packing(spark, documents):
     assert packing.sequences(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_extra_columns_are_kept_or_replaced(spark):
+    line = "a line of at least forty characters, in five documents"
+    names = ("_drops", "_kept", "row", "doc", "k1", "drops", "kept", "n_lines", "n_dropped", "kept_text")
+    docs = frame(spark, [(k, f"{line}\nown {k}") for k in range(6)] + [(6, None), (7, "x\n" * 50_000)], names)
+    got = line_dedup.apply(docs, line_dedup.build(docs))
+    assert set(got.columns) == {"doc_id", "text", *names}
+    by_id = {r.doc_id: r for r in got.collect()}
+    assert [by_id[k].n_dropped for k in range(8)] == [1, 1, 1, 1, 1, 0, 0, 0]
+    assert by_id[0].kept_text == "own 0" and by_id[7].n_lines == 50_001 and by_id[3].k1 == 1
+    cut = packing.pieces(docs, TOKENIZER).drop("ids")
+    for name in ("rank", "_bucket", "first", "range", "sequence_id", "offset"):
+        cut = cut.withColumn(name, F.lit("x"))
+    packed = packing.pack(cut)
+    assert sorted(packed.columns) == sorted(cut.columns)
+    assert {(r["rank"], r["_bucket"], r["first"], r["range"]) for r in packed.collect()} == {("x",) * 4}
+    assert packed.select("sequence_id", "offset").distinct().count() == cut.count()
+
+
 def test_slices_like_the_tokenizer():
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(TOKENIZER)
