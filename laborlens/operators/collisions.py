@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import blank_to_null, collapse
+from ..session import cut_lineage
 
 # raw column -> whether it is compared collapsed (True) or only trimmed (False)
 COMPARED = {
@@ -30,6 +31,10 @@ def _value(column: str) -> Column:
     return F.when(text.isNotNull(), F.xxhash64(text))
 
 
+def _hashed(raw: DataFrame, identity: str) -> DataFrame:
+    return raw.select(F.col(identity).alias("identity_hash"), *[_value(c).alias(c) for c in COMPARED])
+
+
 def collision_groups(raw: DataFrame, identity: str = "record_identity_hash") -> DataFrame:
     """Every identity with two or more rows, classified, with its reason and confidence.
 
@@ -38,8 +43,10 @@ def collision_groups(raw: DataFrame, identity: str = "record_identity_hash") ->
     reducer as one partial row per task.  Exact distinct
     counts are only taken for the few groups whose reason text quotes them.
     """
-    values = raw.select(F.col(identity).alias("identity_hash"),
-                        *[_value(c).alias(c) for c in COMPARED])
+    return _classified(_hashed(raw, identity))
+
+
+def _classified(values: DataFrame) -> DataFrame:
     bounds = (
         values.groupBy("identity_hash")
         .agg(
@@ -91,7 +98,7 @@ def collision_groups(raw: DataFrame, identity: str = "record_identity_hash") ->
         ])), ", ",
     )
     is_, jobid = F.col("classification"), F.col("one_jobid")
-    reason = (
+    reason = (  # fixed values: the sentences
         F.when((is_ == "TRUE_DUPLICATE") & jobid, "All fields identical including jobid")
         .when(is_ == "TRUE_DUPLICATE",
               "All fields identical, different jobids suggest source duplication")
@@ -151,9 +158,18 @@ def collision_values(
 
 
 def collision_report(raw: DataFrame, identity: str = "record_identity_hash") -> DataFrame:
-    """Groups with their representative values."""
-    groups = collision_groups(raw, identity)
-    return groups.join(collision_values(raw, groups, identity), "identity_hash", "left")
+    """Groups with their representative values.
+
+    Raw rows are read once, into hashes of what is compared and the few texts that are shown; the
+    long texts are not kept.
+    """
+    shown = {c: f"shown_{c}" for c in SHOWN}
+    narrow = cut_lineage(raw.select(
+        F.col(identity).alias("identity_hash"), *[_value(c).alias(c) for c in COMPARED],
+        *[blank_to_null(F.col(c)).alias(name) for c, name in shown.items()]))
+    groups = cut_lineage(_classified(narrow.select("identity_hash", *COMPARED)))
+    texts = narrow.select("identity_hash", *[F.col(name).alias(c) for c, name in shown.items()])
+    return groups.join(collision_values(texts, groups, "identity_hash"), "identity_hash", "left")
 
 
 def collision_policy(groups: DataFrame, total_rows: DataFrame) -> DataFrame:

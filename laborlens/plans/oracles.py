@@ -7,6 +7,8 @@ string functions.  Every column name equals the Spark query's.
 
 from __future__ import annotations
 
+import json
+
 from ..functions.scoring import GAP_ORDER
 from ..operators import gap as gap_rules
 from ..operators.skills import SkillDictionary
@@ -1478,8 +1480,17 @@ for _name, _rows in (
     ("skill_summary", ORACLES["skill_summary"]), ("skill_candidates", ORACLES["skill_candidates"]),
     ("ontology_review", ORACLES["ontology_review"]),
     ("sources", text(view_cte("sources"), "SELECT *, NULL::VARCHAR AS coverage FROM sources")),
+    ("column_profile", ORACLES["column_profile"]), ("collision_groups", ORACLES["collision_groups"]),
+    ("coverage", ORACLES["coverage_compare"]),
+    ("occupations", text(DEMAND + [values(
+        "dimension", "occupation_id, occupation_name, aliases, sector, source_reference, "
+        "verification_status", [
+            (o.occupation_id, o.occupation_name, json.dumps(list(o.aliases), separators=(",", ":")),
+             o.sector, o.source_reference, o.verification_status) for o in seeds.OCCUPATIONS])],
+        "SELECT * FROM dimension WHERE occupation_id IN (SELECT occupation_id FROM demand)")),
 ):
     ORACLES[f"{_name}_export"] = f"SELECT {', '.join(sinks.EXPORTS[_name])} FROM ({_rows})"
+ORACLES["coverage_stored"] = ORACLES["coverage_compare"]
 ORACLES["skill_demand_with_evidence"] = text(ALL_DEMAND, """SELECT skill_id, distinct_job_count
   FROM sd WHERE distinct_job_count > 0""")
 ORACLES["skill_gap_filter"] = text(GAP, """SELECT skill_id, skill_name, gap_status FROM gap

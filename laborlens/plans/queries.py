@@ -17,7 +17,7 @@ from ..operators import (
 from ..operators import demand_run as demand_runs
 from ..operators.scope import disposition, observation_scope, sector_values
 from ..session import checkpoint_folder, cut_lineage
-from ..sources import seeds, sinks, stored
+from ..sources import readers, seeds, sinks, stored
 from ..sources.gazetteer import districts_df
 from ..streaming import seen
 from .views import table, view
@@ -485,7 +485,7 @@ def last_nonempty(spark, sf):
 
 @query
 def collision_groups(spark, sf):
-    return collisions.collision_report(_ingested(spark, sf, *RAW))
+    return collisions.collision_report(_accepted(spark, sf))
 
 
 @query
@@ -1258,6 +1258,30 @@ _export("sources", lambda spark, sf: view(spark, sf, "sources").withColumns(
     {"coverage": F.lit(None).cast("string")}))
 
 
+def _occupations_in_demand(spark, sf):
+    """The occupation dimension of what the postings of all districts resolve to."""
+    return seeds.occupations_df(spark).join(
+        _demand(spark, sf).select("occupation_id").distinct(), "occupation_id", "left_semi")
+
+
+_export("occupations", _occupations_in_demand)
+_export("column_profile", column_profile)
+_export("collision_groups", collision_groups)
+_export("coverage", coverage_compare)
+
+
+@query
+def coverage_stored(spark, sf):
+    """Coverage of this run against the report that an earlier run has left as JSON."""
+    folder = f"{checkpoint_folder(spark)}/coverage-{uuid.uuid4().hex}"
+    runs, counts = _tagged(spark, sf)
+    sinks.write_json(tagged.summary(counts, "before", runs["before"]), folder)
+    stored_run = readers.metrics_json(
+        spark, folder,
+        "skill_id string, skill_name string, distinct_job_count bigint, mention_count bigint")
+    return coverage.compare_skills(stored_run, tagged.summary(counts, "after", runs["after"]))
+
+
 @query
 def skill_demand_with_evidence(spark, sf):
     return gap.with_evidence(_skill_demand(spark, sf)).select("skill_id", "distinct_job_count")

@@ -72,10 +72,24 @@ SOURCE_COLUMNS = (
 
 # Columns of the dimension export.
 DIMENSION_COLUMNS = ("skill_id", "skill_name", "verification_status")
+OCCUPATION_COLUMNS = (
+    "occupation_id", "occupation_name", "aliases", "sector", "source_reference", "verification_status",
+)
+PROFILE_COLUMNS = ("column_name", "null_count", "null_percentage", "unique_count", "example_values")
+COLLISION_COLUMNS = (
+    "identity", "collision_size", "classification", "jobids", "uniq_ids", "job_titles", "companies",
+    "locations", "post_dates", "reason", "confidence",
+)
+COVERAGE_COLUMNS = (
+    "skill_id", "skill_name", "before_job_count", "after_job_count", "before_mention_count",
+    "after_mention_count", "coverage_status",
+)
 EXPORTS = {
     "demand": DEMAND_COLUMNS, "skill_demand": SKILL_DEMAND_COLUMNS, "skill_gap": GAP_COLUMNS,
     "skill_summary": SUMMARY_COLUMNS, "skill_candidates": CANDIDATE_COLUMNS,
     "ontology_review": REVIEW_COLUMNS, "sources": SOURCE_COLUMNS, "skills": DIMENSION_COLUMNS,
+    "occupations": OCCUPATION_COLUMNS, "column_profile": PROFILE_COLUMNS,
+    "collision_groups": COLLISION_COLUMNS, "coverage": COVERAGE_COLUMNS,
 }
 
 
