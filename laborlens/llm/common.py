@@ -47,7 +47,8 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     """(node, component): the smallest node reachable over undirected links; linked nodes only.
 
     Alternating large-star and small-star rounds.  Each round is a pre-aggregated minimum and a
-    join, so a node with very many links is no group in one task, and lineage is cut every round.
+    join with it, and lineage is cut every round.  The links of a node are never gathered; they are
+    one key of the join, which Spark's adaptive skew join splits where a node has very many.
     The number of map tasks follows the number of links, so that many rounds over few links do not
     write a file for every pair of partitions.
 
