@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import strip
 from ..operators.validate import RAW_COLUMNS
@@ -153,3 +153,23 @@ def collision_groups_csv(spark: SparkSession, path: str) -> DataFrame:
 def metrics_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A persisted one-row report (or any JSON table) with a declared schema."""
     return spark.read.schema(schema).json(path)
+
+
+def with_ordinal(read: DataFrame, name: str = "ordinal") -> DataFrame:
+    """Number the rows of a file read 0, 1, 2, ...: files by path, then place in the file.
+
+    Two passes over the files and no sort of rows: the first counts the rows of each block that a
+    task reads, the second adds a row's place in its block to what stands before the block.  Only
+    the table of blocks, one row per block, is ordered as a whole.  ``read`` comes straight from a
+    reader, and its files stay as they are in between.
+    """
+    placed = read.select(
+        "*", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    starts = blocks.select("_file", "_block", "_first", F.coalesce(
+        F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(starts, ["_file", "_block"]).select(
+        *read.columns, (F.col("_start") + F.col("_at") - F.col("_first")).cast("bigint").alias(name))

@@ -155,3 +155,23 @@ def test_registering_sources_twice_adds_nothing(spark):
     sources = spark.createDataFrame([("a", "A"), ("b", "B"), ("b", "B")], "source_id string, source_name string")
     first = governance.sources_to_register(sources, sources.limit(0))
     assert first.count() == 2 and governance.sources_to_register(sources, first).count() == 0
+
+
+def test_rows_of_many_files_are_numbered_in_order(spark, tmp_path):
+    folder, told = tmp_path / "rows", []
+    folder.mkdir()
+    for name, rows in (("b.csv", 700), ("a.csv", 3), ("c.csv", 0), ("d.csv", 250)):
+        lines = [f"{name}-{k},{'x' * (k % 40)}" for k in range(rows)]
+        (folder / name).write_text("\n".join(["jobtitle,company", *lines]) + "\n", encoding="utf-8")
+    for name in ("a.csv", "b.csv", "d.csv"):
+        told += [line.split(",")[0] for line in (folder / name).read_text().splitlines()[1:]]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        read = readers.raw_postings_csv(spark, str(folder), ("jobtitle", "company"))
+        numbered = readers.with_ordinal(read)
+        assert read.rdd.getNumPartitions() > 5 and numbered.columns == ["jobtitle", "company", "ordinal"]
+        got = {r["ordinal"]: r["jobtitle"] for r in numbered.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [got[k] for k in range(len(got))] == told
