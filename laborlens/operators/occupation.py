@@ -99,6 +99,7 @@ def _raw_tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)))
 
 
+FEW_ENTRIES = 10_000  # token sets of a reference that are sent to every task
 COMMON_TOKENS = 256  # the most frequent reference tokens, which a prefix takes last
 PREFIX_SHARE = MIN_CONFIDENCE  # one of both similarities is at least the bound of their mean
 
@@ -172,8 +173,11 @@ def _jaccard(shared: Column, a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared, a + b - shared), F.lit(0.0))
 
 
-def _best(queries: DataFrame, entries: DataFrame, keys, bounded: bool) -> DataFrame:
-    """(query, score, entry_order): the best entry of each query among those that share a key."""
+def _best(queries: DataFrame, entries: DataFrame, keys, bounded: bool, few: bool) -> DataFrame:
+    """(query, score, entry_order): the best entry of each query among those that share a key.
+
+    A reference of ``few`` entries goes to the queries; otherwise both sides are shuffled by key.
+    """
     asked = queries.select("query", "t", "s", "canonical_occupation_id", "has_scope",
                            F.explode(keys(F.col("t"), F.col("s"))).alias("k")).select(
         "query", "t", "s", "canonical_occupation_id", "has_scope", "k.token", "k.with",
@@ -181,7 +185,7 @@ def _best(queries: DataFrame, entries: DataFrame, keys, bounded: bool) -> DataFr
     posted = entries.select("entry_order", "rt", "rg", "scope", F.explode(
         keys(F.col("rt"), F.col("rg"))).alias("k")).select(
         "entry_order", "rt", "rg", "scope", "k.token", "k.with", F.col("k.left").alias("e_left"))
-    pairs = asked.join(posted, ["token", "with"])
+    pairs = asked.join(F.broadcast(posted) if few else posted, ["token", "with"])
     if bounded:
         n, m = F.size("t"), F.size("rt")
         # Length and position: what can still be shared from the token met on must reach the bound.
@@ -222,12 +226,14 @@ def map_to_reference(
     ).withColumn("query", F.when(text != "", F.md5(F.to_json(F.struct("t", "s", "canonical_occupation_id"))))))
     scoped = entries.select(F.explode("scope").alias("canonical_occupation_id")).distinct().withColumn(
         "scoped", F.lit(True))
-    queries = (asked.where("query is not null").dropDuplicates(["query"])
-               .join(scoped, "canonical_occupation_id", "left")
-               .withColumn("has_scope", F.coalesce("scoped", F.lit(False))))
-    near = cut_lineage(_best(queries, entries, _keys, bounded=True).where(F.col("score") >= MIN_CONFIDENCE))
+    queries = cut_lineage(
+        asked.where("query is not null").dropDuplicates(["query"])
+        .join(scoped, "canonical_occupation_id", "left")
+        .withColumn("has_scope", F.coalesce("scoped", F.lit(False))))
+    few = entries.count() <= FEW_ENTRIES
+    near = cut_lineage(_best(queries, entries, _keys, True, few).where(F.col("score") >= MIN_CONFIDENCE))
     rest = queries.join(near, "query", "left_anti")
-    best = near.unionByName(_best(rest, entries, _every_key, bounded=False))
+    best = cut_lineage(near.unionByName(_best(rest, entries, _every_key, False, few)))
     known = occupations.select(
         F.col("occupation_id").alias("canonical_occupation_id"),
         F.col("occupation_name"), F.col("source_reference").alias("occupation_reference"),

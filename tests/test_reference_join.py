@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from laborlens.operators import occupation
 
 TITLES = "title string, skills string, canonical_occupation_id string"
@@ -30,8 +32,10 @@ def plain(title, skills, occ, reference, scopes):
     return (score, -order) if score > 0 else (0.0, None)
 
 
-def test_every_title_gets_its_best_entry(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_every_title_gets_its_best_entry(spark, monkeypatch, few):
     monkeypatch.setattr(occupation, "COMMON_TOKENS", 5)
+    monkeypatch.setattr(occupation, "FEW_ENTRIES", few)
     rng = random.Random(6)
     words = ["operator", "senior", "machine", "tool", "data", "entry", "welder", "gas", "of", "it", "nurse", "x1"]
     phrase = lambda most: " ".join(rng.choices(words, [9, 6, 4, 3, 2, 2, 1, 1, 5, 3, 1, 1],
