@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import cut_lineage
 
 BLOCK_ROWS = 1 << 16
-QUERY_ROWS = 128
+QUERY_ROWS = 128  # queries of a block, fewest and most
+MOST_QUERIES = 1 << 12
+PAIRS = 128  # pairs of blocks that are enough for many tasks
 MOST = 1 << 26
 
 
@@ -40,21 +42,25 @@ def _usable(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
             .select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v")))
 
 
+def _check(values: np.ndarray) -> None:
+    if values.size and max(-int(values.min()), int(values.max())) >= MOST:
+        raise ValueError("quantised components reach 2**26: use a smaller scale")
+
+
 class Slices:
     """The index of one block."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, values = ids[order], values[order]
-        if len(values) and int(np.abs(values).max()) >= MOST:
-            raise ValueError("quantised components reach 2**26: use a smaller scale")
+        _check(values)
         rows, self.width = values.shape
         self.words = -(-max(rows, 1) // 64)
-        self.low = values.min(axis=0)
+        self.low = values.min(axis=0).astype(np.int64)
         self.places = [int(x).bit_length() for x in values.max(axis=0) - self.low]
         self.maps = []  # [component][place]
         for d in range(self.width):
-            column = values[:, d] - self.low[d]
+            column = values[:, d].astype(np.int64) - self.low[d]
             self.maps.append([self._bitmap(column >> p & 1) for p in range(self.places[d])])
         self.every = self._bitmap(np.ones(rows, np.int64))
 
@@ -137,10 +143,21 @@ class Slices:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def _packed(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """Blocks (width, block, ids, v) of about `most` rows, and their number; v: values row by row."""
-    blocks = -(-rows.count() // most) or 1
+def _query_blocks(queries: int, blocks: int) -> int:
+    """How many blocks of queries meet `blocks` blocks of rows.
+
+    A block of rows is sent once per block of queries, so there are only as many of these as tasks
+    need, and as bound the queries of one.
+    """
+    return max(1, -(-queries // MOST_QUERIES), min(-(-queries // QUERY_ROWS), -(-PAIRS // blocks)))
+
+
+def _values(data: bytes, itemsize: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, f"i{itemsize}").reshape(-1, width)
+
 
+def _packed(rows: DataFrame, blocks: int) -> DataFrame:
+    """`blocks` blocks (width, block, ids, v, itemsize); v: values row by row, in 2 bytes if they fit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId()
         parts: dict[int, list] = {}
@@ -148,18 +165,23 @@ def _packed(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
             lists = batch.column("v")
             widths = np.diff(lists.offsets.to_numpy())
             ids, flat = batch.column("id").to_numpy(), lists.flatten().to_numpy()
+            _check(flat)
+            flat = flat.astype(np.int32)
             of_value = np.repeat(widths, widths)
             for width in np.unique(widths).tolist():
                 parts.setdefault(width, []).append((ids[widths == width], flat[of_value == width]))
         for width, found in sorted(parts.items()):
+            values = np.concatenate([y for _, y in found])
+            if -1 << 15 <= values.min() and values.max() < 1 << 15:
+                values = values.astype(np.int16)
             yield pa.RecordBatch.from_arrays([
                 pa.array([width], pa.int32()), pa.array([block], pa.int32()),
                 pa.array([np.concatenate([x for x, _ in found]).tobytes()], pa.binary()),
-                pa.array([np.concatenate([y for _, y in found]).tobytes()], pa.binary()),
-            ], names=["width", "block", "ids", "v"])
+                pa.array([values.tobytes()], pa.binary()), pa.array([values.itemsize], pa.int32()),
+            ], names=["width", "block", "ids", "v", "itemsize"])
 
-    packed = rows.repartition(blocks).mapInArrow(run, "width int, block int, ids binary, v binary")
-    return cut_lineage(packed), blocks
+    return cut_lineage(rows.repartition(blocks).mapInArrow(
+        run, "width int, block int, ids binary, v binary, itemsize int"))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, key: str = "vec_id",
@@ -168,23 +190,26 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, k
 
     Every block of queries meets every block of rows once; a block's own k best go on.
     """
-    rows, n_rows = _packed(_usable(vectors, key, vector, scale), BLOCK_ROWS)
+    usable = _usable(vectors, key, vector, scale)
+    n_rows = -(-usable.count() // BLOCK_ROWS) or 1
     asked = _usable(vectors.where(queries), key, vector, scale).dropDuplicates(["id", "v"])
-    asks, n_asks = _packed(asked, QUERY_ROWS)
+    n_asks = _query_blocks(asked.count(), n_rows)
+    rows, asks = _packed(usable, n_rows), _packed(asked, n_asks)
     rows = rows.withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
     asks = asks.select("width", F.col("block").alias("ask"), F.col("ids").alias("ask_ids"),
-                       F.col("v").alias("ask_v"),
+                       F.col("v").alias("ask_v"), F.col("itemsize").alias("ask_itemsize"),
                        F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for line in range(batch.num_rows):
-                width, ids, v, ask_ids, ask_v = (
-                    batch.column(c)[line].as_py() for c in ("width", "ids", "v", "ask_ids", "ask_v"))
-                index = Slices(np.frombuffer(ids, np.int64), np.frombuffer(v, np.int64).reshape(-1, width))
+                width, ids, v, itemsize, ask_ids, ask_v, ask_itemsize = (
+                    batch.column(c)[line].as_py() for c in (
+                        "width", "ids", "v", "itemsize", "ask_ids", "ask_v", "ask_itemsize"))
+                index = Slices(np.frombuffer(ids, np.int64), _values(v, itemsize, width))
                 asked_ids = np.frombuffer(ask_ids, np.int64)
                 found = []
-                for own, query in zip(asked_ids.tolist(), np.frombuffer(ask_v, np.int64).reshape(-1, width)):
+                for own, query in zip(asked_ids.tolist(), _values(ask_v, ask_itemsize, width).astype(np.int64)):
                     at, score = index.top(query, own, k)
                     print_ = zlib.crc32(query.tobytes())
                     found.append((np.full(len(at), own), np.full(len(at), print_), index.ids[at], score))

@@ -150,3 +150,13 @@ def test_gapless_rank(spark):
     for g in range(3):
         ranks = [r["r"] for r in got if r["g"] == g]
         assert sorted(ranks) == list(range(len(ranks)))
+
+
+def test_blocks_of_rows_are_small_and_sent_few_times(spark):
+    assert bitsliced._query_blocks(6_150, 10) == 13  # not 49, one per 128 queries
+    assert bitsliced._query_blocks(513, 1) == 5 and bitsliced._query_blocks(0, 1) == 1
+    assert bitsliced._query_blocks(1_000_000, 1_000) == 245
+    rows = spark.createDataFrame([(k, [k - 50, 32767]) for k in range(100)] + [(100, [1, 2, -32769])], "id long, v array<long>")
+    found = {r["width"]: r for r in bitsliced._packed(rows, 1).collect()}
+    assert (found[2]["itemsize"], len(found[2]["v"])) == (2, 100 * 2 * 2)
+    assert (found[3]["itemsize"], len(found[3]["v"])) == (4, 3 * 4)
