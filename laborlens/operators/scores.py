@@ -10,6 +10,7 @@ from ..functions.text import strip
 from .demand import RULE_VERSION, demand_cells
 from .scope import district_key, observation_scope
 from .skills import SkillDictionary, count_by_skill, extract_skills
+from .texts import COPIES, TEXT_FIELDS, distinct_texts
 
 SCORE_RULE_VERSION = "score-v1"
 VOLUME, RECENCY, APPRENTICESHIP = 0.50, 0.30, 0.20  # fixed values
@@ -198,8 +199,9 @@ def district_skill_demand(
     """
     scoped = observation_scope(postings, start=start, end=end, **scope).withColumn(
         "district_key", district_key(F.col("district")))
-    extracted = extract_skills(scoped, dictionary, keep=("district_key",), snippets=False)
-    counts = count_by_skill(extracted, by=("district_key",)).where(
+    texts = distinct_texts(scoped, TEXT_FIELDS, by=("district_key",))
+    extracted = extract_skills(texts, dictionary, ("district_key", COPIES), "title", snippets=False)
+    counts = count_by_skill(extracted, by=("district_key",), copies=COPIES).where(
         F.col("district_key").isNotNull() & F.col("skill_id").isNotNull())
     totals = scoped.where(F.col("district_key").isNotNull()).groupBy("district_key").agg(
         F.count(F.lit(1)).alias("total_jobs"), F.min(strip(F.col("district"))).alias("district"))

@@ -166,3 +166,23 @@ def test_tech_pattern_equals_the_plain_alternation():
     for _ in range(4000):
         text = "".join(rng.choice(pieces) + rng.choice(["", " ", "."]) for _ in range(6))
         assert trie.findall(text) == flat.findall(text), text
+
+
+def test_counts_match_each_distinct_text_once(spark):
+    from laborlens.operators import gap, texts
+
+    rows = [("java developer", "needs sql", "Java, x")] * 50 + [("java developer", None, "")] * 7 + [(None, "", None)] * 3
+    df = spark.createDataFrame(rows, "job_title string, description string, source_skills string")
+    d = skills.SkillDictionary.build()
+    alone = {tuple(r) for r in skills.count_by_skill(skills.extract_skills(df, d, (), snippets=False)).collect()}
+    grouped = texts.distinct_texts(df, texts.TEXT_FIELDS)
+    found = skills.extract_skills(grouped, d, (texts.COPIES,), "title", snippets=False)
+    assert grouped.count() == 3
+    assert {tuple(r) for r in skills.count_by_skill(found, copies=texts.COPIES).collect()} == alone
+    java = gap.skill_demand(df, d).where("skill_id = 'SKL-DEV-JAVA-01'").first()
+    assert (java["distinct_job_count"], java["mention_count"], java["total_jobs"]) == (57, 107, 60)
+    total = skills.corpus_metrics(df, d).first()
+    assert (total["jobs_processed"], total["jobs_with_source_skills"], total["jobs_with_description"],
+            total["unmatched_mentions"]) == (60, 50, 50, 50)
+    for out in (gap.skill_demand(df, d), skills.corpus_metrics(df, d), skills.probe_tokens(df, d)):
+        assert "HashAggregate(keys=[job_title" in out._jdf.queryExecution().executedPlan().toString()
