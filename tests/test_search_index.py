@@ -63,3 +63,15 @@ def test_long_texts_and_missing_ones(spark, tmp_path):
     df = postings(spark, [("long", "t", "word " * 200_000 + "needle", None), ("none", None, None, None)])
     index.add(df)
     assert [r["posting_id"] for r in index.search(df, "needle").collect()] == ["long"]
+
+
+def test_trigrams_of_a_text_are_stored_once(spark, tmp_path):
+    index = trigrams.TrigramIndex(str(tmp_path / "index"), buckets=2)
+    one = postings(spark, [(str(k), "clerk", "kafka", None) for k in range(30)])
+    more = postings(spark, [(str(k), "clerk", "KAFKA", None) for k in range(30, 40)] + [("n", "clerk", "mysql", None)])
+    index.add(one)
+    index.add(more)
+    assert index._lookups(spark, ["kafka"]) and spark.read.parquet(f"{tmp_path}/index/counts").where(
+        "trigram = 'kaf'").first()["count"] == 1  # 40 with a row per record
+    found = index.search(one.unionByName(more), "kafka")
+    assert sorted(int(r["posting_id"]) for r in found.collect()) == list(range(40))
