@@ -55,3 +55,24 @@ def test_the_provider_of_the_session_is_put_back(spark, tmp_path):
     before = spark.conf.get(seen.PROVIDER)
     delivered(spark, tmp_path, [[(1, "x", "2024-01-01")]])
     assert spark.conf.get(seen.PROVIDER) == before
+
+
+def test_hashes_of_one_prefix_are_one_key_of_the_state(spark, tmp_path):
+    """Calls to the state, which take most of the time, do not grow with the number of hashes."""
+    first = [(k, f"abc{k:061x}", "2024-01-01") for k in range(2000)]
+    again = [(10_000 + k, f"abc{k:061x}", "2024-01-02") for k in range(1000, 3000)]
+    got = delivered(spark, tmp_path, [first, again])
+    assert got[0] == [(k, "STAGED") for k in range(2000)]
+    assert got[1] == [(10_000 + k, "DUPLICATE" if k < 2000 else "STAGED") for k in range(1000, 3000)]
+    state = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "state"))
+    assert state.count() == 1
+
+
+def test_hashes_of_one_prefix_expire_one_by_one(spark, tmp_path):
+    got = delivered(spark, tmp_path, [
+        [(1, "abcd", "2024-01-01"), (2, "abce", "2024-01-03")], [(3, "abcf", "2024-01-12")],
+        [(4, "z", "2024-01-15")], [(5, "abcd", "2024-01-16"), (6, "abcf", "2024-01-16")],
+        [(7, "z", "2024-03-01")], [(8, "z", "2024-03-02")]], delay="1 day")
+    assert got[3] == [(5, "STAGED"), (6, "DUPLICATE")]
+    state = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "state"))
+    assert {r["key"]["content_hash"] for r in state.collect()} == {"z"}  # the timer was set anew and fired
