@@ -14,8 +14,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.identity import content_hash
 from ..functions.text import bind, collapse, split_source_skills, squeeze
 from .skills import CONTEXT
+from .texts import few_texts, with_known
 
 TOKEN = r"(?U)\w+|\W"
 WORD = r"(?U)^\w"
@@ -177,13 +179,9 @@ def _evidence(found: Column, text: dict[int, Column], tokens: dict[int, Column])
         found["first_for_job"].alias("first_for_job"), found["field_count"].alias("field_count"))
 
 
-def evidence_by_join(postings: DataFrame, phrases: DataFrame, key: str = "posting_id",
-                     title: str | None = "job_title", description: str | None = "description",
-                     source_skills: str | None = "source_skills") -> DataFrame:
-    """One row per posting, field and skill, as ``skills.evidence_rows`` gives them.
-
-    ``phrases`` as of ``phrase_table``; ``key`` names a row of ``postings``.
-    """
+def _entries(postings: DataFrame, phrases: DataFrame, key: str, title: str | None,
+             description: str | None, source_skills: str | None) -> DataFrame:
+    """(key, entries): the evidence of each row that has any."""
     found = (matches(postings, phrases, key, title, description, source_skills)
              .groupBy("key").agg(F.collect_list(F.struct(
                  "field", "skill_id", "first_for_job", "field_count", "at")).alias("found")))
@@ -192,7 +190,26 @@ def evidence_by_join(postings: DataFrame, phrases: DataFrame, key: str = "postin
         F.coalesce(F.col(column), F.lit("")).alias(f"text{number}") for column, number in fields])
     joined = texts.join(found, "key").select("*", *[
         _tokens(F.col(f"text{number}")).alias(f"tokens{number}") for _, number in fields])
-    entries = F.transform("found", lambda m: _evidence(
+    return joined.select(F.col("key").alias(key), F.transform("found", lambda m: _evidence(
         m, {number: F.col(f"text{number}") for _, number in fields},
-        {number: F.col(f"tokens{number}") for _, number in fields}))
-    return joined.select(F.col("key").alias(key), F.explode(entries).alias("e")).select(key, "e.*")
+        {number: F.col(f"tokens{number}") for _, number in fields})).alias("entries"))
+
+
+def evidence_by_join(postings: DataFrame, phrases: DataFrame, key: str = "posting_id",
+                     title: str | None = "job_title", description: str | None = "description",
+                     source_skills: str | None = "source_skills", repeated: bool = False) -> DataFrame:
+    """One row per posting, field and skill, as ``skills.evidence_rows`` gives them.
+
+    ``phrases`` as of ``phrase_table``; ``key`` names a row of ``postings``.  ``repeated`` says that
+    texts stand in many postings: if the distinct ones are few, only they go through the join.
+    """
+    fields = (title, description, source_skills)
+    names = [c for c in fields if c]
+    texts = few_texts(postings, names) if repeated else None
+    if texts is None:
+        entries = _entries(postings, phrases, key, *fields)
+    else:
+        named = texts.withColumn("_text", content_hash(*names))
+        known = named.join(_entries(named, phrases, "_text", *fields), "_text").drop("_text")
+        entries = with_known(postings.select(key, *names), known, names)
+    return entries.select(key, F.explode("entries").alias("e")).select(key, "e.*")

@@ -91,3 +91,19 @@ def test_two_skills_of_one_spelling(spark):
     got = {r["phrase"]: (r["skill_id"], r["canonical"])
            for r in phrases.phrase_table(ontology(spark, known)).collect()}
     assert got == {"one": ("A", 1), "two": ("B", 1), "same": ("B", 0)}
+
+
+@pytest.mark.parametrize("most", [50_000, 3])
+def test_repeated_texts_go_through_the_join_once(spark, monkeypatch, most):
+    known = [Skill("A", "data entry", ("data",), "c"), Skill("B", "c++", ("c",), "c")]
+    kinds = [("Data Entry", "needs c++ and data", "c, other"), (None, None, None), ("", "", ""),
+             ("C", None, "data;c++"), (None, "c", None)]
+    rows = spark.createDataFrame([(str(k), *kinds[k % 5]) for k in range(60)], POSTINGS)
+    table = phrases.phrase_table(ontology(spark, known))
+    plain = phrases.evidence_by_join(rows, table)
+    joined, real = [], phrases.matches
+    monkeypatch.setattr(phrases, "matches", lambda df, *a: joined.append(df.count()) or real(df, *a))
+    monkeypatch.setattr("laborlens.operators.texts.MOST_TEXTS", most)
+    once = phrases.evidence_by_join(rows, table, repeated=True)
+    assert joined == [5 if most > 5 else 60]
+    assert once.columns == plain.columns and sorted(map(repr, once.collect())) == sorted(map(repr, plain.collect()))
