@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import keyword_hit, like_contains, query_tokens, snippet
 from .scope import observation_scope
-from .skills import SkillDictionary, evidence_rows, extract_skills
+from .skills import SkillDictionary, evidence_rows, extract_repeated
 
 POSTING_SCORE, DEMAND_SCORE = 0.5, 0.3  # fixed values
 _TYPE_RANK = {"JOB_POSTING": 1, "SKILL_EVIDENCE": 2, "DISTRICT_OCCUPATION_DEMAND": 3}
@@ -87,7 +87,7 @@ def retrieve(
     scoped = observation_scope(postings, exact_district=True, **scope)
     keep = ("posting_id", "district", "source_id")
     evidence = (
-        evidence_rows(extract_skills(scoped, dictionary, keep=keep), keep)
+        evidence_rows(extract_repeated(scoped, dictionary, keep=keep), keep)
         .where(
             keyword_hit(
                 tokens, F.col("canonical_skill_name"), F.col("source_skill_text"),

@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from laborlens.operators import gap, skills, velocity
+from laborlens.operators import demand, gap, skills, velocity
 from laborlens.sources.seeds import Skill
 
 COLUMNS = "posting_id string, job_title string, description string, source_skills string"
@@ -186,3 +187,29 @@ def test_counts_match_each_distinct_text_once(spark):
             total["unmatched_mentions"]) == (60, 50, 50, 50)
     for out in (gap.skill_demand(df, d), skills.corpus_metrics(df, d), skills.probe_tokens(df, d)):
         assert "HashAggregate(keys=[job_title" in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit,value", [("MOST_TEXTS", 50_000), ("MOST_TEXTS", 2), ("MOST_CHARACTERS", 5)])
+def test_repeated_texts_are_matched_once(spark, monkeypatch, limit, value):
+    kinds = [("Java", "core java and SQL", "java, odd"), (None, None, None), ("", " ", ","), ("Java", None, None)]
+    rows = spark.createDataFrame(
+        [(k, *kinds[k % 4]) for k in range(40)],
+        "posting_id long, job_title string, description string, source_skills string")
+    dictionary = skills.SkillDictionary.with_common_equivalences()
+    plain = skills.extract_skills(rows, dictionary, boost=True)
+    matched, real = [], skills.extract_skills
+    monkeypatch.setattr(skills, "extract_skills", lambda df, *a, **k: matched.append(df.count()) or real(df, *a, **k))
+    monkeypatch.setattr(f"laborlens.operators.texts.{limit}", value)
+    once = skills.extract_repeated(rows, dictionary, boost=True)
+    assert matched == [4 if value > 5 else 40]
+    assert once.columns == plain.columns and sorted(map(repr, once.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_titles_of_a_district_are_resolved_once(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(["Pune", " Pune", None][k % 3], ["x", ""][k % 2], ["Machinist", "Painter General", None, ""][k % 4], "s")
+         for k in range(48)], "district string, sector string, job_title string, source_id string")
+    resolved, real = [], demand.with_occupation
+    monkeypatch.setattr(demand, "with_occupation", lambda df, *a: resolved.append(df.count()) or real(df, *a))
+    cells = demand.demand_cells(rows, None).collect()
+    assert resolved == [8] and sum(r["n"] for r in cells) == 48
