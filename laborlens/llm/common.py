@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import checkpoint_folder, cut_lineage
 
-__all__ = ["components", "cut_lineage", "gapless_rank", "shared_folder"]
+__all__ = ["components", "cut_lineage", "cut_narrow", "gapless_rank", "shared_folder"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +35,20 @@ def gapless_rank(df: DataFrame, groups: list[str], order: list[str], name: str,
 LINKS_PER_TASK = 50_000
 
 
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """`cut_lineage` for rows of a few numbers: as many files as their count calls for.
+
+    A checkpoint has a file for each partition, whatever is in it, and each file of a local file
+    system costs two processes that the executor starts to set its mode.  Rows lie on the executors'
+    disks until they are counted.
+    """
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return cut_lineage(held.coalesce(held.count() // LINKS_PER_TASK + 1))
+    finally:
+        held.unpersist()
+
+
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
@@ -57,7 +72,7 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     edges = (links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
              .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
              .distinct())
-    edges = cut_lineage(edges)
+    edges = cut_narrow(edges)
     seen = _checksum(edges)
     for _ in range(most_rounds):
         tasks = seen[0] // LINKS_PER_TASK + 1

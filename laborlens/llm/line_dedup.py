@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, cut_narrow
 
 # Fixed value: what is stripped at both ends of a line, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -219,10 +219,10 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars:
           least_docs: int = 5) -> LineStore:
     """The store of a set of documents; shards follow from the number of repeated keys."""
     refs = references(docs, key, text, least_chars)
-    repeated = cut_lineage(_counted(refs, least_docs))
+    repeated = cut_narrow(_counted(refs, least_docs))
     shards = -(-repeated.count() // KEYS_PER_FILTER) or 1
     repeated = repeated.withColumn("shard", _shard(shards))
-    filters = cut_lineage(_filters(_insertions(repeated)))
+    filters = cut_lineage(_filters(_insertions(repeated)).coalesce(shards))
     return LineStore(refs, repeated, filters, shards, least_chars, least_docs)
 
 

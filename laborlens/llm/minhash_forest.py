@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .batches import chunks, gather, text_buffer
-from .common import components, cut_lineage
+from .common import components, cut_lineage, cut_narrow
 
 SIGNATURE = 96
 TREES = 16
@@ -339,8 +339,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     classes = (filled.join(reps, equal).where("key = rep").dropDuplicates(["rep", *equal]))
     # A row without another one in its region takes no part in what follows, and most rows have none.
     near = F.coalesce(F.lead("rep").over(_region()), F.lag("rep").over(_region()))
-    forest = cut_lineage(_forest(classes).withColumn("near", near).where("near is not null")
-                         .drop("near").withColumn("component", F.col("rep")))
+    forest = cut_narrow(_forest(classes).withColumn("near", near).where("near is not null")
+                        .drop("near").withColumn("component", F.col("rep")))
     # Texts are shuffled once, to pick those that share a region with another.
     ids = forest.select(F.col("rep").alias(key)).distinct()
     sets = _sets(docs.select(key, text).join(ids, key, "left_semi"), words, key, text)
@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     sets = cut_lineage(sets)
     # Next neighbours first: pairs that these put into one component need no look any more, which
     # spares a crowded region most of its pairs and loses none.
-    links = cut_lineage(confirmed(candidates(forest, 1, 1, percent), sets, percent))
+    links = cut_narrow(confirmed(candidates(forest, 1, 1, percent), sets, percent))
     known = components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("found"))
     forest = forest.join(known, "rep", "left").withColumn("component", F.coalesce("found", "component"))
     links = links.union(confirmed(candidates(forest, 2, NEIGHBOURS, percent), sets, percent))
@@ -359,7 +359,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     known = found.select(F.col("key").alias("rep"), F.col("component").alias("found"))
     forest = forest.select("rep", "n_shingles", "region").join(known, "rep", "left").withColumn(
         "component", F.coalesce("found", "rep")).drop("found")
-    more = cut_lineage(crowded_links(forest, sets, percent))
+    more = cut_narrow(crowded_links(forest, sets, percent))
     judged = rows.join(found, "key", "left").select(
         "key", "n_shingles", F.coalesce("component", "key").alias("part"))
     if more.isEmpty():

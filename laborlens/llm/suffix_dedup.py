@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import chunks, gather, text_buffer
-from .common import cut_lineage
+from .common import cut_lineage, cut_narrow
 from .suffix_array import suffix_array
 
 GRAM = 32
@@ -582,7 +582,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), carried.alias("carried"))
     columns = ["doc", "text", "carried"]
     print_ = F.xxhash64(F.coalesce("text", F.lit("")))
-    many = cut_lineage(rows.where(F.col("doc").isNotNull()).groupBy("doc").agg(
+    many = cut_narrow(rows.where(F.col("doc").isNotNull()).groupBy("doc").agg(
         F.min(print_).alias("least"), F.max(print_).alias("most")).where("least != most"))
     whole = rows.where(F.col("doc").isNull())
     rows = rows.where(F.col("doc").isNotNull())
@@ -591,7 +591,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
             "own", F.col("least").isNull() | (print_ == F.col("least")))
         whole = whole.unionByName(marked.where("not own").select(*columns))
         rows = marked.where("own").select(*columns)
-    first = cut_lineage(_decided(_anchored(rows.select("doc", "text"), length), length))
+    first = cut_narrow(_decided(_anchored(rows.select("doc", "text"), length), length))
     dealt = rows.repartition("doc")
     contexts = _contexts(dealt, first.where("gram is not null"), length)
     spans = first.where("gram is null").select("doc", "start", "stop").union(_judged(contexts, length))
