@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.identity import content_hash
 from ..functions.text import bind, collapse, split_source_skills, squeeze
+from ..session import cut_lineage
 from .skills import CONTEXT
 from .texts import few_texts, with_known
 
 TOKEN = r"(?U)\w+|\W"
 WORD = r"(?U)^\w"
+MOST_SENT = 100_000  # phrases and uses that are sent to every task
 FIELDS = (("source_skills", "SOURCE_SKILL", 0), ("title", "JOB_TITLE", 1),
           ("description", "JOB_DESCRIPTION", 2))
 
@@ -123,8 +125,11 @@ def matches(postings: DataFrame, phrases: DataFrame, key: str, title: str | None
     """
     used = F.explode(F.array(
         F.when(F.col("in_text"), F.lit("text")), F.when(F.col("in_segments"), F.lit("segment"))))
+    phrases = cut_lineage(phrases)
     keyed = phrases.withColumn("use", used).where("use IS NOT NULL").select(
         F.xxhash64("phrase").alias("gram"), "use", "phrase", "skill_id", "skill_name", "canonical")
+    if keyed.count() <= MOST_SENT:
+        keyed = F.broadcast(keyed)
     # An ontology's phrases have few lengths; counting them is one pass over the phrases.
     sizes = sorted(r[0] for r in phrases.where("in_text").select(
         F.size(_tokens(F.col("phrase"))).alias("n")).distinct().collect())
@@ -155,14 +160,32 @@ def matches(postings: DataFrame, phrases: DataFrame, key: str, title: str | None
                  F.col("m.skill_name"), F.col("m.canonical")).alias("at"))
 
 
-def _evidence(found: Column, text: dict[int, Column], tokens: dict[int, Column]) -> Column:
+def _starts(found: Column, number: int, text: Column) -> Column:
+    """Characters before each match of field `number`, by its place in `found`.
+
+    The matches of a field are in the order of their tokens, so each token is counted once.
+    """
+    begin = F.struct(F.lit(0).alias("i"), F.lit(0).alias("chars"),
+                     F.array().cast("array<int>").alias("starts"))
+
+    def added(tokens: Column, acc: Column, m: Column) -> Column:
+        at = F.when(m["field"] == number, m["i"]).otherwise(acc["i"])
+        passed = F.length(F.array_join(F.slice(tokens, acc["i"] + 1, at - acc["i"]), ""))
+        return bind(acc["chars"] + passed, lambda chars: F.struct(
+            at.alias("i"), chars.alias("chars"),
+            F.concat(acc["starts"], F.array(chars)).alias("starts")))
+
+    return bind(_tokens(text), lambda tokens: F.aggregate(
+        found, begin, lambda acc, m: added(tokens, acc, m), lambda acc: acc["starts"]))
+
+
+def _evidence(found: Column, place: Column, text: dict[int, Column], starts: dict[int, Column]) -> Column:
     """The evidence entry of a match; its context is cut from the text of its field."""
     at, field = found["at"], found["field"]
     level = F.when(at["canonical"] == 1, "EXACT").otherwise("ALIAS")
 
     def context(number: int) -> Column:
-        start = F.length(F.array_join(F.slice(tokens[number], 1, at["i"]), ""))
-        return bind(start, lambda s: bind(F.greatest(s - CONTEXT, F.lit(0)), lambda first: squeeze(
+        return bind(F.get(starts[number], place), lambda s: bind(F.greatest(s - CONTEXT, F.lit(0)), lambda first: squeeze(
             F.substring(text[number], first + 1, s + F.length(at["phrase"]) + CONTEXT - first))))
 
     around = at["raw"]
@@ -183,16 +206,18 @@ def _entries(postings: DataFrame, phrases: DataFrame, key: str, title: str | Non
              description: str | None, source_skills: str | None) -> DataFrame:
     """(key, entries): the evidence of each row that has any."""
     found = (matches(postings, phrases, key, title, description, source_skills)
-             .groupBy("key").agg(F.collect_list(F.struct(
-                 "field", "skill_id", "first_for_job", "field_count", "at")).alias("found")))
+             .groupBy("key").agg(F.sort_array(F.collect_list(F.struct(
+                 "field", F.col("at.i"), "skill_id", "first_for_job", "field_count", "at"))).alias("found")))
     fields = [(column, number) for column, number in ((title, 1), (description, 2)) if column]
     texts = postings.select(F.col(key).alias("key"), *[
         F.coalesce(F.col(column), F.lit("")).alias(f"text{number}") for column, number in fields])
-    joined = texts.join(found, "key").select("*", *[
-        _tokens(F.col(f"text{number}")).alias(f"tokens{number}") for _, number in fields])
-    return joined.select(F.col("key").alias(key), F.transform("found", lambda m: _evidence(
-        m, {number: F.col(f"text{number}") for _, number in fields},
-        {number: F.col(f"tokens{number}") for _, number in fields})).alias("entries"))
+    # Tokens and starts are bound: an alias that is used once would be made anew for every match.
+    entries = lambda starts: F.transform("found", lambda m, k: _evidence(
+        m, k, {number: F.col(f"text{number}") for _, number in fields},
+        {number: starts[f"s{number}"] for _, number in fields}))
+    starts = F.struct(F.lit(0).alias("s0"), *[
+        _starts(F.col("found"), number, F.col(f"text{number}")).alias(f"s{number}") for _, number in fields])
+    return texts.join(found, "key").select(F.col("key").alias(key), bind(starts, entries).alias("entries"))
 
 
 def evidence_by_join(postings: DataFrame, phrases: DataFrame, key: str = "posting_id",
