@@ -15,15 +15,15 @@ SALTS = 8  # tasks that the copies of one fingerprint are spread over
 
 
 def fingerprints(df: DataFrame, record_id: str, ordinal: str, fields: list[str],
-                 keep: tuple[str, ...] = ()) -> DataFrame:
+                 keep: tuple[str, ...] = (), empty: int = 0) -> DataFrame:
     """(record_id, ordinal, canonical_key, fingerprint, columns of ``keep``); ``ordinal`` is the
-    order of arrival."""
+    order of arrival, ``empty`` the fingerprint of records without text."""
     text = F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
     return df.select(
         F.col(record_id).alias("record_id"),
         F.col(ordinal).cast("bigint").alias("ordinal"),
         canonical_key({f: F.col(f) for f in fields}).alias("canonical_key"),
-        simhash64(text).alias("fingerprint"),
+        simhash64(text, empty).alias("fingerprint"),
         *keep,
     )
 
