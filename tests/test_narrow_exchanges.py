@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from laborlens.functions.identity import packed, unpacked
-from laborlens.operators import collisions, validate
+from laborlens.operators import collisions, ingest, persist, validate
 from laborlens.session import written_once
 
 
@@ -57,3 +57,31 @@ def test_rows_are_written_as_columns(spark):
     back = written_once(rows.repartition(3))
     assert back.schema == rows.schema or back.dtypes == rows.dtypes
     assert back.inputFiles()[0].endswith(".zstd.parquet") and back.exceptAll(rows).count() == 0
+
+
+def test_classes_are_the_groups_without_their_counts(spark):
+    rows = raw(spark)
+    classes = collisions.collision_classes(rows)
+    assert exchanges(classes) == 1  # before: the rows once more, for counts that nothing reads
+    groups = collisions.collision_groups(rows).select(*classes.columns)
+    assert sorted(map(repr, classes.collect())) == sorted(map(repr, groups.collect()))
+
+
+def test_prefixes_of_several_identities(spark):
+    hashes = ["a" * 16 + "b" * 48, "a" * 16 + "c" * 48, "d" * 64]
+    postings = spark.createDataFrame([(h, h[20:30]) for h in hashes * 2], "record_identity_hash string, posting_id string")
+    groups = spark.createDataFrame([("a" * 16, "X"), ("e" * 16, "X"), ("d" * 16, " Y ")], "identity string, classification string")
+    got = sorted(tuple(r) for r in persist.resolve_prefixes(groups, postings).collect())
+    assert got == sorted([("b" * 10, "X", hashes[0], True), ("c" * 10, "X", hashes[1], True), ("d" * 10, "Y", hashes[2], False)])
+
+
+def test_historical_ingest_counts_written_rows(spark):
+    """Accounting and relationships do not touch what only the facts need."""
+    rows = spark.createDataFrame([(True, "h1"), (True, "h1"), (False, None)], "accepted boolean, record_identity_hash string")
+    whole = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in (
+        "source_id", "source_record_id", "job_title", "employer_name", "location_text", "district", "state",
+        "sector", "description", "posted_date", "retrieved_at", "status", "skills", "seats", "location")],
+        F.raise_error(F.lit("not read")).cast("bigint").alias("ordinal"))
+    groups = spark.createDataFrame([("h1", "X")], "identity_hash string, classification string")
+    run = ingest.historical_ingest(whole, rows.where("false"), groups, counted=rows)
+    assert run.accounting.first()["inserted_rows"] == 1 and run.relationships.count() == 1
