@@ -28,6 +28,15 @@ def fingerprints(df: DataFrame, record_id: str, ordinal: str, fields: list[str],
     )
 
 
+def merged(right: DataFrame) -> DataFrame:
+    """The right side of a join of records: sorted and merged, never sent to all tasks.
+
+    Small columns of very many records pass for a small table, by the packed size of their exchange,
+    and take several times that as a table of hashes, on the driver first.
+    """
+    return right.hint("merge")
+
+
 def _block_masks(blocks: int) -> list[int]:
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
@@ -74,7 +83,7 @@ def earliest_near(
     )
     part = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
     dealt = (
-        keyed.join(sizes, ["choice", "bits"]).withColumn("part", part)
+        keyed.join(merged(sizes), ["choice", "bits"]).withColumn("part", part)
         .withColumn("against", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
             "choice", "bits", F.least("part", "against").alias("low"),
@@ -85,7 +94,7 @@ def earliest_near(
     build = dealt.select(*cell, F.col("fingerprint").alias("other"),
                          F.col("ordinal").alias("other_ordinal"))
     return (
-        dealt.where("not stored").join(build, cell)
+        dealt.where("not stored").join(merged(build), cell)
         .where(
             (F.col("other_ordinal") < F.col("ordinal"))
             & (hamming(F.col("fingerprint"), F.col("other")) <= threshold)
@@ -123,14 +132,14 @@ def duplicate_status(
     )
     firsts = known.groupBy("fingerprint").agg(
         F.min("ordinal").alias("ordinal"), F.bool_or("stored").alias("stored"))
-    named = firsts.join(known.select("ordinal", "record_id"), "ordinal")
+    named = firsts.join(merged(known.select("ordinal", "record_id")), "ordinal")
     near = earliest_near(firsts, threshold, blocks).join(
-        named.select(
+        merged(named.select(
             F.col("ordinal").alias("matched_ordinal"), F.col("record_id").alias("near_id")
-        ),
+        )),
         "matched_ordinal",
     )
-    first_seen = named.join(near.select("fingerprint", "near_id"), "fingerprint", "left").select(
+    first_seen = named.join(merged(near.select("fingerprint", "near_id")), "fingerprint", "left").select(
         "fingerprint", F.col("ordinal").alias("first_ordinal"),
         F.col("record_id").alias("first_id"), "near_id",
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
@@ -143,9 +152,9 @@ def duplicate_status(
         near_label = F.when(F.col("_token") == F.col("found"), "REPOST").otherwise(near_label)
     return (
         rows.withColumn("salt", F.pmod("ordinal", F.lit(SALTS)).cast("int"))
-        .join(first_seen, ["fingerprint", "salt"])
+        .join(merged(first_seen), ["fingerprint", "salt"])
         .withColumn("found", found)
-        .join(first_of_key, "ordinal", "left")
+        .join(merged(first_of_key), "ordinal", "left")
         .select(
             "record_id", "canonical_key", "fingerprint",
             F.when(F.col("new_key").isNull(), "EXACT_MATCH")

@@ -59,12 +59,12 @@ class NearIndex:
         spark = rows.sparkSession
         prints = rows.select("fingerprint").distinct()
         own = dedup.block_keys(prints, self.threshold, self.blocks).withColumnRenamed("fingerprint", "asked")
-        near = (self.table(spark, "blocks").join(own, ["choice", "bits"])
+        near = (self.table(spark, "blocks").join(dedup.merged(own), ["choice", "bits"])
                 .where(hamming(F.col("fingerprint"), F.col("asked")) <= self.threshold)
                 .select("fingerprint").distinct())
-        found = self.table(spark, "prints").join(near, "fingerprint", "left_semi")
+        found = self.table(spark, "prints").join(dedup.merged(near), "fingerprint", "left_semi")
         keyed = self.table(spark, "keys").join(
-            rows.select("canonical_key").distinct(), "canonical_key", "left_semi")
+            dedup.merged(rows.select("canonical_key").distinct()), "canonical_key", "left_semi")
         return found.unionByName(keyed).distinct()
 
     def judge_and_add(self, rows: DataFrame, posting_token: str | None = None) -> DataFrame:
@@ -76,7 +76,7 @@ class NearIndex:
         rows = cut_lineage(rows)
         stored = cut_lineage(self.related(rows))
         # Rows that a broken-off run had added already are the run's own, not earlier ones.
-        earlier = stored.join(rows.select("ordinal"), "ordinal", "left_anti")
+        earlier = stored.join(dedup.merged(rows.select("ordinal")), "ordinal", "left_anti")
         status = cut_lineage(dedup.duplicate_status(
             rows, self.threshold, self.blocks, posting_token, stored=earlier))
         self._add(rows, stored)
@@ -86,9 +86,10 @@ class NearIndex:
         columns = ["record_id", "ordinal", "canonical_key", "fingerprint"]
 
         def firsts(by: str) -> DataFrame:
-            fresh = rows.select(*columns).join(stored.select(by).distinct(), by, "left_anti")
+            fresh = rows.select(*columns).join(
+                dedup.merged(stored.select(by).distinct()), by, "left_anti")
             return fresh.groupBy(by).agg(F.min("ordinal").alias("ordinal")).select("ordinal").join(
-                rows.select(*columns), "ordinal")
+                dedup.merged(rows.select(*columns)), "ordinal")
 
         prints = cut_lineage(firsts("fingerprint"))
         self._append(firsts("canonical_key"), "keys")

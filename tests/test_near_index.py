@@ -52,3 +52,13 @@ def test_a_run_shuffles_its_own_records_only(spark, tmp_path):
     scan = stored[:stored.index("FileScan parquet")] if "FileScan parquet" in stored else ""
     assert "Bucketed: true" in plan and "Exchange" not in scan
     assert index.related(spark.createDataFrame([("x", 1, "none", 77)], ROWS)).count() == 0
+
+
+def test_no_records_are_sent_to_the_driver(spark, tmp_path):
+    """Few as they are here, records are joined by sorting: many would not fit as a table of hashes."""
+    index = NearIndex(str(tmp_path / "index"), buckets=3)
+    rows = spark.createDataFrame(records(1, 0, 30), ROWS)
+    index.judge_and_add(rows)
+    for df in (index.related(rows), dedup.duplicate_status(rows, stored=spark.createDataFrame(records(2, 100, 9), ROWS))):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
